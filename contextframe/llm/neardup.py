@@ -12,6 +12,7 @@ Candidates are confirmed on the full shingle sets.
 from __future__ import annotations
 
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -103,15 +104,34 @@ def _sets(width: int):
 
 
 def _close_enough(a: str, b: str, count: int, threshold: float):
-    """A cheap test that pairs of similarity ``threshold`` pass but for about one in a million.
+    """A cheap test that pairs of similarity ``threshold`` pass but for one in a hundred thousand.
 
-    Sizes must allow the similarity, and at most as many signature bits may
-    differ as when half of the minhashes do.
+    Sizes must allow the similarity, and few signature bits may differ.
     """
     sizes = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     longs = -(-count // SIG_PER_LONG)
     apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.sig")[k].bitwiseXOR(F.col(f"{b}.sig")[k])) for k in range(longs)])
-    return (F.least(*sizes) >= threshold * F.greatest(*sizes)) & (apart <= int(count * SIG_BITS * 0.29 * (1 - threshold) / 0.2) + 1)
+    return (F.least(*sizes) >= threshold * F.greatest(*sizes)) & (apart <= _most_apart(count, threshold))
+
+
+def _most_apart(count: int, threshold: float, miss: float = 1e-5) -> int:
+    """The least number of signature bits that a pair of similarity ``threshold`` exceeds with probability ``miss`` or less."""
+    far = np.zeros(count * SIG_BITS + 1)
+    for m in range(count + 1):
+        share = comb(count, m) * (1 - threshold) ** m * threshold ** (count - m)
+        bits = SIG_BITS * m
+        far[: bits + 1] += share * np.array([comb(bits, t) / 2**bits for t in range(bits + 1)])
+    return int(np.flatnonzero(1 - np.cumsum(far) <= miss)[0])
+
+
+def _first_shared(a: str, b: str, bands: int):
+    """The key of the first table that two classes share, so that a pair comes from one of its tables only."""
+
+    def first(half):
+        return F.coalesce(*(F.when(F.col(f"{a}.{half}")[i] == F.col(f"{b}.{half}")[i], F.lit(i)) for i in range(bands)))
+
+    i, j = first("half_a"), first("half_b")
+    return F.xxhash64(F.get(F.col(f"{a}.half_a"), i), F.get(F.col(f"{a}.half_b"), j), i * F.lit(bands) + j)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 2, rounds: int = 3) -> DataFrame:
@@ -151,7 +171,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     member = checkpoint(keyed.join(shared.select("key"), "key"))
     busy = member.select("rep").distinct()
-    light = checkpoint(classes.join(busy, "rep", "left_semi").select("rep", "n_shingles", "sig"))
+    light = checkpoint(classes.join(busy, "rep", "left_semi").select("rep", "n_shingles", "sig", "half_a", "half_b"))
     sets = checkpoint(
         source.join(light.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>")
     )
@@ -169,7 +189,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
         )
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        a, b = light.alias("a"), light.alias("b")
+        a, b = (light.select("rep", "n_shingles", "sig").alias(n) for n in "ab")
         return (
             pairs.join(a, F.col("src") == F.col("a.rep")).join(b, (F.col("dst") == F.col("b.rep")) & _close_enough("a", "b", count, threshold)).select("src", "dst")
         )
@@ -190,7 +210,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
             wide = checkpoint(now.join(light, "rep"))
             x, y = wide.alias("x"), wide.alias("y")
             pairs = x.join(
-                y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & _close_enough("x", "y", count, threshold)
+                y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & _close_enough("x", "y", count, threshold) & (_first_shared("x", "y", bands) == F.col("x.key"))
             ).select(F.col("x.rep").alias("src"), F.col("y.rep").alias("dst"))
         pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
         pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["src", "dst"], "left_anti"))
@@ -209,3 +229,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
         out = out.withColumn("label", F.lit(None).cast("long"))
     component = F.coalesce("label", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def first_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8, broadcast_ids: int = 4_000_000) -> DataFrame:
+    """The rows, with all of their columns, of the smallest doc_id of each component; one of rows that repeat a doc_id.
+
+    Rows with a null doc_id stay.  The ids to keep are broadcast up to
+    ``broadcast_ids`` of them and joined by a shuffle beyond that.
+    """
+    kept = checkpoint(near_duplicates(docs, width, threshold).where("kept and doc_id is not null").select("doc_id"))
+    ids = kept.distinct()
+    repeated = kept.count() > ids.count()
+    ids = F.broadcast(ids) if ids.limit(broadcast_ids + 1).count() <= broadcast_ids else ids
+    out = docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+    if repeated:
+        out = out.dropDuplicates(["doc_id"])
+    return out.union(docs.where("doc_id is null"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents, table
 
@@ -27,6 +27,87 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=2, threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_minhash_near_dedup)}
+def op2_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_documents
+
+    return mix_documents(documents(spark, sf_dir), weights=(5, 2, 1), cap=3)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), width=13).withColumnRenamed("kept", "kept_sha256")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity as tox
+
+    docs = documents(spark, sf_dir)
+    model = tox.train(tox.learn(docs, table(spark, sf_dir, "labels"), "toxic"))
+    scored = tox.score(docs, model)
+    return scored.select(
+        "doc_id", F.coalesce(tox.held_out_part(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op3_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .editsketch import fingerprint_and_edit
+
+    return fingerprint_and_edit(documents(spark, sf_dir))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+    from .toxicity import held_out_part, learn
+
+    docs = documents(spark, sf_dir)
+    model = quality.train(learn(docs, table(spark, sf_dir, "labels"), "quality", max_docs=5000))
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(held_out_part(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op7_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hamming import search, sign_codes
+
+    codes = sign_codes(table(spark, sf_dir, "embeddings"))
+    queries = codes.where("id % 20 = 0").select(F.col("id").alias("query_id"), "code")
+    return search(codes, queries, k=10).withColumnRenamed("id", "vec_id")
+
+
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import kneser_ney as lm
+    from .toxicity import held_out_part
+
+    docs = documents(spark, sf_dir)
+    held = F.coalesce(held_out_part(5) == 1, F.lit(False))
+    model = lm.train(docs.where(~held))
+    if model is None:
+        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = lm.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_entropy_mixing,
+        op3_edit_fingerprint,
+        op4_minhash_near_dedup,
+        op5_quality,
+        op6_html_extraction,
+        op7_hamming_topk,
+        op8_kneser_ney,
+        op9_substring_dedup,
+        op10_toxicity,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

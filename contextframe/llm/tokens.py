@@ -79,8 +79,8 @@ def words(data: np.ndarray, bounds: np.ndarray, lower: bool = False):
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.concatenate(first)
 
 
-def words_block(data, bounds, lo, hi, lower=False):
-    """As words() for rows lo..hi, with each word's byte range in ``data``."""
+def words_block(data, bounds, lo, hi, lower=False, space=SPACE):
+    """As words() for rows lo..hi, with each word's byte range in ``data``; ``space`` marks the bytes between words."""
     at = int(bounds[lo])
     seg = data[at : int(bounds[hi])]
     if lower:
@@ -90,7 +90,7 @@ def words_block(data, bounds, lo, hi, lower=False):
     if not n:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64), none, none
-    solid = ~SPACE[seg]
+    solid = ~space[seg]
     begin, stop = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
     stop[:-1] &= ~solid[1:]
