@@ -79,8 +79,12 @@ def words(data: np.ndarray, bounds: np.ndarray, lower: bool = False):
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.concatenate(first)
 
 
-def words_block(data, bounds, lo, hi, lower=False, space=SPACE):
-    """As words() for rows lo..hi, with each word's byte range in ``data``; ``space`` marks the bytes between words."""
+def words_block(data, bounds, lo, hi, lower=False, space=SPACE, heads=()):
+    """As words() for rows lo..hi, with each word's byte range in ``data``; ``space`` marks the bytes between words.
+
+    With ``heads``, hashes has a row per word: the word's and those of its first
+    so many bytes, 0 for words that are no longer than that.
+    """
     at = int(bounds[lo])
     seg = data[at : int(bounds[hi])]
     if lower:
@@ -89,7 +93,7 @@ def words_block(data, bounds, lo, hi, lower=False, space=SPACE):
     n = len(seg)
     if not n:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64), none, none
+        return np.zeros((0, 1 + len(heads)) if heads else 0, np.uint64), np.zeros(hi - lo + 1, np.int64), none, none
     solid = ~space[seg]
     begin, stop = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
@@ -102,6 +106,9 @@ def words_block(data, bounds, lo, hi, lower=False, space=SPACE):
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUE[seg] * _power("up", n)[:n], out=sums[1:])
     h = mix((sums[e] - sums[s]) * _power("down", n)[s] + (e - s).astype(np.uint64))
+    if heads:
+        part = [np.where(e - s > k, mix((sums[np.minimum(s + k, e)] - sums[s]) * _power("down", n)[s] + np.uint64(k << 32)), np.uint64(0)) for k in heads]
+        h = np.stack([h, *part], 1)
     return h, np.searchsorted(s, rows), s + at, e + at
 
 

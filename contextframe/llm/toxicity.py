@@ -21,6 +21,10 @@ from .common import checkpoint, text_or_empty
 APART = np.array([b < 128 and not (chr(b).isalnum() or b == 39) for b in range(256)])
 STOP = np.zeros(256, bool)
 STOP[[10, 13, 33, 46, 59, 63]] = True
+#: A word's first bytes are features of their own, so forms of one stem are known by it.
+HEADS = (4, 5, 6)
+#: Chance reaches this likelihood ratio once in 10,000 words.
+LEAST_GAIN = 15.1
 
 
 @dataclass(frozen=True)
@@ -31,8 +35,8 @@ class Model:
 
 
 def _sentences(data, bounds, lo, hi):
-    """Word hashes of rows lo..hi, the sentence of each word, the row of each sentence, each word's byte range."""
-    h, first, s, e = tk.words_block(data, bounds, lo, hi, lower=True, space=APART)
+    """Features of each word of rows lo..hi, the sentence of each word, the row of each sentence, each word's byte range."""
+    h, first, s, e = tk.words_block(data, bounds, lo, hi, lower=True, space=APART, heads=HEADS)
     if not len(h):
         return h, np.zeros(0, np.int64), np.zeros(0, np.int64), s, e
     at = int(bounds[lo])
@@ -48,85 +52,122 @@ def _softplus(z):
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
+def _found(h, words):
+    k = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    return k, (words[k] == h) & (h != 0)
+
+
 def _word_scores(h, model):
-    k = np.minimum(np.searchsorted(model.words, h), len(model.words) - 1)
-    return np.where(model.words[k] == h, model.weights[k], 0.0)
+    """A word scores as the strongest of its features."""
+    k, hit = _found(h, model.words)
+    return np.where(hit, model.weights[k], 0.0).max(1) if len(h) else np.zeros(0)
 
 
-def _gather(batches):
-    """doc_id, text, label -> per document: label, word hashes, the length of each sentence."""
+def _distinct(batches):
+    """text, label -> a row for each distinct feature of a text: feature, label."""
     for batch in batches:
-        data, bounds = tk.utf8(batch.column(1))
-        rows, lens = [], []
+        data, bounds = tk.utf8(batch.column(0))
+        label = batch.column(1).to_numpy()
         for lo, hi in tk.blocks(bounds):
-            h, sentence, owner, _, _ = _sentences(data, bounds, lo, hi)
-            size = np.bincount(sentence, minlength=len(owner))
-            cut = np.searchsorted(owner, np.arange(hi - lo + 1))
-            ends = np.concatenate([[0], np.cumsum(size)])
-            for k in range(hi - lo):
-                rows.append(h[ends[cut[k]] : ends[cut[k + 1]]].tobytes())
-                lens.append(size[cut[k] : cut[k + 1]].astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.binary()), pa.array(lens, pa.binary())], names=["label", "words", "lens"])
-
-
-def fit(rows, max_words: int = 4096, min_docs: int = 4, steps: int = 250, l2: float = 2e-3) -> Model:
-    """Train on (label, word hashes, sentence lengths); deterministic for the same rows."""
-    rows = [(r[0], np.frombuffer(r[1], np.uint64), np.frombuffer(r[2], np.int32)) for r in rows]
-    rows = [r for r in rows if len(r[1])]
+            h, first, _, _ = tk.words_block(data, bounds, lo, hi, lower=True, space=APART, heads=HEADS)
+            sets = [np.unique(h[first[k] : first[k + 1]]) for k in range(hi - lo)]
+            owner = np.repeat(np.arange(lo, hi), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(label[owner], pa.int32())], names=["feature", "label"])
+
+
+def _gather(words):
+    """text, label -> label, sentences (their number), features of each word that has any, and the sentence of each."""
+
+    def run(batches):
+        for batch in batches:
+            data, bounds = tk.utf8(batch.column(0))
+            cols = [[], [], []]
+            for lo, hi in tk.blocks(bounds):
+                h, sentence, owner, _, _ = _sentences(data, bounds, lo, hi)
+                k, hit = _found(h, words.value)
+                at = np.flatnonzero(hit.any(1))
+                features = np.where(hit, k, len(words.value))[at].astype(np.int32)
+                cut = np.searchsorted(owner, np.arange(hi - lo + 1))
+                part = np.searchsorted(sentence[at], cut)
+                for d in range(hi - lo):
+                    r = slice(part[d], part[d + 1])
+                    cols[0].append(int(cut[d + 1] - cut[d]))
+                    cols[1].append(features[r].tobytes())
+                    cols[2].append((sentence[at[r]] - cut[d]).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["label", "sentences", "features", "places"])
+
+    return run
+
+
+def fit(rows, words: np.ndarray, own: np.ndarray, steps: int = 200) -> Model:
+    """Train on (label, number of sentences, features of words, their sentences); deterministic for the same rows.
+
+    ``own`` is each feature's log-odds of a toxic document by itself; weights
+    begin there and are drawn towards it as by a normal prior of variance 1, so
+    few documents do not leave words unlearned that others explain away.
+    """
+    rows = [r for r in rows if r[1]]
     y = np.array([r[0] for r in rows], float)
-    if not len(rows) or y.min() == y.max():
-        rate = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(np.zeros(1, np.uint64), np.zeros(1), float(np.log(-np.log1p(-rate))))
-    distinct = [np.unique(r[1]) for r in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(d) for d in distinct])
-    vocab, code = np.unique(np.concatenate(distinct), return_inverse=True)
-    there = np.bincount(code, minlength=len(vocab)).astype(float)
-    bad = np.bincount(code, y[owner], len(vocab))
-    p, q = (bad + 0.5) / (y.sum() + 1), (there - bad + 0.5) / (len(y) - y.sum() + 1)
-    gain = there * np.abs(np.log(p / q)) * (there >= min_docs)
-    pick = np.sort(np.argsort(-gain, kind="stable")[:max_words])
-    pick = pick[there[pick] >= min_docs]
-    words = vocab[pick]
-    if not len(words):
-        words = vocab[:1]
-    weights = np.zeros(len(words))
-    # only the picked words of each sentence matter
-    h = np.concatenate([r[1] for r in rows])
-    lens = np.concatenate([r[2] for r in rows])
-    doc_of = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-    sent_of = np.repeat(np.arange(len(lens)), lens)
-    k = np.minimum(np.searchsorted(words, h), len(words) - 1)
-    hit = words[k] == h
-    k, sent = k[hit], sent_of[hit]
-    bias = -4.0
-    balance = np.where(y == 1, min(10.0, (len(y) - y.sum()) / y.sum()) ** 0.5, 1.0)
-    m = [np.zeros(len(words) + 1), np.zeros(len(words) + 1)]
+    rate = (y.sum() + 0.5) / (len(y) + 1)
+    mean = max(np.mean([r[1] for r in rows] or [1]), 1)
+    if not len(words) or not len(rows) or y.min() == y.max():
+        return Model(np.zeros(1, np.uint64), np.zeros(1), float(np.log(np.expm1(-np.log1p(-rate) / mean))))
+    count = np.array([r[1] for r in rows])
+    first = np.cumsum(count) - count
+    k = np.concatenate([np.frombuffer(r[2], np.int32).reshape(-1, 1 + len(HEADS)) for r in rows])
+    sent = np.concatenate([np.frombuffer(r[3], np.int32) + f for r, f in zip(rows, first, strict=True)])
+    doc_of = np.repeat(np.arange(len(rows)), count)
+    bias = float(np.log(np.expm1(-np.log1p(-0.02) / mean)))
+    prior = np.append(own - bias, 0.0)
+    weights = prior.copy()
+    m = [np.zeros(len(words) + 2), np.zeros(len(words) + 2)]
+    each = np.arange(len(k))
     for t in range(1, steps + 1):
-        z = bias + np.bincount(sent, weights[k], len(lens))
-        total = np.bincount(doc_of, _softplus(z), len(rows))
-        clean = np.exp(-total)
-        pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) * balance
-        dz = pull[doc_of] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(k, dz[sent], len(words)) / len(rows) + l2 * weights / 10, dz.sum() / len(rows))
+        best = k[each, weights[k].argmax(1)]
+        z = bias + np.bincount(sent, weights[best], len(doc_of))
+        clean = np.exp(-np.bincount(doc_of, _softplus(z), len(rows)))
+        pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
+        dz = pull[doc_of] / (1 + np.exp(-np.clip(z, -500, 500)))
+        grad = np.append(np.bincount(best, dz[sent], len(words) + 1) + (weights - prior), dz.sum()) / len(rows)
+        grad[len(words)] = 0  # the place of no feature
         m[0] = 0.9 * m[0] + 0.1 * grad
         m[1] = 0.99 * m[1] + 0.01 * grad * grad
-        step = 0.25 * m[0] / (1 - 0.9**t) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-8) * (1 - t / (steps + 1)) ** 0.5
+        step = 0.1 * m[0] / (1 - 0.9**t) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-8) * (1 - t / (steps + 1)) ** 0.5
         weights -= step[:-1]
         bias -= step[-1]
-    return Model(words, weights, float(bias))
+    return Model(words, weights[:-1], float(bias))
 
 
-def train(labelled: DataFrame, max_docs: int = 8000) -> Model:
+def train(labelled: DataFrame, max_docs: int = 8000, max_words: int = 4096, min_docs: int = 4) -> Model:
     """(doc_id, text, label 0/1) -> Model.
 
     At most ``max_docs`` labelled documents, those with the least hash of
-    doc_id, go to the driver as word hashes; rows with a null label are left
-    out.  Without both labels the model is a constant rate.
+    doc_id, are used; rows with a null label are left out.  Words and heads of
+    words that are likelier in toxic documents than chance would have it are
+    picked on the executors, and only their places reach the driver.  Without
+    both labels, or without such words, the model is a constant rate.
     """
     some = labelled.where("label is not null").select("doc_id", text_or_empty().alias("text"), F.col("label").cast("int").alias("label"))
-    some = some.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "label").limit(max_docs)
-    rows = some.mapInArrow(_gather, "label int, words binary, lens binary").collect()
-    return fit(sorted((tuple(r) for r in rows), key=lambda r: (r[0], bytes(r[1]))))
+    some = checkpoint(some.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "label").limit(max_docs).select("text", "label"))
+    all_, bad = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    rate = bad / max(all_, 1)
+    words, own = np.zeros(0, np.uint64), np.zeros(0)
+    if 0 < rate < 1:
+        here, ill = F.col("n"), F.col("ill")
+        part = lambda x, p: F.when(x > 0, x * F.log(x / (here * p))).otherwise(0.0)
+        counted = some.mapInArrow(_distinct, "feature long, label int").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ill"))
+        gain = 2 * (part(ill, rate) + part(here - ill, 1 - rate))
+        picked = counted.where((here >= min_docs) & (ill > here * rate) & (F.col("feature") != 0)).select("feature", gain.alias("gain"), "n", "ill").where(F.col("gain") >= LEAST_GAIN)
+        found = sorted((r.feature % (1 << 64), r.n, r.ill) for r in picked.orderBy(F.desc("gain"), "feature").limit(max_words).collect())
+        words = np.array([f[0] for f in found], np.uint64)
+        own = np.array([np.log((f[2] + 0.5) / (f[1] - f[2] + 0.5)) for f in found])
+    rows = []
+    if len(words):
+        shared = some.sparkSession.sparkContext.broadcast(words)
+        rows = sorted((tuple(map(lambda v: bytes(v) if isinstance(v, bytearray) else v, r)) for r in some.mapInArrow(_gather(shared), "label int, sentences long, features binary, places binary").collect()))
+    else:
+        rows = [(r.label, 1, b"", b"") for r in some.select("label").collect()]
+    return fit(rows, words, own)
 
 
 def _score(model):
