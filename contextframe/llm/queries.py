@@ -110,4 +110,29 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_minhash_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWERED)} AS ws FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(ws) > 1 THEN list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) ELSE ws END AS sh FROM w),
+ e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS one FROM s),
+ links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.one = b.one AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ twoway AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+ reach(node, other) AS (SELECT x, y FROM twoway UNION SELECT node, y FROM reach JOIN twoway ON other = x),
+ low AS (SELECT node, min(other) AS low FROM reach GROUP BY node)
+ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, least(doc_id, coalesce(low, doc_id)) = doc_id AS kept FROM s LEFT JOIN low ON doc_id = node""",
+    "op7_hamming_topk": """SELECT query_id, CAST(nth AS INTEGER) AS rank, vec_id, CAST(distance AS INTEGER) AS distance FROM
+ (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS nth FROM
+ (SELECT q.vec_id AS query_id, e.vec_id, list_sum([CAST((e.embedding[i] > 0) <> (q.embedding[i] > 0) AS INTEGER) for i in range(1, len(e.embedding) + 1)]) AS distance
+ FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)) WHERE nth <= 10""",
+    "op9_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+ win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+ first AS (SELECT k, min(doc_id) AS low FROM win GROUP BY k),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN first USING (k) WHERE low < doc_id),
+ placed AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w),
+ left_over AS (SELECT doc_id, string_agg(ws[p], ' ' ORDER BY p) AS kept FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+ lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+ FROM w LEFT JOIN lost ON w.doc_id = lost.doc_id LEFT JOIN left_over ON w.doc_id = left_over.doc_id""",
+}
