@@ -24,9 +24,9 @@ from . import tokens as tk
 from .common import checkpoint_dir, text_or_empty
 
 START, END = np.uint64(0x5F3759DF5F3759DF), np.uint64(0xC0FFEE00C0FFEE01)
-FLUSH = 4 << 20
+FLUSH = 2 << 20
 SHARD_BYTES = 24 << 20
-SCORE_CHUNK = 12 << 20
+SCORE_CHUNK = 8 << 20
 
 
 # ---- files in the folder that all executors share
@@ -366,7 +366,7 @@ def _score(model: Model):
         for batch in batches:
             data, bounds = tk.utf8(batch.column(1))
             for lo, hi in tk.blocks(bounds, SCORE_CHUNK):
-                h, first, _, _ = tk.words_block(data, bounds, lo, hi, lower=True)
+                h, first = tk.words(data, bounds[lo : hi + 1], lower=True)
                 got = _score_block(arrays, h, first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x) for x in got)], names=names)
 
