@@ -4,9 +4,10 @@ A window is ``width`` consecutive words.  Every window belongs to the least
 hash among its ``anchor``-word groups, so equal windows meet under equal
 anchors wherever they stand.  Consecutive windows of one anchor form a run of
 at most 2 * width - anchor words.  Runs under an anchor that two documents share
-are dealt to shards by anchor; each shard indexes its distinct runs, searches
-all of their windows backwards over the wavelet matrix, and reports for each the
-smallest document that holds it.
+(a bitmap of bounded size says so while texts are read) are dealt to shards by
+anchor; each shard indexes its distinct runs, searches all of their windows
+backwards over the wavelet matrix, and reports for each the smallest document
+that holds it.
 """
 
 from __future__ import annotations
@@ -14,16 +15,21 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import checkpoint, text_or_empty
+from .common import stored, text_or_empty
 
 SHARD_WORDS = 1 << 20
+SEARCHED = 200_000
+RUN_BYTES = 8 << 20
 HOT_RUNS = 4096
 BROADCAST_IDS = 4_000_000
+BLOCK_BITS = 20
+MOST_BITS = 29
 
 
 class WaveletMatrix:
@@ -118,123 +124,203 @@ class FMIndex:
         return high > low
 
 
-def _runs(width: int, anchor: int):
-    """doc_id, text -> a row for each run: anchor, whole (a hash of its words), doc_id, start, windows."""
-    inner = width - anchor + 1
+class Filter:
+    """Which anchors two rows share: a bitmap over the leading bits of their hashes, and the hot ones among them."""
+
+    def __init__(self, bits: int, blocks: dict[int, bytes], hot: np.ndarray):
+        self.shift = np.uint64(64 - bits)
+        self.map = np.zeros(1 << max(bits - 3, 0), np.uint8)
+        for k, raw in blocks.items():
+            at = k << (BLOCK_BITS - 3)
+            self.map[at : at + len(raw)] = np.frombuffer(raw, np.uint8)
+        self.hot = hot
+
+    def __call__(self, anchors: np.ndarray) -> np.ndarray:
+        at = anchors >> self.shift
+        return (self.map[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _find_runs(h, first, width, anchor):
+    """(anchor, row, first window, end) of each run; ``h`` has the words of all rows, ``first`` where each row's begin."""
+    n = len(h) - width + 1
+    none = np.zeros(0, np.int64)
+    if n <= 0:
+        return np.zeros(0, np.uint64), none, none, none
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    groups = tk.runs(h, anchor)
+    place = np.arange(n) + np.lib.stride_tricks.sliding_window_view(groups, width - anchor + 1)[:n].argmin(1)
+    valid = row[:n] == row[width - 1 :]
+    starts = np.ones(n, bool)
+    starts[1:] = (place[1:] != place[:-1]) | (row[1:n] != row[: n - 1]) | ~valid[:-1]
+    a = np.flatnonzero(starts & valid)
+    edge = np.flatnonzero(np.concatenate([starts | ~valid, [True]]))
+    return groups[place[a]], row[a], a, edge[np.searchsorted(edge, a, side="right")]
+
+
+def _anchors(width: int, anchor: int):
+    """doc_id, text -> the distinct anchors of each row."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, bounds = tk.utf8(batch.column(1))
             for lo, hi in tk.blocks(bounds):
                 h, first, _, _ = tk.words_block(data, bounds, lo, hi)
-                n = len(h) - width + 1
-                if n <= 0:
-                    continue
-                row = np.repeat(np.arange(hi - lo), np.diff(first))
-                groups = tk.runs(h, anchor)
-                place = np.arange(n) + np.lib.stride_tricks.sliding_window_view(groups, inner)[:n].argmin(1)
-                valid = row[:n] == row[width - 1 :]
-                starts = np.ones(n, bool)
-                starts[1:] = (place[1:] != place[:-1]) | (row[1:n] != row[: n - 1]) | ~valid[:-1]
-                a = np.flatnonzero(starts & valid)
-                if not len(a):
-                    continue
-                edge = np.flatnonzero(np.concatenate([starts | ~valid, [True]]))
-                b = edge[np.searchsorted(edge, a, side="right")]  # windows a..b-1
-                sums = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(h * tk._power("up", len(h))[: len(h)], out=sums[1:])
-                whole = tk.mix((sums[b + width - 1] - sums[a]) * tk._power("down", len(h))[a] + (b - a).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(groups[place[a]].view(np.int64)),
-                        pa.array(whole.view(np.int64)),
-                        pa.array(ids[lo + row[a]].astype(np.int64)),
-                        pa.array((a - first[row[a]]).astype(np.int32)),
-                        pa.array((b - a).astype(np.int32)),
-                    ],
-                    names=["anchor", "whole", "doc_id", "start", "windows"],
-                )
+                key, row, _, _ = _find_runs(h, first, width, anchor)
+                order = np.lexsort((key, row))
+                key, row = key[order], row[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64))], names=["anchor"])
 
     return run
 
 
-def _contents(width: int):
-    """doc_id, text, runs -> the words of each run: route, whole, at, doc_id, words (32 bits of each word's hash).
+RUNS = "anchor long, route long, whole long, doc_id long, last_doc long, start int, words array<int>"
+
 
-    Runs of a hot anchor go window by window, each by its own hash.
+def _shared_runs(width: int, anchor: int, wanted, contents: bool):
+    """doc_id, text -> runs whose anchor passes the filter, hot ones window by window.
+
+    With ``contents`` each distinct run of a block comes once, with its words (32
+    bits of each one's hash), its smallest and its largest document; else every
+    one comes with its place and no words.
     """
-    schema = pa.schema([("route", pa.int64()), ("whole", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("words", pa.list_(pa.int32()))])
+    schema = pa.schema([(n, pa.int64()) for n in ("anchor", "route", "whole", "doc_id", "last_doc")] + [("start", pa.int32()), ("words", pa.list_(pa.int32()))])
 
     def run(batches):
+        keep = wanted.value
         for batch in batches:
+            ids = batch.column(0).to_numpy().astype(np.int64)
             data, bounds = tk.utf8(batch.column(1))
-            wanted = batch.column(2)
-            inner, cuts = wanted.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(wanted).to_numpy())]).astype(np.int64)
-            field = {f.name: part.to_numpy(zero_copy_only=False) for f, part in zip(inner.type, inner.flatten(), strict=True)}
-            ids = batch.column(0).to_numpy()
-            for lo, hi in tk.blocks(bounds):
-                h, first, _, _ = tk.words_block(data, bounds, lo, hi)
-                k = slice(cuts[lo], cuts[hi])
-                owner = np.repeat(np.arange(lo, hi), np.diff(cuts[lo : hi + 1]))
-                start, windows = first[owner - lo] + field["start"][k], field["windows"][k].astype(np.int64)
-                whole, route, hot = field["whole"][k], field["anchor"][k], field["hot"][k].astype(bool)
-                if hot.any():
-                    each = np.where(hot, windows, 1)
+            for lo, hi in tk.blocks(bounds, RUN_BYTES):
+                h, first = tk.words(data, bounds[lo : hi + 1])
+                key, row, a, b = _find_runs(h, first, width, anchor)
+                some = np.flatnonzero(keep(key))
+                key, row, a, b = key[some], row[some], a[some], b[some]
+                if not len(a):
+                    continue
+                route = key
+                if len(keep.hot) and (hot := np.isin(key, keep.hot)).any():
+                    each = np.where(hot, b - a, 1)
                     step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
                     single = np.repeat(hot, each)
-                    start, owner = np.repeat(start, each) + step, np.repeat(owner, each)
-                    windows = np.where(single, 1, np.repeat(windows, each))
-                    whole, route, at = np.repeat(whole, each), np.repeat(route, each).copy(), step
-                    route[single] = tk.runs(h, width)[start[single]].view(np.int64)
+                    key, row, a, b = (np.repeat(x, each) for x in (key, row, a, b))
+                    a = a + step
+                    b = np.where(single, a + 1, b)
+                    route = key.copy()
+                    route[single] = tk.runs(h, width)[a[single]]
+                sums = np.zeros(len(h) + 1, np.uint64)
+                np.cumsum(h * tk._power("up", len(h))[: len(h)], out=sums[1:])
+                whole = tk.mix((sums[b + width - 1] - sums[a]) * tk._power("down", len(h))[a] + (b - a).astype(np.uint64))
+                doc = ids[lo + row]
+                last, start = doc, (a - first[row]).astype(np.int32)
+                if contents:
+                    order = np.lexsort((doc, whole))
+                    new = np.flatnonzero(np.concatenate([[True], whole[order][1:] != whole[order][:-1]]))
+                    last = np.maximum.reduceat(doc[order], new)
+                    pick = order[new]
+                    key, route, whole, doc, start, a, b = (x[pick] for x in (key, route, whole, doc, start, a, b))
+                    size = b - a + width - 1
+                    ends = np.cumsum(size)
+                    take = np.arange(ends[-1]) + np.repeat(a - (ends - size), size)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array((h[take] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 else:
-                    at = np.zeros(len(start), np.int64)
-                size = windows + width - 1
-                ends = np.cumsum(size)
-                take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
-                symbols = (h[take] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(symbols))
-                yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(whole), pa.array(at.astype(np.int32)), pa.array(ids[owner].astype(np.int64)), lists], schema=schema)
+                    lists = pa.nulls(len(a), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, route, whole)), pa.array(doc), pa.array(last), pa.array(start), lists], schema=schema)
 
     return run
 
 
 def _search(width: int):
-    """All rows of a partition are one shard: whole, at, smallest (by window the least document that holds it)."""
+    """All rows of a partition are one shard -> whole, smallest: by window the least document that holds it.
+
+    Runs that no other document can lose a word by are left out.
+    """
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         shard = pa.Table.from_batches(parts).combine_chunks()
+        whole, docs, last = (shard.column(c).to_numpy() for c in ("whole", "doc_id", "last_doc"))
         words = shard.column("words").combine_chunks()
-        sizes = np.diff(words.offsets.to_numpy()).astype(np.int64)
-        symbols = words.flatten().to_numpy().view(np.uint32).astype(np.int64) + 1
-        docs = shard.column("doc_id").to_numpy()
-        text = np.zeros(len(symbols) + len(sizes), np.int64)
-        begin = np.cumsum(sizes + 1) - sizes - 1
-        where = np.arange(len(symbols)) + np.repeat(np.arange(len(sizes)), sizes)
-        text[where] = symbols
+        offsets = words.offsets.to_numpy().astype(np.int64)
+        symbols = words.values.to_numpy().view(np.uint32)
+        order = np.lexsort((docs, whole))
+        new = np.flatnonzero(np.concatenate([[True], whole[order][1:] != whole[order][:-1]]))
+        last = np.maximum.reduceat(last[order], new)
+        pick = order[new]
+        whole, docs, begin, sizes = whole[pick], docs[pick], offsets[pick], (offsets[1:] - offsets[:-1])[pick]
+        ends = np.cumsum(sizes)
+        text = np.zeros(ends[-1] + len(sizes), np.int64)
+        into = np.arange(ends[-1]) + np.repeat(np.arange(len(sizes)), sizes)
+        text[into] = symbols[np.arange(ends[-1]) + np.repeat(begin - (ends - sizes), sizes)].astype(np.int64) + 1
+        begin = ends - sizes + np.arange(len(sizes))
         index = FMIndex(text, width)
         windows = sizes - width + 1
         ends = np.cumsum(windows)
         at = np.arange(ends[-1]) - np.repeat(ends - windows, windows) + np.repeat(begin, windows)
-        least = np.zeros(len(at), np.int64)
         holder = np.repeat(docs, sizes + 1)[index.order]
-        low, high = (np.concatenate(x) for x in zip(*(index.search(at[k : k + 200_000], width) for k in range(0, len(at), 200_000)), strict=True))
+        low, high = (np.concatenate(x) for x in zip(*(index.search(at[k : k + SEARCHED], width) for k in range(0, len(at), SEARCHED)), strict=True))
         lows, which = np.unique(low, return_inverse=True)
         highs = np.zeros(len(lows), np.int64)
         highs[which] = high
         cuts = np.stack([lows, highs], 1).ravel()
         least = np.minimum.reduceat(np.append(holder, np.iinfo(np.int64).max), cuts)[::2][which]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(least))
-        out = pa.RecordBatch.from_arrays([shard.column("whole").combine_chunks(), shard.column("at").combine_chunks(), lists], names=["whole", "at", "smallest"])
+        useful = np.flatnonzero(np.minimum.reduceat(least, ends - windows) < last)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(least)).take(pa.array(useful))
+        out = pa.RecordBatch.from_arrays([pa.array(whole[useful]), lists], names=["whole", "smallest"])
         for k in range(0, out.num_rows, 50_000):
             yield out.slice(k, 50_000)
 
     return run
 
 
+def _bitmap(frame):
+    bits = np.zeros(1 << BLOCK_BITS, np.uint8)
+    bits[frame["bit"].to_numpy()] = 1
+    return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
+def _filter(shared: DataFrame, count: int, hot: DataFrame) -> Filter:
+    """A bitmap of 64 bits to an anchor and MOST_BITS in all; blocks of it are filled on the executors."""
+    bits = min(MOST_BITS, max(BLOCK_BITS, int(64 * count).bit_length()))
+    at = F.shiftrightunsigned("anchor", 64 - bits)
+    placed = shared.select(F.shiftright(at, BLOCK_BITS).alias("block"), at.bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("bit"))
+    blocks = {r.block: bytes(r.bits) for r in placed.groupBy("block").applyInPandas(_bitmap, "block long, bits binary").collect()}
+    return Filter(bits, blocks, np.sort(np.array([r.anchor for r in hot.collect()], np.int64).view(np.uint64)))
+
+
+def repeats(source: DataFrame, width: int, anchor: int) -> DataFrame:
+    """doc_id, text -> doc_id, hits: the word positions where windows begin that a smaller doc_id holds as well."""
+    source = source.where("doc_id is not null")
+    spark = source.sparkSession
+    counted = source.mapInArrow(_anchors(width, anchor), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(counted)
+    facts = shared.agg(F.count(F.lit(1)).alias("anchors"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    hot = max(HOT_RUNS, facts.rows >> 20)  # so there are at most a million hot anchors
+    wanted = spark.sparkContext.broadcast(_filter(shared.select("anchor"), facts.anchors, shared.where(F.col("n") > hot).select("anchor")))
+    exact = facts.anchors > 1 << (MOST_BITS - 4)  # the bitmap lets too many others pass
+
+    def runs(contents: bool) -> DataFrame:
+        rows = source.mapInArrow(_shared_runs(width, anchor, wanted, contents), RUNS)
+        return rows.join(shared.select("anchor"), "anchor", "left_semi") if exact else rows
+
+    shards = max(1, -(-int(facts.rows) * (2 * width - anchor) // SHARD_WORDS))
+    found = runs(True).select("route", "whole", "doc_id", "last_doc", "words").repartition(shards, "route").mapInArrow(_search(width), "whole long, smallest array<long>")
+    found = stored(found)
+    starts = F.transform("smallest", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i))
+    hits = runs(False).select("whole", "doc_id", "start").join(found, "whole").select("doc_id", F.filter(starts, lambda x: x.isNotNull()).alias("hits")).where(F.size("hits") > 0)
+    return hits.groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+
+
+def _only(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is in ``ids``: by a broadcast of at most BROADCAST_IDS numbers, by a shuffle beyond that."""
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return source.join(F.broadcast(ids), "doc_id", "left_semi")
+    return source.join(ids, "doc_id", "left_semi")
+
+
 def _kept(width: int, with_text: bool):
     """doc_id, text[, hits] -> doc_id, n_words, n_removed, kept_sha256 or the kept text."""
 
@@ -269,39 +355,6 @@ def _kept(width: int, with_text: bool):
     return run
 
 
-def repeats(source: DataFrame, width: int, anchor: int) -> DataFrame:
-    """doc_id, text -> doc_id, hits: the word positions where windows begin that a smaller doc_id holds as well."""
-    rows = source.where("doc_id is not null").mapInArrow(_runs(width, anchor), "anchor long, whole long, doc_id long, start int, windows int")
-    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    seen = checkpoint(rows.join(shared, "anchor"))
-    distinct = seen.groupBy("anchor", "whole").agg(F.min(F.struct("doc_id", "start", "windows")).alias("m"))
-    distinct = checkpoint(distinct.select("anchor", "whole", "m.*"))
-    per = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("windows") + width).alias("words"))
-    total = per.agg(F.sum("words").alias("words"), F.max("n").alias("n")).first()
-    hot = checkpoint(per.where(F.col("n") > HOT_RUNS).select("anchor", F.lit(True).alias("hot")))
-    if total.n is not None and total.n > HOT_RUNS:
-        distinct = distinct.join(hot, "anchor", "left")
-    else:
-        distinct = distinct.withColumn("hot", F.lit(False))
-    wanted = distinct.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "whole", "start", "windows", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
-    wanted = checkpoint(wanted)
-    texts = _only(source, wanted.select("doc_id")).dropDuplicates(["doc_id"])
-    contents = texts.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(_contents(width), "route long, whole long, at int, doc_id long, words array<int>")
-    shards = max(1, -(-int(total.words or 0) // SHARD_WORDS))
-    found = contents.repartition(shards, "route").mapInArrow(_search(width), "whole long, at int, smallest array<long>")
-    found = checkpoint(found)
-    starts = F.transform("smallest", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + F.col("at") + i))
-    hits = seen.select("whole", "doc_id", "start").join(found, "whole").select("doc_id", F.filter(starts, lambda x: x.isNotNull()).alias("hits")).where(F.size("hits") > 0)
-    return hits.groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
-
-
-def _only(source: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is in ``ids``: by a broadcast of at most BROADCAST_IDS numbers, by a shuffle beyond that."""
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        return source.join(F.broadcast(ids), "doc_id", "left_semi")
-    return source.join(ids, "doc_id", "left_semi")
-
-
 def remove_repeats(docs: DataFrame, width: int = 13, anchor: int = 5, with_text: bool = False) -> DataFrame:
     """(doc_id, text) -> doc_id, n_words, n_removed, kept: a hash of the kept words joined by one space, or that text.
 
@@ -313,7 +366,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, anchor: int = 5, with_text:
     count for no other.  Other columns are ignored.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    hits = checkpoint(repeats(source, width, anchor))
+    hits = stored(repeats(source, width, anchor))
     ids = hits.select("doc_id")
     schema = "doc_id long, n_words long, n_removed long, kept string"
     some = _only(source, ids).join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_kept(width, with_text), schema)
@@ -346,7 +399,7 @@ def strip_repeats(docs: DataFrame, width: int = 13, anchor: int = 5) -> DataFram
     ``text`` is rewritten, and ``n_chars`` with it, only in rows that lose words.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    hits = checkpoint(repeats(source, width, anchor))
+    hits = stored(repeats(source, width, anchor))
     ids = hits.select("doc_id")
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     side = F.broadcast(ids) if small else ids
