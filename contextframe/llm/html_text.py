@@ -29,6 +29,7 @@ AD_WORDS = frozenset(
     "footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall newsletter subscribe subscription signup login share sharing "
     "social follow related recommended recommendations trending popular comment comments commentlist reply replies disqus respond widget pagination pager copyright legal disclaimer search skip tags hidden".split()
 )
+REPLIES = frozenset("comment comments reply replies".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 TAG = re.compile(
@@ -44,13 +45,14 @@ def _is_apart(name: str, rest: str, inside: bool) -> bool:
     """Whether an element holds no article text: by its name, or what its attributes call it."""
     if name in APART or name == "header" and not inside:
         return True
-    if not rest or name in ("html", "body", "article", "main"):
+    if not rest or name in ("html", "body", "main"):
         return False
+    words = REPLIES if name == "article" else AD_WORDS
     for key, value in ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if key == "role" and value in ROLES or key in ("class", "id") and not AD_WORDS.isdisjoint(NAME_PART.findall(value)):
+        if key == "role" and value in ROLES or key in ("class", "id") and not words.isdisjoint(NAME_PART.findall(value)):
             return True
     return False
 

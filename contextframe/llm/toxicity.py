@@ -63,6 +63,13 @@ def _word_scores(h, model):
     return np.where(hit, model.weights[k], 0.0).max(1) if len(h) else np.zeros(0)
 
 
+def _sentence_scores(h, sentence, model):
+    """A sentence scores as its strongest word, so that weak words do not add up."""
+    if not len(h):
+        return np.zeros(0)
+    return model.bias + np.maximum.reduceat(_word_scores(h, model), np.flatnonzero(np.diff(sentence, prepend=-1)))
+
+
 def _distinct(batches):
     """text, label -> a row for each distinct feature of a text: feature, label."""
     for batch in batches:
@@ -122,13 +129,19 @@ def fit(rows, words: np.ndarray, own: np.ndarray, steps: int = 200) -> Model:
     weights = prior.copy()
     m = [np.zeros(len(words) + 2), np.zeros(len(words) + 2)]
     each = np.arange(len(k))
+    begin = np.flatnonzero(np.diff(sent, prepend=-1))
+    held = np.diff(np.append(begin, len(sent)))  # words of each sentence that has any
     for t in range(1, steps + 1):
         best = k[each, weights[k].argmax(1)]
-        z = bias + np.bincount(sent, weights[best], len(doc_of))
+        own_score = weights[best]
+        top = np.maximum.reduceat(own_score, begin) if len(begin) else np.zeros(0)
+        leads = own_score == np.repeat(top, held)
+        z = np.full(len(doc_of), bias)
+        z[sent[begin]] += top
         clean = np.exp(-np.bincount(doc_of, _softplus(z), len(rows)))
         pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
         dz = pull[doc_of] / (1 + np.exp(-np.clip(z, -500, 500)))
-        grad = np.append(np.bincount(best, dz[sent], len(words) + 1) + (weights - prior), dz.sum()) / len(rows)
+        grad = np.append(np.bincount(best, dz[sent] * leads, len(words) + 1) + (weights - prior), dz.sum()) / len(rows)
         grad[len(words)] = 0  # the place of no feature
         m[0] = 0.9 * m[0] + 0.1 * grad
         m[1] = 0.99 * m[1] + 0.01 * grad * grad
@@ -142,13 +155,13 @@ def train(labelled: DataFrame, max_docs: int = 8000, max_words: int = 4096, min_
     """(doc_id, text, label 0/1) -> Model.
 
     At most ``max_docs`` labelled documents, those with the least hash of
-    doc_id, are used; rows with a null label are left out.  Words and heads of
+    doc_id, are used, copies once; rows with a null label are left out.  Words and heads of
     words that are likelier in toxic documents than chance would have it are
     picked on the executors, and only their places reach the driver.  Without
     both labels, or without such words, the model is a constant rate.
     """
     some = labelled.where("label is not null").select("doc_id", text_or_empty().alias("text"), F.col("label").cast("int").alias("label"))
-    some = checkpoint(some.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "label").limit(max_docs).select("text", "label"))
+    some = checkpoint(some.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "label").limit(max_docs).select("text", "label").dropDuplicates(["text", "label"]))
     all_, bad = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     rate = bad / max(all_, 1)
     words, own = np.zeros(0, np.uint64), np.zeros(0)
@@ -160,7 +173,7 @@ def train(labelled: DataFrame, max_docs: int = 8000, max_words: int = 4096, min_
         picked = counted.where((here >= min_docs) & (ill > here * rate) & (F.col("feature") != 0)).select("feature", gain.alias("gain"), "n", "ill").where(F.col("gain") >= LEAST_GAIN)
         found = sorted((r.feature % (1 << 64), r.n, r.ill) for r in picked.orderBy(F.desc("gain"), "feature").limit(max_words).collect())
         words = np.array([f[0] for f in found], np.uint64)
-        own = np.array([np.log((f[2] + 0.5) / (f[1] - f[2] + 0.5)) for f in found])
+        own = np.array([np.log((f[2] + 0.5) / (f[1] - f[2] + 1.5)) for f in found])
     rows = []
     if len(words):
         shared = some.sparkSession.sparkContext.broadcast(words)
@@ -177,7 +190,7 @@ def _score(model):
             out = np.zeros(batch.num_rows)
             for lo, hi in tk.blocks(bounds):
                 h, sentence, owner, _, _ = _sentences(data, bounds, lo, hi)
-                z = model.value.bias + np.bincount(sentence, _word_scores(h, model.value), len(owner))
+                z = _sentence_scores(h, sentence, model.value)
                 out[lo:hi] = -np.expm1(-np.bincount(owner, _softplus(z), hi - lo))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "score"])
 
@@ -201,7 +214,7 @@ def _offending(model, threshold):
             cols = [[], [], [], []]
             for lo, hi in tk.blocks(bounds):
                 h, sentence, owner, s, e = _sentences(data, bounds, lo, hi)
-                p = 1 / (1 + np.exp(-(model.value.bias + np.bincount(sentence, _word_scores(h, model.value), len(owner)))))
+                p = 1 / (1 + np.exp(-_sentence_scores(h, sentence, model.value)))
                 begin = np.flatnonzero(np.diff(sentence, prepend=-1))
                 end = np.append(begin[1:], len(h)) - 1
                 first = np.searchsorted(owner, owner)
@@ -231,7 +244,7 @@ def held_out_part(parts: int, column: str = "doc_id"):
 
 def learn(docs: DataFrame, labels: DataFrame, column: str, max_docs: int = 8000) -> DataFrame:
     """Labelled training rows: those whose crc32(doc_id) mod 3 is not 1."""
-    some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("label")).where(f"label is not null and doc_id is not null").where(held_out_part(3) != 1)
+    some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("label")).where("label is not null and doc_id is not null").where(held_out_part(3) != 1)
     some = some.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     some = checkpoint(some)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -245,7 +258,7 @@ def _below(shared, threshold, at):
             keep = np.zeros(batch.num_rows, bool)
             for lo, hi in tk.blocks(bounds):
                 h, sentence, owner, _, _ = _sentences(data, bounds, lo, hi)
-                z = shared.value.bias + np.bincount(sentence, _word_scores(h, shared.value), len(owner))
+                z = _sentence_scores(h, sentence, shared.value)
                 keep[lo:hi] = -np.expm1(-np.bincount(owner, _softplus(z), hi - lo)) < threshold
             yield batch.filter(pa.array(keep))
 
