@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.paths import content_hash, is_blank, relative_path, relative_path_error, same_path, selected
+from ..functions.paths import is_blank, relative_path, relative_path_error, same_path, selected
 
 COMPARED = ("source", "local_path", "artifact_path", "media_type", "content_hash")
 
@@ -129,7 +129,3 @@ def request_error() -> Column:
             (c("is_website"), "Unsupported", "websites are not fetched"),
         ]
     )
-
-
-def page_hash_items(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", content_hash(F.col("html")).alias("content_hash"))
