@@ -73,8 +73,8 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, depth: int):
         """``text``: symbols from 1; 0 is a separator that no pattern holds."""
-        self.alphabet, coded = np.unique(np.concatenate([[0], text]), return_inverse=True)
-        coded = coded[1:].astype(np.int64)
+        self.alphabet, coded = np.unique(np.append(text, 0), return_inverse=True)  # the last suffix is a separator
+        coded = coded.astype(np.int64)
         n = len(coded)
         self.coded, rank, span = coded, coded, 1
         order = np.argsort(rank, kind="stable")
@@ -154,7 +154,8 @@ def _find_runs(h, first, width, anchor):
     starts[1:] = (place[1:] != place[:-1]) | (row[1:n] != row[: n - 1]) | ~valid[:-1]
     a = np.flatnonzero(starts & valid)
     edge = np.flatnonzero(np.concatenate([starts | ~valid, [True]]))
-    return groups[place[a]], row[a], a, edge[np.searchsorted(edge, a, side="right")]
+    # least hashes are small ones: mixed once more, they are even again
+    return tk.mix(groups[place[a]]), row[a], a, edge[np.searchsorted(edge, a, side="right")]
 
 
 def _anchors(width: int, anchor: int):
@@ -260,7 +261,7 @@ def _search(width: int):
         windows = sizes - width + 1
         ends = np.cumsum(windows)
         at = np.arange(ends[-1]) - np.repeat(ends - windows, windows) + np.repeat(begin, windows)
-        holder = np.repeat(docs, sizes + 1)[index.order]
+        holder = np.append(np.repeat(docs, sizes + 1), np.iinfo(np.int64).max)[index.order]
         low, high = (np.concatenate(x) for x in zip(*(index.search(at[k : k + SEARCHED], width) for k in range(0, len(at), SEARCHED)), strict=True))
         lows, which = np.unique(low, return_inverse=True)
         highs = np.zeros(len(lows), np.int64)
