@@ -29,7 +29,7 @@ def test_held_out(spark, query, label):
 
 
 def test_offending_sentences(spark):
-    rows = [(i, f"All is well here. {'You filthy grub.' if i % 3 == 0 else 'It is fine.'} Then on we go.", int(i % 3 == 0)) for i in range(90)]
+    rows = [(i, f"All is well here n{i}. {'You filthy grub.' if i % 3 == 0 else 'It is fine.'} Then on we go.", int(i % 3 == 0)) for i in range(90)]
     df = spark.createDataFrame(rows, "doc_id long, text string, label int")
     model = toxicity.train(df)
     found = toxicity.offending_sentences(df, model).collect()
