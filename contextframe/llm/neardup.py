@@ -196,18 +196,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
 
     links, labels, tried = None, None, None
     for turn in range(rounds + 1):
-        if turn == 0:
+        if labels is None:
             now = member.withColumn("label", F.col("rep"))
         else:
             now = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
             mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-            now = now.join(mixed, "key", "left_semi")
+            now = checkpoint(now.join(mixed, "key", "left_semi"))
+            if now.isEmpty():
+                break
         if turn < rounds:
             order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
             lead = now.groupBy("key").agg(F.min(F.struct(F.col("label"), order.alias("o"), F.col("rep"))).alias("lead")).select("key", F.col("lead.rep").alias("src"), F.col("lead.label").alias("src_label"))
             pairs = filtered(now.join(lead, "key").where("rep <> src and label <> src_label").select("src", F.col("rep").alias("dst")).distinct())
         else:
-            wide = checkpoint(now.join(light, "rep"))
+            wide = now.join(light, "rep")
             x, y = wide.alias("x"), wide.alias("y")
             pairs = x.join(
                 y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & _close_enough("x", "y", count, threshold) & (_first_shared("x", "y", bands) == F.col("x.key"))
