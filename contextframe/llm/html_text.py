@@ -2,8 +2,9 @@
 
 Markup is stripped such that every block element becomes a line.  Lines of
 menus, forms, notices and the like weigh nothing, others as much as they are
-long.  Sums over sliding windows of lines show where the text surges and where
-it dives; the lines between the two points of the heaviest stretch are kept.
+long, and more within an article element.  Sums over sliding windows of lines
+show where the text surges and where it dives; what stands between such points
+is kept, on pages with an article element as on those without.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
 WINDOW = 3
+ARTICLE = 2  # a line within an article or main element weighs so many times its length
 
 
 def _is_apart(name: str, rest: str, inside: bool) -> bool:
@@ -114,8 +116,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     rows = lines(page)
-    marked = any(inside and not apart for _, apart, inside, _ in rows)
-    weight = [0 if apart or (marked and not inside) or (not marked and link > 0.6) else len(text) for text, apart, inside, link in rows]
+    weight = [0 if apart or (not inside and link > 0.6) else ARTICLE * len(text) if inside else len(text) for text, apart, inside, link in rows]
     n = len(weight)
     sums = [sum(weight[i : i + WINDOW]) for i in range(n)]  # the line-block distribution
     # stretches between a surge (the first line that weighs something) and a dive (a whole window that weighs nothing)
@@ -128,20 +129,9 @@ def main_text(page: str | None) -> str:
             begin = None
     if begin is not None:
         stretches.append((begin, n))
-    if not stretches:
-        return ""
-    if marked:  # the article's own element bounds the text: what stands within it is one stretch
-        stretches = [(stretches[0][0], stretches[-1][1])]
-    elif len(stretches) > 1:
-        heavy = [sum(weight[a:b]) for a, b in stretches]
-        top = heavy.index(max(heavy))
-        merged = stretches[top]
-        for (a, b), w in zip(stretches, heavy, strict=True):
-            if w >= 0.2 * heavy[top]:
-                merged = (min(merged[0], a), max(merged[1], b))
-        stretches = [merged]
-    a, b = stretches[0]
-    return "\n".join(rows[i][0] for i in range(a, b) if weight[i])
+    heavy = [sum(weight[a:b]) for a, b in stretches]
+    chosen = [(a, b) for (a, b), w in zip(stretches, heavy, strict=True) if w >= 0.2 * max(heavy) or any(rows[i][2] for i in range(a, b))]
+    return "\n".join(rows[i][0] for i in range(chosen[0][0], chosen[-1][1]) if weight[i]) if chosen else ""
 
 
 def surge_points(page: str) -> list[tuple[int, int]]:

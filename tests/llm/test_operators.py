@@ -265,6 +265,12 @@ def test_html():
     assert html_text.surge_points(PAGE)
 
 
+def test_article_element_does_not_choose_the_text():
+    body = [f"Paragraph {k} of the main text, which stands in a plain element." for k in range(6)]
+    page = "<body><div>" + "".join(f"<p>{t}</p>" for t in body) + "</div><div class=ad><p>x<p>x<p>x</div><article><p>A teaser of another page.</p></article>"
+    assert html_text.main_text(page) == "\n".join([*body, "A teaser of another page."])
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()
