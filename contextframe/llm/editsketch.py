@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import text_or_empty
+from .common import checkpoint, text_or_empty
+from .graph import components
 
 BINS = 128
 PERIOD = 4096
 KINDS = 256
 CONTEXT = 4
+WORD = 7  # bytes of a fingerprint that verification compares at a time; as a long it is not negative
 BLOCK_CHARS = 6 << 20
 
 
@@ -223,24 +225,64 @@ def fingerprint_and_edit(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFra
     return dealt.groupBy("block").applyInArrow(_block, schema)
 
 
-def near_pairs(prints: DataFrame, least: float = 0.7, bands: int = 24, sampled: int = 6) -> DataFrame:
+def _bytes_apart(x):
+    """How many bytes of a long are not zero."""
+    for shift in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+
+def near_pairs(prints: DataFrame, least: float = 0.7, rounds: int = 2) -> DataFrame:
     """(doc_id, fingerprint) -> src, dst, likeness: bit-sampled banding, then verification.
 
-    Every band samples ``sampled`` bytes; in each bucket all documents are
-    compared with its first, so a bucket of n gives n - 1 pairs, and chains of
-    pairs join what is alike.  Equal fingerprints are one class and pair with its
-    first document only.
+    Chains of pairs join whatever a chain of pairs of likeness ``least`` or more
+    joins.  The bands part the bytes into one set more than the bytes by which
+    such a pair may differ, so it agrees in all bytes of at least one band.  In
+    each bucket a leader is compared with the others; documents that pairs
+    already join are not compared again, and what is still apart after
+    ``rounds`` such passes is compared completely.  Equal fingerprints are one
+    class and pair with its first document only.  Likeness is that of the
+    fingerprints; the texts are not read.
     """
-    classes = prints.where("fingerprint is not null and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
-    rng = np.random.default_rng(13)
-    keys = []
-    for b in range(bands):
-        cut = [F.substring("fingerprint", int(2 * p + 1), 2) for p in rng.choice(BINS, sampled, replace=False)]
-        keys.append(F.xxhash64(F.lit(b), *cut))
-    rows = classes.select("rep", "fingerprint", F.explode(F.array(*keys)).alias("key"))
-    lead = rows.groupBy("key").agg(F.min_by("fingerprint", "rep").alias("other"), F.min("rep").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = rows.join(lead, "key").where("rep <> src").select("src", F.col("rep").alias("dst"), "other", "fingerprint").dropDuplicates(["src", "dst"])
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.substr("other", 2 * i + 1, F.lit(2)) == F.substr("fingerprint", 2 * i + 1, F.lit(2))))
-    near = pairs.select("src", "dst", (same / BINS).alias("likeness")).where(F.col("likeness") >= least)
+    fewest = int(np.ceil(least * BINS - 1e-9))
+    classes = checkpoint(
+        prints.where("fingerprint is not null and doc_id is not null")
+        .groupBy("fingerprint")
+        .agg(F.min("doc_id").alias("rep"))
+        .withColumn("words", F.array(*(F.conv(F.substring("fingerprint", 2 * i + 1, 2 * WORD), 16, 10).cast("long") for i in range(0, BINS, WORD))))
+    )
+    bands = np.array_split(np.random.default_rng(13).permutation(BINS), BINS - fewest + 1)
+    keys = [F.xxhash64(F.lit(b), *(F.substring("fingerprint", int(2 * p + 1), 2) for p in band)) for b, band in enumerate(bands)]
+    keyed = classes.select("rep", F.explode(F.array(*keys)).alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    member = checkpoint(keyed.join(shared, "key"))
+    words = classes.select("rep", "words")
+
+    def alike(a: str, b: str):
+        return F.lit(BINS) - sum((_bytes_apart(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(-(-BINS // WORD))), F.lit(0))
+
+    links = labels = None
+    for turn in range(rounds + 1):
+        if labels is None:
+            now = member.withColumn("label", F.col("rep"))
+        else:
+            now = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+            mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+            now = checkpoint(now.join(mixed, "key", "left_semi"))
+        if now.isEmpty():
+            break
+        if turn < rounds:
+            order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+            lead = now.groupBy("key").agg(F.min_by(F.struct("rep", "label"), order).alias("lead"))
+            pairs = now.join(lead, "key").where("label <> lead.label").select(F.least("rep", "lead.rep").alias("src"), F.greatest("rep", "lead.rep").alias("dst")).distinct()
+            pairs = pairs.join(words.toDF("src", "a"), "src").join(words.toDF("dst", "b"), "dst").select("src", "dst", alike("a", "b").alias("same")).where(F.col("same") >= fewest)
+        else:
+            wide = now.join(words, "rep")
+            x, y = wide.toDF("src", "key", "la", "a"), wide.toDF("dst", "key", "lb", "b")
+            pairs = x.join(y, "key").where((F.col("src") < F.col("dst")) & (F.col("la") != F.col("lb")) & (alike("a", "b") >= fewest)).select("src", "dst", alike("a", "b").alias("same"))
+        found = checkpoint(pairs.groupBy("src", "dst").agg((F.max("same") / BINS).alias("likeness")))
+        links = found if links is None else links.union(found)
+        if turn < rounds and not links.isEmpty():
+            labels = components(links)
     copies = prints.join(classes, "fingerprint").where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"), F.lit(1.0).alias("likeness"))
-    return near.union(copies)
+    return copies if links is None else links.union(copies)

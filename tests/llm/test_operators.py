@@ -189,6 +189,38 @@ def test_near_pairs(spark):
     assert (0, 1) in pairs and not pairs & {(0, 3), (0, 4), (3, 4)}
 
 
+def test_near_pairs_of_a_template(spark):
+    """Against all pairs: an unrelated text of the same template leads nearly every bucket, and pairs just reach the least likeness."""
+    rng = np.random.default_rng(8)
+    template = rng.integers(0, 256, 128, dtype=np.uint8)
+    prints = []
+
+    def changed(base, n):
+        out = base.copy()
+        at = rng.choice(128, n, replace=False)
+        out[at] += rng.integers(1, 256, n, dtype=np.uint8)
+        return out
+
+    for _ in range(30):
+        one = changed(template, 64)
+        prints += [one, changed(one, 38), changed(one, 39), changed(one, 25)]
+    prints = [prints[k] for k in rng.permutation(len(prints))] + [prints[0]]
+    n = len(prints)
+
+    def joined(pairs):
+        label = list(range(n))
+        for a, b in pairs:
+            x, y = sorted((label[a], label[b]))
+            label = [x if k == y else k for k in label]
+        return label
+
+    pairs = editsketch.near_pairs(spark.createDataFrame([(i, f.tobytes().hex()) for i, f in enumerate(prints)], "doc_id long, fingerprint string")).collect()
+    for r in pairs:
+        assert r.likeness == editsketch.likeness(prints[r.src], prints[r.dst]) >= 0.7
+    want = joined([(a, b) for a in range(n) for b in range(a) if editsketch.likeness(prints[a], prints[b]) >= 0.7])
+    assert joined([(r.src, r.dst) for r in pairs]) == want and 1 < len(set(want)) < n
+
+
 # ---- near duplicates
 
 
