@@ -39,6 +39,9 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
+LISTS = frozenset("dl ol table ul".split())
+SENTENCE_ENDS = ".!?\u3002\uff01\uff1f"
+LABEL_WORDS = 6
 WINDOW = 3
 ARTICLE = 2  # a line within an article or main element weighs so many times its length
 
@@ -59,22 +62,28 @@ def _is_apart(name: str, rest: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, bool, float]]:
-    """(text, apart, inside an article, share of link text) of every block of a page, in order."""
-    out: list[tuple[str, bool, bool, float]] = []
-    stack: list[tuple[str, bool, bool]] = []
+def lines(page: str) -> list[tuple[str, bool, bool, bool, int]]:
+    """(text, apart, inside an article, whether it is a label, number of the element around it) of every block of a page, in order.
+
+    A label is a line of links of a few words each, such as a menu has; the
+    element around a line is the innermost one that is not a list or table.
+    """
+    out: list[tuple[str, bool, bool, bool, int]] = []
+    stack: list[tuple[str, bool, bool, int]] = []
     buffer: list[str] = []
     apart = inside = False
-    linked, in_link = 0, False
+    linked, links, in_link = 0, 0, False
+    around = opened = 0
 
     def close_line():
-        nonlocal linked
+        nonlocal linked, links
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                out.append((text, apart, inside, linked / len(text)))
+                label = linked > 0.6 * len(text) and len(text.split()) < LABEL_WORDS * max(links, 1) and text[-1] not in SENTENCE_ENDS
+                out.append((text, apart, inside, label, around))
             buffer.clear()
-        linked = 0
+        linked, links = 0, int(in_link)
 
     at = 0
     for m in TAG.finditer(page):
@@ -91,6 +100,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, float]]:
         name = name.lower()
         if name == "a":
             in_link = not m["end"]
+            links += in_link
         elif name in ("br", "wbr", "img", "input"):
             buffer.append("" if name == "wbr" else " ")
         if name not in BLOCKS:
@@ -101,22 +111,56 @@ def lines(page: str) -> list[tuple[str, bool, bool, float]]:
         if not m["end"]:
             apart = apart or _is_apart(name, m["rest"], inside)
             inside = inside or name in ("article", "main")
-            stack.append((name, apart, inside))
+            if name not in LISTS:
+                opened += 1
+                around = opened
+            stack.append((name, apart, inside, around))
         elif any(s[0] == name for s in stack):
             while stack.pop()[0] != name:
                 pass
-            _, apart, inside = stack[-1] if stack else ("", False, False)
+            _, apart, inside, around = stack[-1] if stack else ("", False, False, 0)
     buffer.append(page[at:])
     close_line()
     return out
 
 
+def _weights(rows: list[tuple[str, bool, bool, bool, int]]) -> list[int]:
+    """What each line weighs: nothing if it is apart, or a label that no text holds.
+
+    Text holds the labels between two of its lines in one element, those after
+    it if they are fewer than ``WINDOW`` in a row or in an article element, and
+    there fewer than ``WINDOW`` in a row anywhere.  Else they are a menu.
+    """
+    out = [0 if apart or label else ARTICLE * len(text) if inside else len(text) for text, apart, inside, label, _ in rows]
+    shown = [i for i, row in enumerate(rows) if not row[1]]
+    ends = {}  # by element, its first and last line of text
+    for i in shown:
+        if not rows[i][3]:
+            ends.setdefault(rows[i][4], [i, i])[1] = i
+    at = 0
+    while at < len(shown):
+        end = at
+        while end < len(shown) and rows[shown[end]][3:] == rows[shown[at]][3:]:
+            end += 1
+        if not rows[shown[at]][3]:
+            at = end
+            continue
+        for i in shown[at:end]:
+            text, _, inside, _, around = rows[i]
+            first, last = ends.get(around, (i, i))
+            few = end - at < WINDOW
+            if first < i and (i < last or inside or few) or inside and few:
+                out[i] = ARTICLE * len(text) if inside else len(text)
+        at = end
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks joined by newlines; empty where a page has none, or is null or empty."""
     if not page:
         return ""
     rows = lines(page)
-    weight = [0 if apart or (not inside and link > 0.6) else ARTICLE * len(text) if inside else len(text) for text, apart, inside, link in rows]
+    weight = _weights(rows)
     n = len(weight)
     sums = [sum(weight[i : i + WINDOW]) for i in range(n)]  # the line-block distribution
     # stretches between a surge (the first line that weighs something) and a dive (a whole window that weighs nothing)
@@ -128,15 +172,15 @@ def main_text(page: str | None) -> str:
             stretches.append((begin, i))
             begin = None
     if begin is not None:
-        stretches.append((begin, n))
-    heavy = [sum(weight[a:b]) for a, b in stretches]
-    chosen = [(a, b) for (a, b), w in zip(stretches, heavy, strict=True) if w >= 0.2 * max(heavy) or any(rows[i][2] for i in range(a, b))]
-    return "\n".join(rows[i][0] for i in range(chosen[0][0], chosen[-1][1]) if weight[i]) if chosen else ""
+        last = max(i for i in range(n) if weight[i])
+        stretches.append((begin, last + 1))
+    # within a stretch, lines that weigh nothing are kept too, unless they are apart
+    return "\n".join(rows[i][0] for a, b in stretches for i in range(a, b) if not rows[i][1])
 
 
 def surge_points(page: str) -> list[tuple[int, int]]:
     """(line, window sum) where the distribution changes, for inspection."""
-    weight = [0 if apart else len(text) for text, apart, _, _ in lines(page)]
+    weight = [0 if apart else len(text) for text, apart, *_ in lines(page)]
     sums = [0, *(sum(weight[i : i + WINDOW]) for i in range(len(weight)))]
     return [(i, b) for i, (a, b) in enumerate(pairwise(sums)) if a != b]
 

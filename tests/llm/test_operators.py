@@ -303,6 +303,28 @@ def test_article_element_does_not_choose_the_text():
     assert html_text.main_text(page) == "\n".join([*body, "A teaser of another page."])
 
 
+@pytest.mark.parametrize("around", ["{}", "<div>{}</div>", "<article>{}</article>"])
+def test_short_and_linked_parts_are_kept(around):
+    advert = "<div class=ad><p>Buy<p>this<p>now</div>"
+    body = [f"Paragraph {k} of the body, " + "which is long, " * 9 for k in range(20)]
+    linked = "A whole paragraph of the text that is one link"
+    parts = [
+        ("<p>Short lead.", "Short lead."),
+        (advert, None),
+        *((f"<p>{t}</p>", t.strip()) for t in body[:10]),
+        (f"<p><a href=x>{linked}</a></p>", linked),
+        ("<ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a><li><a href=4>Four</a></ul>", "One\nTwo\nThree\nFour"),
+        *((f"<p>{t}</p>", t.strip()) for t in body[10:]),
+        (advert, None),
+        (f"<p><a href=y>{linked}.</a></p>", linked + "."),
+        (advert, None),
+        ("<p>See also <a href=z>this other page</a></p>", "See also this other page"),
+    ]
+    menu = "<div><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>About us</a></ul></div>"
+    page = "<body>" + menu + around.format("".join(p for p, _ in parts)) + menu + "</body>"
+    assert html_text.main_text(page) == "\n".join(t for _, t in parts if t)
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()
