@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from itertools import pairwise
 
 import pyarrow as pa
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import text_or_empty
 
 # Element names and words of class, id and role attributes.
-RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|title|head|canvas|audio|video|button"
+RAW = "script|style|textarea|iframe|title"
+SKIPPED = frozenset("noscript template select svg math object canvas audio video button".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -39,6 +41,8 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
+PHRASES = frozenset("select button".split())  # skipped elements in which no block but a div can stand
+PARTS = frozenset("li dt dd tr td th caption tbody thead tfoot".split())
 LISTS = frozenset("dl ol table ul".split())
 SENTENCE_ENDS = ".!?\u3002\uff01\uff1f"
 LABEL_WORDS = 6
@@ -62,6 +66,17 @@ def _is_apart(name: str, rest: str, inside: bool) -> bool:
     return False
 
 
+def _ends_skipped(skipped: str, name: str, end: bool, within: Counter) -> bool:
+    """Whether a tag ends the skipped element: its own end, the end of what holds it, or the start of what cannot stand in it."""
+    if end:
+        return within[name] < 1 and (name == skipped or name in BLOCKS)
+    if name == "body" or name in ("article", "main") and skipped != "template":
+        return True
+    if skipped in ("svg", "math") and not within["foreignobject"] or skipped in PHRASES:
+        return name in BLOCKS and name not in ("div", "option", "optgroup", "hr", "legend", "menu")
+    return name in PARTS and not any(within[n] > 0 for n in ("ul", "ol", "dl", "menu", "table", "template"))
+
+
 def lines(page: str) -> list[tuple[str, bool, bool, bool, int]]:
     """(text, apart, inside an article, whether it is a label, number of the element around it) of every block of a page, in order.
 
@@ -74,6 +89,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool, int]]:
     apart = inside = False
     linked, links, in_link = 0, 0, False
     around = opened = 0
+    skipped, within = "", Counter()  # the element that is skipped, and how many of each are open in it
 
     def close_line():
         nonlocal linked, links
@@ -87,17 +103,27 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool, int]]:
 
     at = 0
     for m in TAG.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not skipped:
             piece = page[at : m.start()]
             buffer.append(piece)
             linked += in_link * len(piece)
         at = m.end()
         name = m["name"]
         if name is None:
-            if m[0][:9].upper() == "<![CDATA[":
+            if not skipped and m[0][:9].upper() == "<![CDATA[":
                 buffer.append(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
             continue
         name = name.lower()
+        if skipped:
+            if not _ends_skipped(skipped, name, bool(m["end"]), within):
+                if name in BLOCKS or name in SKIPPED or name == "foreignobject":
+                    within[name] += -1 if m["end"] else not m["rest"].endswith("/")
+                continue
+            skipped = ""
+            within.clear()
+        if name in SKIPPED:
+            skipped = "" if m["end"] or m["rest"].endswith("/") else name
+            continue
         if name == "a":
             in_link = not m["end"]
             links += in_link
@@ -119,7 +145,8 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool, int]]:
             while stack.pop()[0] != name:
                 pass
             _, apart, inside, around = stack[-1] if stack else ("", False, False, 0)
-    buffer.append(page[at:])
+    if not skipped:
+        buffer.append(page[at:])
     close_line()
     return out
 

@@ -325,6 +325,18 @@ def test_short_and_linked_parts_are_kept(around):
     assert html_text.main_text(page) == "\n".join(t for _, t in parts if t)
 
 
+def test_left_out_end_tags():
+    article = "<article><p>One<p>Two</article>"
+    assert html_text.main_text(f"<head><title>t</title><body>{article}") == "One\nTwo"
+    assert html_text.main_text(f"<head><meta charset=utf-8><title>t</title><script>x</script>{article}") == "One\nTwo"
+    for name in ("button", "object", "select", "canvas", "svg", "math", "audio", "video", "noscript", "template"):
+        assert html_text.main_text(f"<body><div><p>Zero</p><{name} id=x>skip</div>{article}") == "Zero\nOne\nTwo", name
+        assert html_text.main_text(f"<body><p>Ze<{name}>skip</{name}>ro{article}") == "Zero\nOne\nTwo", name
+        assert html_text.main_text(f"<body><p>Zero<{name}>skip{article}") == ("Zero" if name == "template" else "Zero\nOne\nTwo"), name
+    assert html_text.main_text(f"<body><ul><li>Zero<button>skip<li>Half</ul>{article}") == "Zero\nHalf\nOne\nTwo"
+    assert html_text.main_text(f"<body><noscript><div>a<p>b</div>c<button>d</button>e</noscript>{article}") == "One\nTwo"
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()
