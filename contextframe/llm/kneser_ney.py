@@ -293,6 +293,9 @@ def train(docs: DataFrame) -> Model | None:
     return Model(folder, shards, parts, tokens, words + 1, start, total, _discounts(*of_pairs), d, rest)
 
 
+# The model of no rows: the one kind of unseen words has probability 1.
+EMPTY = Model("", 0, 0, 0, 0, 0, 0, _discounts(0, 0, 0, 0), _discounts(0, 0, 0, 0), 1.0)
+
 # ---- scoring
 
 _open: dict = {}

@@ -87,9 +87,7 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     held = F.coalesce(held_out_part(5) == 1, F.lit(False))
-    model = lm.train(docs.where(~held))
-    if model is None:
-        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    model = lm.train(docs.where(~held)) or lm.EMPTY
     scored = lm.score(docs, model)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

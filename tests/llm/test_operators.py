@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from contextframe.llm import editsketch, hamming, html_text, kneser_ney, mixing, neardup, packing, substring
-from contextframe.llm.queries import tokenizer_path
+from contextframe.llm.queries import op8_kneser_ney, tokenizer_path
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, label int, score double, n int, key string, size long, rank int, block int"
 
@@ -417,6 +417,18 @@ def test_kneser_ney(spark):
     assert kneser_ney.train(df.limit(0)) is None
 
 
+def test_kneser_ney_without_training_rows(spark, tmp_path):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1]
+    frame(spark, [(i, "some words" if k else None) for k, i in enumerate(ids)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op8_kneser_ney(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == ids and len(ids) > 1
+    for r in got:
+        assert r.held_out and r.n_tokens == (1 if r.doc_id == ids[0] else 3)
+        assert (r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0.0, 0.0)
+    frame(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert op8_kneser_ney(spark, f"{tmp_path}/none").count() == 0
+
+
 # ---- substrings
 
 
