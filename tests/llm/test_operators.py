@@ -87,6 +87,22 @@ def test_packing(spark, rows, limit):
     assert packing.pack_documents(frame(spark, []), tokenizer_path(), limit).count() == 0
 
 
+def test_added_tokens_have_one_id(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["<|endoftext|>", "one  <|endoftext|>  two<|endoftext|><|endoftext|>\n", "<|endoftext |> <|ENDOFTEXT|> <|endoftext|", "ä<|endoftext|>\U0001f600"]
+    tok = Tokenizer.from_file(tokenizer_path())
+    alone = tmp_path / "alone.json"  # no ranks beside it
+    alone.write_bytes(open(tokenizer_path(), "rb").read())
+    for t in texts:
+        want = tok.encode(t, add_special_tokens=False).ids
+        assert list(packing.encoder(tokenizer_path())(t)) == want == list(packing.encoder(str(alone))(t))
+    assert list(packing.encoder(tokenizer_path())(texts[0])) == [50256]
+    rows = list(enumerate(texts))
+    got = [tuple(r)[:5] for r in packing.pack_documents(frame(spark, rows), tokenizer_path(), 64).collect()]
+    assert sorted(got) == sorted(brute_pieces(rows, 64))
+
+
 def test_plan_places_every_length():
     rng = np.random.default_rng(1)
     for _ in range(4):
