@@ -11,6 +11,7 @@ Candidates are confirmed on the full shingle sets.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from math import comb
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import checkpoint, text_or_empty
+from .common import stored, text_or_empty
 from .graph import components
 
 SIG_BITS = 6
@@ -35,6 +36,11 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(tk.runs(hashes, width))
 
 
+def _set_keys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each shingle; their sums tell equal sets."""
+    return tk.mix(x), tk.mix(x ^ np.uint64(0x5851F42D4C957F2D))
+
+
 def _params(count: int, seed: int = 7):
     rng = np.random.default_rng(seed)
     return rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, count, dtype=np.uint64)
@@ -63,8 +69,7 @@ def _features(width: int, bands: int, rows: int):
                 starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
                 at = full + lo
                 size[at] = lens
-                ident[0, at] = np.add.reduceat(tk.mix(x), starts)
-                ident[1, at] = np.add.reduceat(tk.mix(x ^ np.uint64(0x5851F42D4C957F2D)), starts)
+                ident[:, at] = [np.add.reduceat(k, starts) for k in _set_keys(x)]
                 for k in range(count):
                     least[k, at] = np.minimum.reduceat((x ^ flip[k]) * multiply[k], starts)
             least = tk.mix(least)
@@ -88,6 +93,8 @@ def _features(width: int, bands: int, rows: int):
 
 
 def _sets(width: int):
+    """doc_id, text -> the set's two keys and its shingles."""
+
     def run(batches):
         for batch in batches:
             data, bounds = tk.utf8(batch.column(1))
@@ -95,9 +102,12 @@ def _sets(width: int):
                 h, first, _, _ = tk.words_block(data, bounds, lo, hi, lower=True)
                 sets = [shingles(h[first[k] : first[k + 1]], width) for k in range(hi - lo)]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                every = np.concatenate(sets)
+                keys = [np.concatenate([k, np.zeros(1, np.uint64)]) for k in _set_keys(every)]
+                keys = [np.where(np.diff(offsets) > 0, np.add.reduceat(k, offsets[:-1]), 0).astype(np.uint64).view(np.int64) for k in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))],
-                    names=["doc_id", "shingles"],
+                    [batch.column(0).slice(lo, hi - lo), *map(pa.array, keys), pa.ListArray.from_arrays(pa.array(offsets), pa.array(every.view(np.int64)))],
+                    names=["rep", "set_a", "set_b", "shingles"],
                 )
 
     return run
@@ -124,126 +134,148 @@ def _most_apart(count: int, threshold: float, miss: float = 1e-5) -> int:
     return int(np.flatnonzero(1 - np.cumsum(far) <= miss)[0])
 
 
-def _first_shared(a: str, b: str, bands: int):
-    """The key of the first table that two classes share, so that a pair comes from one of its tables only."""
+class _Work:
+    """The classes of one table of documents and what their comparison needs."""
 
-    def first(half):
-        return F.coalesce(*(F.when(F.col(f"{a}.{half}")[i] == F.col(f"{b}.{half}")[i], F.lit(i)) for i in range(bands)))
+    def __init__(self, width: int, threshold: float, bands: int, rows: int):
+        self.width, self.bands, self.rows, self.count = width, bands, rows, 2 * bands * rows
+        self.threshold, self.percent = threshold, round(100 * threshold)
 
-    i, j = first("half_a"), first("half_b")
-    return F.xxhash64(F.get(F.col(f"{a}.half_a"), i), F.get(F.col(f"{a}.half_b"), j), i * F.lit(bands) + j)
+    def load(self, source: DataFrame) -> None:
+        bands = self.bands
+        self.feats = stored(
+            source.mapInArrow(
+                _features(self.width, bands, self.rows),
+                "doc_id long, n_shingles long, set_a long, set_b long, sig array<long>, half_a array<long>, half_b array<long>",
+            )
+        )
+        # cid names a class: it is written once, with the rows, and read from there
+        self.classes = stored(
+            self.feats.where("n_shingles > 0 and doc_id is not null")
+            .groupBy("set_a", "set_b")
+            .agg(F.min(F.struct("doc_id", "n_shingles", "sig", "half_a", "half_b")).alias("m"))
+            .select(F.monotonically_increasing_id().alias("cid"), "set_a", "set_b", F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.sig", "m.half_a", "m.half_b")
+        )
+        pairs_of_keys = F.flatten(
+            F.transform("half_a", lambda a, i: F.transform("half_b", lambda b, j: F.xxhash64(a, b, i * F.lit(bands) + j)))
+        )
+        keyed = self.classes.select("cid", F.explode(pairs_of_keys).alias("key"))
+        lead = keyed.groupBy("key").agg(F.min("cid").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1")
+        self.member = stored(keyed.join(lead, "key"))
+        busy = self.member.select("cid").distinct()
+        self.light = stored(self.classes.join(busy, "cid", "left_semi").select("cid", "set_a", "set_b", "rep", "n_shingles", "sig"))
+        reps = self.light.select("rep", "set_a", "set_b")
+        texts = source.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        sets = texts.mapInArrow(_sets(self.width), "rep long, set_a long, set_b long, shingles array<long>")
+        key = ["set_a", "set_b", "rep"]
+        found = sets.join(self.light.select(*key, "cid", "n_shingles"), key).select("cid", "n_shingles", "shingles")
+        self.sets = stored(found.groupBy("cid").agg(F.first("n_shingles").alias("n"), F.first("shingles").alias("shingles")))
+
+    def stars(self) -> DataFrame:
+        """src, dst: each bucket's first class with its others, where sizes and signatures allow a link."""
+        pairs = self.member.where("cid <> lead").select(F.col("lead").alias("src"), F.col("cid").alias("dst")).distinct()
+        a, b = (self.light.select(F.col("cid"), "n_shingles", "sig").alias(n) for n in "ab")
+        pairs = pairs.join(a, F.col("src") == F.col("a.cid")).join(b, (F.col("dst") == F.col("b.cid")) & _close_enough("a", "b", self.count, self.threshold))
+        return pairs.select("src", "dst")
+
+    def left_apart(self, labels: DataFrame | None) -> DataFrame:
+        """cid, label of the classes in buckets that hold several labels, among which not all pairs have been compared."""
+        rows = self.member.where("members > 2")
+        if labels is None:
+            rows = rows.withColumn("label", F.col("cid"))
+        else:
+            rows = rows.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        rows = rows.select("key", "cid", "label")
+        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        return stored(rows.join(mixed, "key", "left_semi").select("cid", "label").distinct())
+
+    def by_prefix(self, apart: DataFrame) -> DataFrame:
+        """src, dst: all pairs of classes under different labels that can be similar enough; exact, and without the buckets.
+
+        Shingles are ordered by how many of these classes hold them, rarest
+        first.  A pair with the similarity shares one that is early in both sets:
+        so early that what follows can still hold all that they must have in
+        common.  In the smaller set that is about its first (1 - t) / (1 + t), in
+        the larger its first 1 - t.
+        """
+        t = self.percent
+        sets = self.sets.join(apart, "cid")
+        each = sets.select("cid", "n", "label", F.explode("shingles").alias("shingle"))
+        common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+        early = F.expr(f"n - (n * {t} + 99) div 100 + 1")  # entries of a set of which a similar one holds at least one
+        ordered = (
+            each.join(common, "shingle")
+            .groupBy("cid", "n", "label")
+            .agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("order"))
+            .withColumn("alone", F.col("n") - F.size("order"))  # shingles of no other class come first
+            .select("cid", "n", "label", "alone", F.posexplode(F.slice("order", 1, F.greatest(F.lit(0), early - F.col("alone")).cast("int"))).alias("at", "entry"))
+            .select("cid", "n", "label", F.col("entry.shingle").alias("shingle"), (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
+        )
+        ordered = stored(ordered)
+        band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / t) + 1e-9)
+        large = ordered.select("shingle", band.alias("band"), *(F.col(c).alias(f"{c}_x") for c in ("cid", "n", "label", "rest")))
+        small = ordered.where(F.expr(f"rest * {100 + t} >= 2 * n * {t}")).withColumn("band", F.explode(F.array(band, band + 1)))
+        small = small.select("shingle", "band", *(F.col(c).alias(f"{c}_y") for c in ("cid", "n", "label", "rest")))
+        may = (
+            f"label_x <> label_y and (n_y < n_x or n_y = n_x and cid_y < cid_x) and n_y * 100 >= n_x * {t} and least(rest_x, rest_y) * {100 + t} >= (n_x + n_y) * {t}"
+        )
+        pairs = large.join(small, (large.shingle == small.shingle) & (large.band == small.band) & F.expr(may))
+        return pairs.select(F.col("cid_y").alias("src"), F.col("cid_x").alias("dst")).distinct()
 
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets are similar enough."""
+        one, two = (self.sets.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"set_{c}")) for c in ("src", "dst"))
+        both = F.size(F.array_intersect("set_src", "set_dst")).cast("long")
+        rows = pairs.join(one, "src").join(two, "dst").select("src", "dst", both.alias("both"), (F.col("n_src") + F.col("n_dst")).alias("total"))
+        return rows.where(F.col("both") * (100 + self.percent) >= F.col("total") * self.percent).select("src", "dst")
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 2, rounds: int = 3) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 2) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept.
 
     Documents whose sets of ``width``-word shingles have a Jaccard similarity of
-    ``threshold`` or more are linked; component_id is the smallest doc_id that
-    links reach, and one document of each component is kept.
+    ``threshold`` (whole per cents) or more are linked; component_id is the
+    smallest doc_id that links reach, and one document of each component is kept.
 
     Null or wordless texts have an empty set and are linked with nothing.
-    Repeated rows share one doc_id and give a row each.  A null doc_id takes the
-    component of its copies that have one, else null, and is kept only then.
-    Equal sets are one class, so copies never meet as pairs.  In a bucket of
-    classes, the first is compared with the others; classes that a link already
-    joins are not compared again, and what is still apart after ``rounds`` such
-    passes is compared completely.  No bucket is capped.
+    Repeated rows give a row each; rows that share a doc_id but not a text are
+    documents of their own.  A null doc_id takes the component of its copies
+    that have one, else null, and is kept only then.  Ties, very long texts,
+    empty tables and further columns need no care.
+
+    Equal sets are one class, so copies never meet as pairs.  In each bucket of
+    the tables the first class is compared with the others.  Classes in buckets
+    of three and more that links leave apart are compared by the early shingles
+    they share, which loses no pair.  No bucket is capped.
     """
-    count = 2 * bands * rows
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    feats = checkpoint(
-        source.mapInArrow(
-            _features(width, bands, rows),
-            "doc_id long, n_shingles long, set_a long, set_b long, sig array<long>, half_a array<long>, half_b array<long>",
-        )
-    )
-    key = ["set_a", "set_b"]
-    classes = checkpoint(
-        feats.where("n_shingles > 0 and doc_id is not null")
-        .groupBy(*key)
-        .agg(*(F.min(F.struct("doc_id", "n_shingles", "sig", "half_a", "half_b")).alias("m"),))
-        .select(*key, F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.sig", "m.half_a", "m.half_b")
-    )
-    pairs_of_keys = F.flatten(
-        F.transform("half_a", lambda a, i: F.transform("half_b", lambda b, j: F.xxhash64(a, b, i * F.lit(bands) + j)))
-    )
-    keyed = classes.select("rep", F.explode(pairs_of_keys).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    member = checkpoint(keyed.join(shared.select("key"), "key"))
-    busy = member.select("rep").distinct()
-    light = checkpoint(classes.join(busy, "rep", "left_semi").select("rep", "n_shingles", "sig", "half_a", "half_b"))
-    sets = checkpoint(
-        source.join(light.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>")
-    )
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("doc_id").alias("src"), F.col("shingles").alias("sa"))
-        two = sets.select(F.col("doc_id").alias("dst"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb")).cast("long")
-        return (
-            pairs.join(one, "src")
-            .join(two, "dst")
-            .select("src", "dst", both.alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
-            .where(F.col("both") * (100 + round(100 * threshold)) >= F.col("total") * round(100 * threshold))
-            .select("src", "dst")
-        )
-
-    def filtered(pairs: DataFrame) -> DataFrame:
-        a, b = (light.select("rep", "n_shingles", "sig").alias(n) for n in "ab")
-        return (
-            pairs.join(a, F.col("src") == F.col("a.rep")).join(b, (F.col("dst") == F.col("b.rep")) & _close_enough("a", "b", count, threshold)).select("src", "dst")
-        )
-
-    links, labels, tried = None, None, None
-    for turn in range(rounds + 1):
-        if labels is None:
-            now = member.withColumn("label", F.col("rep"))
-        else:
-            now = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-            mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-            now = checkpoint(now.join(mixed, "key", "left_semi"))
-            if now.isEmpty():
-                break
-        if turn < rounds:
-            order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-            lead = now.groupBy("key").agg(F.min(F.struct(F.col("label"), order.alias("o"), F.col("rep"))).alias("lead")).select("key", F.col("lead.rep").alias("src"), F.col("lead.label").alias("src_label"))
-            pairs = filtered(now.join(lead, "key").where("rep <> src and label <> src_label").select("src", F.col("rep").alias("dst")).distinct())
-        else:
-            wide = now.join(light, "rep")
-            x, y = wide.alias("x"), wide.alias("y")
-            pairs = x.join(
-                y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & _close_enough("x", "y", count, threshold) & (_first_shared("x", "y", bands) == F.col("x.key"))
-            ).select(F.col("x.rep").alias("src"), F.col("y.rep").alias("dst"))
-        pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["src", "dst"], "left_anti"))
-        if pairs.isEmpty():
-            if turn < rounds:
-                continue
-            break
-        tried = pairs if tried is None else tried.union(pairs)
-        found = checkpoint(confirmed(pairs))
-        links = found if links is None else links.union(found)
-        labels = components(links)
-    out = feats.select("doc_id", "n_shingles", *key).join(classes.select(*key, "rep"), key, "left")
-    if labels is not None:
-        out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        out = out.withColumn("label", F.lit(None).cast("long"))
-    component = F.coalesce("label", "rep", "doc_id")
+    work = _Work(width, threshold, bands, rows)
+    work.load(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
+    links = stored(work.confirmed(work.stars()))
+    labels = components(links)
+    more = stored(work.confirmed(work.by_prefix(work.left_apart(labels))))
+    if not more.isEmpty():
+        labels = components(links.union(more))
+    of_class = work.classes.select("cid", "set_a", "set_b", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    of_class = of_class.withColumn("label", F.coalesce("label", "cid"))
+    least = of_class.groupBy("label").agg(F.min("rep").alias("least"))
+    of_class = of_class.join(least, "label").select("set_a", "set_b", "least")
+    out = work.feats.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
+    component = F.coalesce("least", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def first_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8, broadcast_ids: int = 4_000_000) -> DataFrame:
-    """The rows, with all of their columns, of the smallest doc_id of each component; one of rows that repeat a doc_id.
+def first_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """The rows, with all of their columns, of the smallest doc_id of each component.
 
-    Rows with a null doc_id stay.  The ids to keep are broadcast up to
+    Rows with a null doc_id stay.  Of rows that repeat a doc_id to keep, the one
+    with the smallest text stays.  The ids to keep are broadcast up to
     ``broadcast_ids`` of them and joined by a shuffle beyond that.
     """
-    kept = checkpoint(near_duplicates(docs, width, threshold).where("kept and doc_id is not null").select("doc_id"))
-    ids = kept.distinct()
-    repeated = kept.count() > ids.count()
-    ids = F.broadcast(ids) if ids.limit(broadcast_ids + 1).count() <= broadcast_ids else ids
-    out = docs.join(ids, "doc_id", "left_semi").select(docs.columns)
-    if repeated:
-        out = out.dropDuplicates(["doc_id"])
+    kept = stored(near_duplicates(docs, width, threshold).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")))
+    facts = kept.agg(F.count(F.lit(1)).alias("ids"), F.max("times").alias("most")).first()
+    ids = kept.select(F.col("doc_id").alias("kept_id"))
+    out = docs.join(F.broadcast(ids) if facts.ids <= broadcast_ids else ids, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    if (facts.most or 0) > 1:
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        out = out.groupBy(F.col("doc_id").alias("kept_id")).agg(F.min_by(row, F.struct(text_or_empty(), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))).alias("row")).select("row.*")
     return out.union(docs.where("doc_id is null"))

@@ -296,6 +296,32 @@ def test_first_of_each(spark, rows):
     assert sorted(kept) == sorted(i for i, (_, c) in brute_components(rows, 2).items() if i == c)
 
 
+def test_hot_bucket_of_texts_that_differ(spark):
+    """One template in many texts: the table's buckets are large, few pairs are links, and chains hold some of them."""
+    rng = random.Random(4)
+    passage = text(rng, 60)
+    rows = [(i, f"{passage} {text(rng, rng.randrange(2, 30))}") for i in range(150)]
+    for i in range(150, 210):
+        part = rows[rng.randrange(i)][1].split()
+        for _ in range(rng.randrange(1, 9)):
+            part[rng.randrange(len(part))] = f"z{rng.randrange(999)}"
+        rows.append((i, " ".join(part)))
+    for width in (2, 5):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows), width).collect()}
+        want = {i: c for i, (_, c) in brute_components(rows, width).items()}
+        assert got == want and 20 < len(set(want.values())) < 200
+
+
+def test_repeated_ids_with_other_texts(spark):
+    rng = random.Random(5)
+    a, b, c = (text(rng, 50) for _ in range(3))
+    rows = [(1, a), (1, b), (2, f"{b} more"), (3, f"{c} more"), (4, c), (4, c), (4, a)]
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(frame(spark, rows), 2).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 1), (4, 3), (4, 3)]
+    kept = neardup.first_of_each(frame(spark, rows), 2).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept)) == [(1, min(a, b)), (3, f"{c} more")]
+
+
 # ---- HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>
