@@ -149,13 +149,17 @@ class _Work:
                 "doc_id long, n_shingles long, set_a long, set_b long, sig array<long>, half_a array<long>, half_b array<long>",
             )
         )
-        # cid names a class: it is written once, with the rows, and read from there
-        self.classes = stored(
+        classes = stored(
             self.feats.where("n_shingles > 0 and doc_id is not null")
             .groupBy("set_a", "set_b")
             .agg(F.min(F.struct("doc_id", "n_shingles", "sig", "half_a", "half_b")).alias("m"))
-            .select(F.monotonically_increasing_id().alias("cid"), "set_a", "set_b", F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.sig", "m.half_a", "m.half_b")
+            .select("set_a", "set_b", F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.sig", "m.half_a", "m.half_b")
         )
+        # cid names a class: its smallest document, or a number where documents with other sets repeat that id
+        if classes.groupBy("rep").count().where("count > 1").isEmpty():
+            self.classes = classes.withColumn("cid", F.col("rep"))
+        else:
+            self.classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()))
         pairs_of_keys = F.flatten(
             F.transform("half_a", lambda a, i: F.transform("half_b", lambda b, j: F.xxhash64(a, b, i * F.lit(bands) + j)))
         )
@@ -168,8 +172,8 @@ class _Work:
         texts = source.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
         sets = texts.mapInArrow(_sets(self.width), "rep long, set_a long, set_b long, shingles array<long>")
         key = ["set_a", "set_b", "rep"]
-        found = sets.join(self.light.select(*key, "cid", "n_shingles"), key).select("cid", "n_shingles", "shingles")
-        self.sets = stored(found.groupBy("cid").agg(F.first("n_shingles").alias("n"), F.first("shingles").alias("shingles")))
+        found = sets.join(self.light.select(*key, "cid", "n_shingles"), key).groupBy(*key, "cid").agg(F.first("n_shingles").alias("n"), F.first("shingles").alias("shingles"))
+        self.sets = stored(found.select("cid", "n", "shingles"))
 
     def stars(self) -> DataFrame:
         """src, dst: each bucket's first class with its others, where sizes and signatures allow a link."""
@@ -178,14 +182,10 @@ class _Work:
         pairs = pairs.join(a, F.col("src") == F.col("a.cid")).join(b, (F.col("dst") == F.col("b.cid")) & _close_enough("a", "b", self.count, self.threshold))
         return pairs.select("src", "dst")
 
-    def left_apart(self, labels: DataFrame | None) -> DataFrame:
-        """cid, label of the classes in buckets that hold several labels, among which not all pairs have been compared."""
-        rows = self.member.where("members > 2")
-        if labels is None:
-            rows = rows.withColumn("label", F.col("cid"))
-        else:
-            rows = rows.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        rows = rows.select("key", "cid", "label")
+    def left_apart(self, labels: DataFrame) -> DataFrame:
+        """cid, label of the classes in buckets whose members, without the first, hold several labels: stars() has not compared these."""
+        rows = self.member.where("members > 2 and cid <> lead").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+        rows = rows.select("key", "cid", F.coalesce("label", "cid").alias("label"))
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         return stored(rows.join(mixed, "key", "left_semi").select("cid", "label").distinct())
 
