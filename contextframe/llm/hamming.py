@@ -1,87 +1,160 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into segments, each indexed by its value.  If every segment has
-been searched out to radius r, no code within total distance
-segments * (r + 1) - 1 is missing; radii grow until that covers the k-th best
-verified distance of a query.
+A code's bits are dealt to segments of about log2(number of codes) bits such
+that each holds as much information; every segment is an index.  Radii grow one
+segment at a time: once all segments have been searched out to radius r - 1 and
+the first a of them out to r, no code within distance segments * r + a - 1 is
+missing.  A query ends when that covers its k-th best verified distance, and
+codes beyond that distance are dropped where they are found.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-from .common import checkpoint
+from .common import stored
 
-BITS = 64
+WORD = 64
+WIDEST = 24
+FAR = 1 << 30
+SCAN_ROWS = 1 << 16
 
 
 def sign_codes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id, embedding -> id, code: bit i is set where component i is over 0.
+    """vec_id, embedding -> id, code: longs in whose bits, from the lowest of the first, component i is 1 where it is over 0.
 
-    Null components count as 0; a null vector or id has no code.  Vectors of
-    over 64 components are refused.
+    Null components count as 0; a null vector or id has no code, an empty vector
+    an empty one.  Vectors of any number of components will do.
     """
     e = F.col(embedding)
-    bit = F.aggregate(
-        F.sequence(F.lit(0), F.size(e) - 1), F.lit(0).cast("long"), lambda acc, i: F.when(F.get(e, i) > 0, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(acc)
+    word = lambda w: F.aggregate(
+        F.sequence(F.lit(0), F.least(F.lit(WORD), F.size(e) - w * WORD) - 1),
+        F.lit(0).cast("long"),
+        lambda acc, i: F.when(F.get(e, w * WORD + i) > 0, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(acc),
     )
-    long = F.raise_error(F.lit("vectors of over 64 components"))
-    code = F.when(F.size(e) > BITS, long.cast("long")).when(F.size(e) == 0, F.lit(0).cast("long")).otherwise(bit)
+    words = F.transform(F.sequence(F.lit(0), F.floor((F.size(e) - 1) / WORD).cast("int")), word)
+    code = F.when(F.size(e) == 0, F.array().cast("array<long>")).otherwise(words)
     return vectors.where(F.col(vec_id).isNotNull() & e.isNotNull()).select(F.col(vec_id).cast("long").alias("id"), code.alias("code"))
 
 
-def _segment(code, s: int, width: int):
-    return F.expr(f"int(shiftrightunsigned({code}, {s * width}) & {(1 << width) - 1})")
+def _deal(share: list[float], segments: int) -> list[list[int]]:
+    """Bits by segment; those that tell codes apart best go round first."""
+    order = sorted(range(len(share)), key=lambda b: (-share[b] * (1 - share[b]), b))
+    return [sorted(order[s::segments]) for s in range(segments)]
+
+
+def _segments(code: str, dealt: list[list[int]]) -> Column:
+    """The values of a code's segments."""
+    bit = lambda b, at: f"shiftleft(int(shiftrightunsigned({code}[{b // WORD}], {b % WORD}) & 1L), {at})"
+    return F.expr("array(" + ", ".join(" | ".join(bit(b, at) for at, b in enumerate(bits)) for bits in dealt) + ")")
 
 
 def _flips(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
 
 
-def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4) -> DataFrame:
+def _apart(segments: int, a: str = "q", b: str = "segs") -> list[Column]:
+    return [F.bit_count(F.col(a)[s].bitwiseXOR(F.col(b)[s])) for s in range(segments)]
+
+
+def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """codes (id, code), queries (query_id, code) -> query_id, rank, id, distance.
 
     The k nearest by Hamming distance, smaller ids first among equals; fewer
     rows only if there are fewer codes.  Equal codes are one entry of the index
-    and equal queries one search.  Repeated ids are rows of their own.
+    and equal queries one search.  Repeated ids are rows of their own; null ids
+    and codes are left out.  A shorter code counts as filled up with zeros.
+    Queries whose next radius would look into more places than there are codes
+    are compared with all codes, in blocks.
     """
-    width = BITS // segments
+    codes, queries = codes.where("id is not null and code is not null"), queries.where("query_id is not null and code is not null")
+    size = F.coalesce(F.max(F.size("code")), F.lit(0)).alias("longest")
+    longest = max(t.agg(size).first().longest for t in (codes, queries))
+    full = F.transform(F.sequence(F.lit(0), F.lit(max(longest, 1) - 1)), lambda w: F.coalesce(F.get("code", w), F.lit(0).cast("long")))
+    codes, queries = codes.withColumn("code", full), queries.withColumn("code", full)
     small = Window.partitionBy("code").orderBy("id")
     ranked = codes.withColumn("nth", F.row_number().over(small)).where(F.col("nth") <= k)
-    entries = checkpoint(ranked.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))  # k ids at most
-    many = entries.count()
-    index = checkpoint(
-        entries.select(
-            "code", F.element_at("ids", 1).alias("first"), F.size("ids").alias("n"), F.posexplode(F.array(*(_segment("code", s, width) for s in range(segments)))).alias("seg", "val")
-        )
-    )
-    pending = checkpoint(queries.select(F.col("code").alias("q")).distinct())
-    best, found = None, None
+    entries = stored(ranked.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))  # k ids at most
+    bits = max(1, WORD * longest)
+    one = [F.sum(F.shiftrightunsigned(F.col("code")[b // WORD], b % WORD).bitwiseAND(F.lit(1))) for b in range(bits)]
+    many, ones = entries.agg(F.count(F.lit(1)), F.array(*one)).first()
+    if not many:
+        return codes.sparkSession.createDataFrame([], "query_id long, rank int, id long, distance int")
+    width = min(WIDEST, bits, max(4, math.ceil(math.log2(many + 1))))
+    segments = max(1, round(bits / width))
+    dealt = _deal([n / many for n in ones], segments)
+    width = max(map(len, dealt))
+    index = stored(entries.select(_segments("code", dealt).alias("segs"), F.element_at("ids", 1).alias("first"), F.size("ids").alias("n")))
+    asked = queries.select("query_id", _segments("code", dealt).alias("q"))
+    pending = stored(asked.select("q").distinct().withColumn("kth", F.lit(FAR)))
+    state = {"left": pending.count()}
+    found, best, place = [], None, Window.partitionBy("q").orderBy("distance", "first")
+    apart = _apart(segments)
+    distance = sum(apart[1:], apart[0])
+
+    def take(got: DataFrame, covered: int) -> None:
+        """Merge what was found into the best of each query; those that ``covered`` proves complete end."""
+        nonlocal best, pending
+        got = got.select("q", "segs", "first", "n", "distance")
+        rows = got if best is None else got.union(best)
+        upto = F.sum("n").over(place.rowsBetween(Window.unboundedPreceding, 0))
+        top = stored(rows.withColumn("nth", F.row_number().over(place)).where(F.col("nth") <= k).withColumn("upto", upto))
+        stats = top.groupBy("q").agg(F.min(F.when(F.col("upto") >= k, F.col("distance"))).alias("now"), F.count(F.lit(1)).alias("held"))
+        state_of = pending.join(stats, "q", "left").select("q", F.coalesce("now", F.lit(FAR)).alias("kth"), F.coalesce("held", F.lit(0)).alias("held"))
+        open_ = (F.col("kth") > covered) & (F.col("held") < many)
+        told = Observation()
+        pending = stored(state_of.where(open_).select("q", "kth").observe(told, F.count(F.lit(1)).alias("left")))
+        state["left"] = told.get.get("left", 0)
+        top = top.select("q", "segs", "first", "n", "distance")
+        if state["left"]:
+            found.append(top.join(pending, "q", "left_anti").select("q", "segs", "distance"))
+            best = top.join(pending, "q", "left_semi")
+        else:
+            found.append(top.select("q", "segs", "distance"))
+
+    def probe(radius: int, at: range) -> None:
+        """Search these segments at this radius; a code that an earlier step found is not found again."""
+        parts = []
+        for s in at:
+            flips = _flips(len(dealt[s]), radius)
+            probes = pending.select("q", "kth", F.col("q")[s].alias("base"), F.explode(F.lit(flips)).alias("flip")).select("q", "kth", F.col("base").bitwiseXOR(F.col("flip")).alias("val"))
+            new = [apart[o] > radius for o in range(s)] + [apart[o] >= radius for o in range(s + 1, segments)]
+            may = distance <= F.col("kth")
+            for c in new:
+                may = may & c
+            parts.append(probes.join(index, (F.col("val") == F.col("segs")[s]) & may).withColumn("distance", distance))
+        got = parts[0]
+        for p in parts[1:]:
+            got = got.union(p)
+        take(got, segments * radius + at[-1])
+
+    def scan() -> None:
+        """The queries that are left against all codes, block by block."""
+        nonlocal best
+        best = None
+        blocks = max(1, many // SCAN_ROWS)
+        whole = index.withColumn("block", F.pmod(F.xxhash64("segs"), F.lit(blocks)))
+        each = pending.select("q", "kth", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+        take(each.join(whole, (each.block == whole.block) & (distance <= F.col("kth"))).withColumn("distance", distance), FAR)
+
     for radius in range(width + 1):
-        if pending.isEmpty():
+        if not state["left"]:
             break
-        flips = _flips(width, radius)
-        probes = pending.select("q", F.posexplode(F.array(*(_segment("q", s, width) for s in range(segments)))).alias("seg", "base"))
-        probes = probes.select("q", "seg", F.explode(F.lit(flips)).alias("flip"), "base").select("q", "seg", F.col("base").bitwiseXOR(F.col("flip")).alias("val"))
-        got = probes.join(index, ["seg", "val"]).select("q", "code", "first", "n", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
-        if best is not None:
-            got = got.union(best)
-        got = got.dropDuplicates(["q", "code"])
-        order = Window.partitionBy("q").orderBy("distance", "first")
-        upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-        got = checkpoint(got.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).withColumn("upto", upto))
-        covered = segments * (radius + 1) - 1
-        done = got.groupBy("q").agg(F.min(F.when(F.col("upto") >= k, F.col("distance"))).alias("kth"), F.count(F.lit(1)).alias("held"))
-        done = checkpoint(done.where((F.col("kth") <= covered) | (F.col("held") == many) | F.lit(radius == width)).select("q"))
-        ended = got.join(done, "q", "left_semi").select("q", "code", "distance")
-        found = ended if found is None else found.union(ended)
-        best = checkpoint(got.join(done, "q", "left_anti").select("q", "code", "first", "n", "distance"))
-        pending = checkpoint(pending.join(done, "q", "left_anti"))
-    if found is None:
-        return codes.sparkSession.createDataFrame([], "query_id long, rank int, id long, distance int")
-    hits = found.join(entries, "code").select("q", "distance", F.explode("ids").alias("id"))
-    place = Window.partitionBy("q").orderBy("distance", "id")
-    hits = hits.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-    return queries.join(hits, queries.code == hits.q).select("query_id", "rank", "id", "distance")
+        if math.comb(width, radius) > many:
+            scan()
+            break
+        for at in [range(segments)] if radius < 2 else [range(s, s + 1) for s in range(segments)]:
+            if state["left"]:
+                probe(radius, at)
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.union(more)
+    ids = entries.select(_segments("code", dealt).alias("segs"), "ids")
+    hits = hits.join(ids, "segs").select("q", "distance", F.explode("ids").alias("id"))
+    by = Window.partitionBy("q").orderBy("distance", "id")
+    hits = hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return asked.join(hits, "q").select("query_id", "rank", "id", "distance")
