@@ -33,12 +33,16 @@ AD_WORDS = frozenset(
     "social follow related recommended recommendations trending popular comment comments commentlist reply replies disqus respond widget pagination pager copyright legal disclaimer search skip tags hidden".split()
 )
 REPLIES = frozenset("comment comments reply replies".split())
+PLAIN_PARTS = frozenset(
+    "area article bar block body bottom box btn button col column container content desktop div el end entry fixed foot form global group head header holder hot inline inner item js large left line link links list "
+    "main mobile module new news outer page panel placeholder post primary right row section site slot small sticky text title top unit user web wrap wrapper zone".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
-TAG = re.compile(
-    rf"<!--.*?(?:--\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+TAG_STOP = re.compile(r"[>\"']")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW.split("|")}
+COMMENT_END = re.compile(r"--\s*>")
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
 PHRASES = frozenset("select button".split())  # skipped elements in which no block but a div can stand
@@ -50,6 +54,71 @@ WINDOW = 3
 ARTICLE = 2  # a line within an article or main element weighs so many times its length
 
 
+class _Tags:
+    """The tags of a page in order, in time proportional to its length whatever quotes and brackets are left open.
+
+    ``start`` and ``end`` are a tag's place, ``name`` its lower-case name or None
+    for comments and declarations; scripts, styles and the like come whole.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def _tag_end(self, at: int) -> int:
+        """Where a tag's > stands, quoted values apart; a quote that is not closed is no quote.  -1 if there is none."""
+        while at <= self.last[">"]:
+            m = TAG_STOP.search(self.page, at)
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if at <= self.last[m[0]] and self.page[max(0, m.start() - 9) : m.start()].rstrip().endswith("="):
+                at = self.page.find(m[0], at) + 1
+        return -1
+
+    def __iter__(self):
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            m = TAG_NAME.match(page, start) if start < self.last[">"] else None
+            if m:
+                stop = self._tag_end(m.end())
+                if stop < 0:
+                    continue
+                name, rest, end = m[2].lower(), page[m.end() : stop], stop + 1
+                if not m[1] and name in RAW_END and not rest.endswith("/"):
+                    close = RAW_END[name].search(page, end)
+                    name, end = None, close.end() if close else len(page)
+                yield start, end, name, bool(m[1]), rest
+            elif page.startswith("<!--", start):
+                close = COMMENT_END.search(page, start + 4)
+                end = close.end() if close else len(page)
+                yield start, end, None, False, ""
+            elif page[start : start + 9].upper() == "<![CDATA[":
+                close = page.find("]]>", start)
+                end = close + 3 if close >= 0 else len(page)
+                yield start, end, None, False, page[start + 9 : end].removesuffix("]]>")
+            elif page[start + 1 : start + 2] in ("!", "?", "/") and self.last[">"] > start:
+                end = page.index(">", start) + 1
+                yield start, end, None, False, ""
+            else:
+                continue
+            at = end
+
+
+def _says(value: str, words: frozenset) -> bool:
+    """Whether a class, id or role attribute names one of the words.
+
+    A name does if all of its parts are such words or say nothing by themselves:
+    "ad-box" and "footer2" do, "legal-analysis" does not.
+    """
+    for token in value.split():
+        parts = NAME_PART.findall(token)
+        if parts and not words.isdisjoint(parts) and all(p in words or p in PLAIN_PARTS or len(p) == 1 for p in parts):
+            return True
+    return False
+
+
 def _is_apart(name: str, rest: str, inside: bool) -> bool:
     """Whether an element holds no article text: by its name, or what its attributes call it."""
     if name in APART or name == "header" and not inside:
@@ -61,7 +130,7 @@ def _is_apart(name: str, rest: str, inside: bool) -> bool:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if key == "role" and value in ROLES or key in ("class", "id") and not words.isdisjoint(NAME_PART.findall(value)):
+        if key == "role" and value in ROLES or key in ("class", "id") and _says(value, words):
             return True
     return False
 
@@ -85,6 +154,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool, int]]:
     """
     out: list[tuple[str, bool, bool, bool, int]] = []
     stack: list[tuple[str, bool, bool, int]] = []
+    standing: Counter = Counter()  # how many of each are open
     buffer: list[str] = []
     apart = inside = False
     linked, links, in_link = 0, 0, False
@@ -102,30 +172,28 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool, int]]:
         linked, links = 0, int(in_link)
 
     at = 0
-    for m in TAG.finditer(page):
-        if m.start() > at and not skipped:
-            piece = page[at : m.start()]
+    for start, end, name, closes, rest in _Tags(page):
+        if start > at and not skipped:
+            piece = page[at:start]
             buffer.append(piece)
             linked += in_link * len(piece)
-        at = m.end()
-        name = m["name"]
+        at = end
         if name is None:
-            if not skipped and m[0][:9].upper() == "<![CDATA[":
-                buffer.append(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
+            if rest and not skipped:
+                buffer.append(html.escape(rest, quote=False))
             continue
-        name = name.lower()
         if skipped:
-            if not _ends_skipped(skipped, name, bool(m["end"]), within):
+            if not _ends_skipped(skipped, name, closes, within):
                 if name in BLOCKS or name in SKIPPED or name == "foreignobject":
-                    within[name] += -1 if m["end"] else not m["rest"].endswith("/")
+                    within[name] += -1 if closes else not rest.endswith("/")
                 continue
             skipped = ""
             within.clear()
         if name in SKIPPED:
-            skipped = "" if m["end"] or m["rest"].endswith("/") else name
+            skipped = "" if closes or rest.endswith("/") else name
             continue
         if name == "a":
-            in_link = not m["end"]
+            in_link = not closes
             links += in_link
         elif name in ("br", "wbr", "img", "input"):
             buffer.append("" if name == "wbr" else " ")
@@ -134,16 +202,20 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool, int]]:
         close_line()
         if name not in NESTED:
             continue
-        if not m["end"]:
-            apart = apart or _is_apart(name, m["rest"], inside)
+        if not closes:
+            apart = apart or _is_apart(name, rest, inside)
             inside = inside or name in ("article", "main")
             if name not in LISTS:
                 opened += 1
                 around = opened
             stack.append((name, apart, inside, around))
-        elif any(s[0] == name for s in stack):
-            while stack.pop()[0] != name:
-                pass
+            standing[name] += 1
+        elif standing[name]:
+            while True:
+                gone = stack.pop()[0]
+                standing[gone] -= 1
+                if gone == name:
+                    break
             _, apart, inside, around = stack[-1] if stack else ("", False, False, 0)
     if not skipped:
         buffer.append(page[at:])

@@ -1,6 +1,7 @@
 """The operators against brute force on small tables with awkward rows."""
 
 import random
+import time
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -386,6 +387,21 @@ def test_html_table(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page", ["<div>" * 32_000 + "</ul>" * 32_000, '<a "' * 30_000, '<a ="' * 30_000, "<" * 200_000, "<!--" * 50_000, "<a href='\"" * 30_000 + "'", "<p title='x>one</p>" * 20_000, "<script" * 50_000]
+)
+def test_markup_without_ends_takes_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 2
+
+
+def test_class_names_say_little():
+    law = '<article><h1>Law</h1><section class="legal-analysis"><p>body text of it</p></section><p class="comment-free">more</p><div class="ad-box left">buy</div><p>end</p></article>'
+    assert html_text.main_text(law) == "Law\nbody text of it\nmore\nend"
+    assert html_text.main_text('<article><p title="x>one</p><p>two</p></article>') == "one\ntwo"
+
+
 # ---- Hamming search
 
 
@@ -394,7 +410,7 @@ def test_search_is_exact(spark):
     base = [rng.getrandbits(64) for _ in range(20)]
     codes = [(i, c - (1 << 64) if c >> 63 else c) for i, c in enumerate(b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(9))) & (1 << 64) - 1 for b in base * 15)]
     codes += [(1000 + i, codes[0][1]) for i in range(30)]
-    table = spark.createDataFrame(codes, "id long, code long")
+    table = spark.createDataFrame([(i, [c]) for i, c in codes], "id long, code array<long>")
     queries = table.where("id % 20 = 0").selectExpr("id as query_id", "code")
     got = {(r.query_id, r["rank"]): (r.id, r.distance) for r in hamming.search(table, queries, 10).collect()}
     for q, c in codes:
@@ -408,7 +424,28 @@ def test_search_is_exact(spark):
 
 def test_sign_codes(spark):
     df = spark.createDataFrame([(1, [0.5, -1.0, 2.0], 0), (2, None, 0), (None, [1.0], 0), (3, [None, 1.0], 0), (4, [-1.0] * 63 + [1.0], 1)], "vec_id long, embedding array<float>, code int")
-    assert {r.id: r.code for r in hamming.sign_codes(df).collect()} == {1: 5, 3: 2, 4: -(1 << 63)}
+    assert {r.id: r.code for r in hamming.sign_codes(df).collect()} == {1: [5], 3: [2], 4: [-(1 << 63)]}
+    wide = spark.createDataFrame([(1, [1.0] * 64 + [-1.0, 1.0]), (2, [])], "vec_id long, embedding array<float>")
+    assert {r.id: r.code for r in hamming.sign_codes(wide).collect()} == {1: [-1, 2], 2: []}
+
+
+@pytest.mark.parametrize("words", [1, 2])
+def test_search_of_skewed_codes(spark, words):
+    """Bits that are nearly constant, a large group of near codes, and queries far from all: against all distances."""
+    rng = np.random.default_rng(words)
+    n = 20_000
+    bits = rng.random((n, 64 * words)) < np.where(np.arange(64 * words) % 3 == 0, 0.02, 0.5)
+    near = rng.random((n // 3, 64 * words)) < 0.03
+    bits[: n // 3] = bits[0] ^ near
+    code = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    ask = np.concatenate([code[::997], ~code[:3]])
+    table = spark.createDataFrame([(i, [int(x) for x in c.view(np.int64)]) for i, c in enumerate(code)], "id long, code array<long>")
+    queries = spark.createDataFrame([(i, [int(x) for x in c.view(np.int64)]) for i, c in enumerate(ask)], "query_id long, code array<long>")
+    got = {(r.query_id, r["rank"]): (r.id, r.distance) for r in hamming.search(table, queries, 10).collect()}
+    for i, c in enumerate(ask):
+        d = np.bitwise_count(code ^ c).sum(1, dtype=np.int64)
+        order = np.lexsort((np.arange(n), d))[:10]
+        assert [got[i, r + 1] for r in range(10)] == [(int(x), int(d[x])) for x in order]
 
 
 # ---- language model
