@@ -19,21 +19,22 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from . import tokens as tk
-from .common import stored, text_or_empty
+from .common import fresh, stored, text_or_empty
 
 SHARD_WORDS = 1 << 20
 SEARCHED = 200_000
 RUN_BYTES = 8 << 20
 HOT_RUNS = 4096
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
 BLOCK_BITS = 20
 MOST_BITS = 29
 
 
 class WaveletMatrix:
-    """Ranks of symbols in a sequence, as one bit vector with counts per 64 bits for each binary digit."""
+    """Ranks of symbols in a sequence, as one bit vector with a count per 64 bits for each binary digit: 1.5 bits to a digit."""
 
     def __init__(self, seq: np.ndarray, digits: int):
         self.n, self.digits, self.levels = len(seq), digits, []
@@ -41,7 +42,7 @@ class WaveletMatrix:
         for d in range(digits - 1, -1, -1):
             bit = ((cur >> d) & 1).astype(bool)
             packed = np.packbits(np.concatenate([bit, np.zeros(-len(bit) % 64 + 64, bool)]), bitorder="little").view(np.uint64)
-            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(packed).astype(np.int64))])
+            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)]).astype(np.int32)
             zeros = self.n - int(bit.sum())
             self.levels.append((d, packed, ones, zeros))
             cur = np.concatenate([cur[~bit], cur[bit]])
@@ -86,7 +87,7 @@ class FMIndex:
             new = np.empty(n, np.int64)
             new[order] = np.concatenate([[0], np.cumsum(step[1:] != step[:-1])])
             rank, span = new, span * 2
-        self.order = order
+        self.coded, self.order = coded.astype(np.int32), order.astype(np.int32)  # a shard has far fewer words than 2**31
         symbols = len(self.alphabet)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(coded, minlength=symbols))])
         before = coded[order - 1]
@@ -176,22 +177,24 @@ def _anchors(width: int, anchor: int):
     return run
 
 
-RUNS = "anchor long, route long, whole long, doc_id long, last_doc long, start int, words array<int>"
+RUNS = "anchor long, route long, whole long, doc_id long, row long, last_doc long, start int, words binary"
+WORD_BYTES = 6  # of each word's hash that a shard compares
 
 
 def _shared_runs(width: int, anchor: int, wanted, contents: bool):
-    """doc_id, text -> runs whose anchor passes the filter, hot ones window by window.
+    """doc_id, text, row -> runs whose anchor passes the filter, hot ones window by window.
 
-    With ``contents`` each distinct run of a block comes once, with its words (32
+    With ``contents`` each distinct run of a block comes once, with its words (48
     bits of each one's hash), its smallest and its largest document; else every
     one comes with its place and no words.
     """
-    schema = pa.schema([(n, pa.int64()) for n in ("anchor", "route", "whole", "doc_id", "last_doc")] + [("start", pa.int32()), ("words", pa.list_(pa.int32()))])
+    schema = pa.schema([(n, pa.int64()) for n in ("anchor", "route", "whole", "doc_id", "row", "last_doc")] + [("start", pa.int32()), ("words", pa.binary())])
 
     def run(batches):
         keep = wanted.value
         for batch in batches:
             ids = batch.column(0).to_numpy().astype(np.int64)
+            rows = batch.column(2).to_numpy().astype(np.int64)
             data, bounds = tk.utf8(batch.column(1))
             for lo, hi in tk.blocks(bounds, RUN_BYTES):
                 h, first = tk.words(data, bounds[lo : hi + 1])
@@ -213,21 +216,23 @@ def _shared_runs(width: int, anchor: int, wanted, contents: bool):
                 sums = np.zeros(len(h) + 1, np.uint64)
                 np.cumsum(h * tk._power("up", len(h))[: len(h)], out=sums[1:])
                 whole = tk.mix((sums[b + width - 1] - sums[a]) * tk._power("down", len(h))[a] + (b - a).astype(np.uint64))
-                doc = ids[lo + row]
+                doc, own = ids[lo + row], rows[lo + row]
                 last, start = doc, (a - first[row]).astype(np.int32)
                 if contents:
                     order = np.lexsort((doc, whole))
                     new = np.flatnonzero(np.concatenate([[True], whole[order][1:] != whole[order][:-1]]))
                     last = np.maximum.reduceat(doc[order], new)
                     pick = order[new]
-                    key, route, whole, doc, start, a, b = (x[pick] for x in (key, route, whole, doc, start, a, b))
+                    key, route, whole, doc, own, start, a, b = (x[pick] for x in (key, route, whole, doc, own, start, a, b))
                     size = b - a + width - 1
                     ends = np.cumsum(size)
                     take = np.arange(ends[-1]) + np.repeat(a - (ends - size), size)
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array((h[take] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                    raw = np.ascontiguousarray(h[take].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - WORD_BYTES :])
+                    offsets = (np.concatenate([[0], ends]) * WORD_BYTES).astype(np.int32)
+                    held = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
                 else:
-                    lists = pa.nulls(len(a), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, route, whole)), pa.array(doc), pa.array(last), pa.array(start), lists], schema=schema)
+                    held = pa.nulls(len(a), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, route, whole)), pa.array(doc), pa.array(own), pa.array(last), pa.array(start), held], schema=schema)
 
     return run
 
@@ -244,9 +249,12 @@ def _search(width: int):
             return
         shard = pa.Table.from_batches(parts).combine_chunks()
         whole, docs, last = (shard.column(c).to_numpy() for c in ("whole", "doc_id", "last_doc"))
-        words = shard.column("words").combine_chunks()
-        offsets = words.offsets.to_numpy().astype(np.int64)
-        symbols = words.values.to_numpy().view(np.uint32)
+        raw, bounds = tk.utf8(shard.column("words"))
+        begin = int(bounds[0])
+        offsets = (bounds - begin) // WORD_BYTES
+        symbols = np.zeros((int(offsets[-1]), 8), np.uint8)
+        symbols[:, :WORD_BYTES] = raw[begin : int(bounds[-1])].reshape(-1, WORD_BYTES)
+        symbols = symbols.view("<u8").ravel().astype(np.int64)
         order = np.lexsort((docs, whole))
         new = np.flatnonzero(np.concatenate([[True], whole[order][1:] != whole[order][:-1]]))
         last = np.maximum.reduceat(last[order], new)
@@ -255,7 +263,7 @@ def _search(width: int):
         ends = np.cumsum(sizes)
         text = np.zeros(ends[-1] + len(sizes), np.int64)
         into = np.arange(ends[-1]) + np.repeat(np.arange(len(sizes)), sizes)
-        text[into] = symbols[np.arange(ends[-1]) + np.repeat(begin - (ends - sizes), sizes)].astype(np.int64) + 1
+        text[into] = symbols[np.arange(ends[-1]) + np.repeat(begin - (ends - sizes), sizes)] + 1
         begin = ends - sizes + np.arange(len(sizes))
         index = FMIndex(text, width)
         windows = sizes - width + 1
@@ -293,7 +301,10 @@ def _filter(shared: DataFrame, count: int, hot: DataFrame) -> Filter:
 
 
 def repeats(source: DataFrame, width: int, anchor: int) -> DataFrame:
-    """doc_id, text -> doc_id, hits: the word positions where windows begin that a smaller doc_id holds as well."""
+    """doc_id, text, row -> doc_id, row, hits: the word positions where windows begin that a smaller doc_id holds as well.
+
+    ``row`` tells the texts of a repeated doc_id apart.
+    """
     source = source.where("doc_id is not null")
     spark = source.sparkSession
     counted = source.mapInArrow(_anchors(width, anchor), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -311,19 +322,12 @@ def repeats(source: DataFrame, width: int, anchor: int) -> DataFrame:
     found = runs(True).select("route", "whole", "doc_id", "last_doc", "words").repartition(shards, "route").mapInArrow(_search(width), "whole long, smallest array<long>")
     found = stored(found)
     starts = F.transform("smallest", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i))
-    hits = runs(False).select("whole", "doc_id", "start").join(found, "whole").select("doc_id", F.filter(starts, lambda x: x.isNotNull()).alias("hits")).where(F.size("hits") > 0)
-    return hits.groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
-
-
-def _only(source: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is in ``ids``: by a broadcast of at most BROADCAST_IDS numbers, by a shuffle beyond that."""
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        return source.join(F.broadcast(ids), "doc_id", "left_semi")
-    return source.join(ids, "doc_id", "left_semi")
+    hits = runs(False).select("whole", "doc_id", "row", "start").join(found, "whole").select("doc_id", "row", F.filter(starts, lambda x: x.isNotNull()).alias("hits")).where(F.size("hits") > 0)
+    return hits.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("hits")).alias("hits"))
 
 
 def _kept(width: int, with_text: bool):
-    """doc_id, text[, hits] -> doc_id, n_words, n_removed, kept_sha256 or the kept text."""
+    """doc_id, text[, hits or null] -> doc_id, n_words, n_removed, kept_sha256 or the kept text."""
 
     def run(batches):
         for batch in batches:
@@ -366,29 +370,37 @@ def remove_repeats(docs: DataFrame, width: int = 13, anchor: int = 5, with_text:
     document and give a row each; rows with a null doc_id come back whole and
     count for no other.  Other columns are ignored.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    hits = stored(repeats(source, width, anchor))
-    ids = hits.select("doc_id")
+    text = text_or_empty()
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))
+    hits, ids, few = _hits(source, width, anchor)
     schema = "doc_id long, n_words long, n_removed long, kept string"
-    some = _only(source, ids).join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_kept(width, with_text), schema)
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        none = source.join(F.broadcast(ids), "doc_id", "left_anti")
-    else:
-        none = source.join(ids, "doc_id", "left_anti")
+    side = F.broadcast(ids) if few else ids
+    some = source.join(side, "doc_id", "left_semi").join(hits, ["doc_id", "row"], "left").select("doc_id", "text", "hits").mapInArrow(_kept(width, with_text), schema)
+    none = source.join(side, "doc_id", "left_anti").select("doc_id", "text")
     return some.union(none.mapInArrow(_kept(width, with_text), schema))
 
 
+def _hits(source: DataFrame, width: int, anchor: int) -> tuple[DataFrame, DataFrame, bool]:
+    """repeats() in a table, the doc_ids it holds, and whether they are few enough to be broadcast."""
+    hits = stored(repeats(source, width, anchor))
+    ids = hits.select("doc_id").distinct()
+    return hits, ids, ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+
 def _strip(width: int, text_at: int, chars_at: int | None, names: list[str]):
+    """The columns of a table, then doc_id as a long and hits -> the columns, their texts and lengths rewritten where there are hits."""
     rewrite = _kept(width, True)
 
     def run(batches):
         for batch in batches:
-            pair = pa.RecordBatch.from_arrays([batch.column(0), batch.column(text_at), batch.column(len(names))], names=["doc_id", "text", "hits"])
+            n = len(names)
+            pair = pa.RecordBatch.from_arrays([batch.column(n), batch.column(text_at), batch.column(n + 1)], names=["doc_id", "text", "hits"])
+            changed = pc.is_valid(batch.column(n + 1))
             texts = next(iter(rewrite([pair]))).column(3)
-            columns = list(batch.columns[: len(names)])
-            columns[text_at] = texts
+            columns = list(batch.columns[:n])
+            columns[text_at] = pc.if_else(changed, texts.cast(columns[text_at].type), columns[text_at])
             if chars_at is not None:
-                columns[chars_at] = pc.utf8_length(texts).cast(pa.int64())
+                columns[chars_at] = pc.if_else(changed, pc.utf8_length(texts).cast(columns[chars_at].type), columns[chars_at])
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -397,14 +409,18 @@ def _strip(width: int, text_at: int, chars_at: int | None, names: list[str]):
 def strip_repeats(docs: DataFrame, width: int = 13, anchor: int = 5) -> DataFrame:
     """The rows, with all of their columns, without the words that remove_repeats() removes.
 
-    ``text`` is rewritten, and ``n_chars`` with it, only in rows that lose words.
+    ``text`` is rewritten, and ``n_chars`` with it where it is a number, only in
+    rows that lose words.  Names of further columns do not matter.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    hits = stored(repeats(source, width, anchor))
-    ids = hits.select("doc_id")
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    side = F.broadcast(ids) if small else ids
+    text = text_or_empty()
+    hits, ids, few = _hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row")), width, anchor)
     names = docs.columns
-    touched = docs.join(side, "doc_id", "left_semi").select(names).join(hits, "doc_id").select(*names, "hits")
-    chars = names.index("n_chars") if "n_chars" in names else None
-    return docs.join(side, "doc_id", "left_anti").select(names).union(touched.mapInArrow(_strip(width, names.index("text"), chars, names), docs.schema))
+    key, row, held = fresh("strip_id", names), fresh("strip_row", names), fresh("strip_hits", names)
+    side = ids.select(F.col("doc_id").alias(key))
+    side = F.broadcast(side) if few else side
+    rows = docs.select(*(F.col(f"`{c}`") for c in names), F.col("doc_id").cast("long").alias(key), F.xxhash64(text).alias(row))
+    hits = hits.select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("hits").alias(held))
+    touched = rows.join(side, key, "left_semi").join(hits, [key, row], "left").select(*(F.col(f"`{c}`") for c in names), key, held)
+    chars = next((k for k, f in enumerate(docs.schema) if f.name == "n_chars" and isinstance(f.dataType, IntegralType)), None)
+    rest = rows.join(side, key, "left_anti").select(*(F.col(f"`{c}`") for c in names))
+    return rest.union(touched.mapInArrow(_strip(width, names.index("text"), chars, names), docs.schema))

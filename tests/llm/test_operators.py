@@ -9,6 +9,7 @@ from math import log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from contextframe.llm import editsketch, hamming, html_text, kneser_ney, mixing, neardup, packing, substring
 from contextframe.llm.queries import op8_kneser_ney, tokenizer_path
@@ -554,6 +555,19 @@ def test_strip_repeats(spark, rows):
         assert r.text == (want[r.doc_id][2] if want[r.doc_id][1] else dict(rows)[r.doc_id]) and r.n_chars == len(r.text or "")
 
 
+def test_repeats_of_one_id_with_other_texts(spark):
+    rng = random.Random(21)
+    a, b, c = text(rng, 40), text(rng, 40), text(rng, 80)
+    table = [(1, a), (5, a), (5, b), (5, c), (7, f"{b} end"), (9, None), (9, b)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(frame(spark, table)).collect())
+    assert got == [(1, 40, 0), (5, 40, 0), (5, 40, 40), (5, 80, 0), (7, 41, 40), (9, 0, 0), (9, 40, 40)]
+    df = frame(spark, table).selectExpr("*", "1 as hits", "'x' as strip_id", "2 as row", "3 as strip_hits").withColumn("n_chars", F.col("n_chars").cast("int"))
+    out = substring.strip_repeats(df)
+    assert out.dtypes == df.dtypes
+    want = [(1, a), (5, ""), (5, b), (5, c), (7, "end"), (9, None), (9, "")]
+    assert sorted((r.doc_id, r.text or "", r.n_chars, r.hits, r.strip_id) for r in out.collect()) == sorted((i, t or "", len(t or ""), 1, "x") for i, t in want)
+
+
 def test_fm_index_matches_brute_force():
     rng = np.random.default_rng(7)
     seq = rng.integers(1, 5, 400)
