@@ -5,18 +5,17 @@ target, entropy balancing takes those nearest to 1 in relative entropy.  The
 convex dual has one multiplier per source, and its solution tilts the rates
 exponentially: rate = min(cap, exp(multiplier * size / mean size)).  Newton
 steps on the dual need two sums per source, which Spark takes over the
-histogram of (source, size); rates are then rounded to whole copies such that
+histogram of (source, size), and a row per source of a table; rates are then rounded to whole copies such that
 the errors of a source's sizes cancel.
 """
 
 from __future__ import annotations
 
-import json
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
-from .common import checkpoint, text_or_empty
+from .common import fresh, stored, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,118 +27,125 @@ def sizes(docs: DataFrame) -> DataFrame:
     )
 
 
-def targets(totals: dict, weights=(5, 2, 1), cap: float = 3.0) -> dict:
-    """Share the sum of all totals by weight; none exceeds ``cap`` times its own, what is over is shared anew."""
-    order = sorted((k for k in totals if k is not None)) + [None] * (None in totals)
-    weight = {k: weights[i % len(weights)] for i, k in enumerate(order)}
-    out, open_, left = {}, list(order), float(sum(totals.values()))
-    while open_:
-        all_ = sum(weight[k] for k in open_)
-        share = {k: left * weight[k] / all_ for k in open_}
-        over = [k for k in open_ if share[k] > cap * totals[k]]
-        if not over:
-            out |= share
-            break
-        for k in over:
-            out[k] = cap * totals[k]
-            left -= out[k]
-        open_ = [k for k in open_ if k not in out]
-    return out
+def _numbered(facts: DataFrame) -> DataFrame:
+    """The sources with their place in order of code points, null last, counted over ranges of them."""
+    ranges = stored(facts.repartitionByRange(F.col("source").isNull(), "source").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("here")).select("part", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("part").orderBy(F.col("source").isNull(), "source")
+    return ranges.withColumn("at", F.row_number().over(within)).join(counts, "part").withColumn("place", F.col("before") + F.col("at") - 1).drop("part", "at", "before")
 
 
-def _key(source: str | None) -> str:
-    return "n" if source is None else f"s{source}"
+def targets(totals: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
+    """source, total, ... -> the same with ``goal``: the sum of all totals shared by weight.
 
+    Weights repeat along the sources by code point, null last.  No goal exceeds
+    ``cap`` times its total; what is over is shared anew among the others.  Only
+    four sums reach the driver each time, however many sources there are.
+    """
+    every = stored(_numbered(totals).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))).drop("place"))
+    most = F.col("total") * cap
+    left, open_, capped = 0, 0, -1
+    facts = every.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("all"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    left, open_ = facts["all"], facts.weight
+    while open_:
+        over = F.lit(float(left)) * F.col("weight") / F.lit(float(open_)) > most
+        now = every.agg(*(F.coalesce(F.sum(F.when(c, v)), F.lit(0)).alias(a) for c, v, a in ((over, most, "full"), (~over, F.col("weight"), "weight"), (over, F.lit(1), "capped")))).first()
+        if now.capped == capped or not now.weight:
+            open_ = now.weight
+            break
+        left, open_, capped = facts["all"] - now.full, now.weight, now.capped
+    share = F.lit(float(left)) * F.col("weight") / F.lit(float(open_)) if open_ else most
+    return every.withColumn("goal", F.least(share, most.cast("double")).cast("double")).drop("weight")
 
-def _lookup(values: dict[str, float]) -> Column:
-    """The value of this row's key; one constant, however many keys."""
-    return F.from_json(F.lit(json.dumps(values)), "map<string,double>")[F.col("key")]
 
+def _multipliers(hist: DataFrame, state: DataFrame, cap: float, steps: int) -> DataFrame:
+    """key, total, goal, mean -> with ``at``, the multiplier of each source.
 
-def _multipliers(hist: DataFrame, goal: dict[str, float], total: dict[str, float], mean: dict[str, float], cap: float, steps: int) -> dict[str, float]:
-    """Newton steps on the dual of every source at once, in the logarithm of its tokens, kept within a bracket."""
-    at = {k: 1e9 if goal[k] >= cap * total[k] * (1 - 1e-12) else math.log(max(goal[k], 1e-9) / total[k]) for k in goal}
-    low, high = dict.fromkeys(at, -math.inf), dict.fromkeys(at, math.inf)
-    open_ = {k for k in at if at[k] < 1e9}
+    Newton steps on the dual of all sources at once, in the logarithm of their
+    tokens, kept within a bracket.  The state of the steps is a table.
+    """
+    full = F.col("goal") >= F.lit(cap) * F.col("total") * (1 - 1e-12)
+    inf = float("inf")
+    state = state.select(
+        "*",
+        F.when(full, F.lit(1e9)).otherwise(F.log(F.greatest("goal", F.lit(1e-9)) / F.col("total"))).alias("at"),
+        F.lit(-inf).alias("low"),
+        F.lit(inf).alias("high"),
+        (~full & (F.col("total") > 0)).alias("moves"),
+    )
+    state = stored(state)
+    top = math.log(cap)
     for _ in range(steps):
-        if not open_:
-            break
-        tilt = _lookup(at) * F.col("size") / _lookup(mean)
-        rate = F.exp(F.least(tilt, F.lit(math.log(cap))))
-        tokens = F.col("n") * F.col("size") * rate
-        slope = F.when(tilt < math.log(cap), tokens * F.col("size") / _lookup(mean)).otherwise(0.0)
+        tilt = F.col("at") * F.col("size") / F.col("mean")
+        tokens = F.col("n") * F.col("size") * F.exp(F.least(tilt, F.lit(top)))
+        slope = F.when(tilt < top, tokens * F.col("size") / F.col("mean")).otherwise(0.0)
         # decimals: the sums do not depend on the order of rows, so reruns agree
-        sums = hist.groupBy("key").agg(*(F.sum(c.cast("decimal(32,6)")).cast("double").alias(a) for c, a in ((tokens, "tokens"), (slope, "slope"))))
-        for row in sums.collect():
-            k = row.key
-            if k not in open_:
-                continue
-            if abs(row.tokens - goal[k]) <= 1e-7 * goal[k]:
-                open_.discard(k)
-                continue
-            (low if row.tokens < goal[k] else high)[k] = at[k]
-            new = at[k] + math.log(goal[k] / max(row.tokens, 1e-9)) * row.tokens / row.slope if row.slope > 0 else math.nan
-            if not low[k] < new < high[k]:
-                if math.isinf(low[k]) or math.isinf(high[k]):
-                    new = at[k] * 2 + (1 if math.isinf(high[k]) else -1)
-                else:
-                    new = (low[k] + high[k]) / 2
-            at[k] = float(f"{new:.15g}")
-    return at
-
-
-def mix(sized: DataFrame, weights=(5, 2, 1), cap: int = 3, steps: int = 40, repairs: int = 8, max_sources: int = 100_000) -> DataFrame:
+        sums = hist.join(state.where("moves").select("key", "at", "mean"), "key").groupBy("key").agg(*(F.sum(c.cast("decimal(32,6)")).cast("double").alias(a) for c, a in ((tokens, "tokens"), (slope, "slope"))))
+        low = F.when(F.col("tokens") < F.col("goal"), F.col("at")).otherwise(F.col("low"))
+        high = F.when(F.col("tokens") >= F.col("goal"), F.col("at")).otherwise(F.col("high"))
+        newton = F.col("at") + F.log(F.col("goal") / F.greatest("tokens", F.lit(1e-9))) * F.col("tokens") / F.when(F.col("slope") > 0, F.col("slope"))
+        half = F.when(F.col("high") == inf, F.col("at") * 2 + 1).when(F.col("low") == -inf, F.col("at") * 2 - 1).otherwise((F.col("low") + F.col("high")) / 2)
+        step = state.join(sums, "key", "left").withColumns({"low": F.when(F.col("moves"), low).otherwise(F.col("low")), "high": F.when(F.col("moves"), high).otherwise(F.col("high"))})
+        step = step.withColumn("moves", F.col("moves") & (F.abs(F.col("tokens") - F.col("goal")) > 1e-7 * F.col("goal")))
+        step = step.withColumn("at", F.when(F.col("moves"), F.when((newton > F.col("low")) & (newton < F.col("high")), newton).otherwise(half)).otherwise(F.col("at")))
+        told = Observation()
+        state = stored(step.drop("tokens", "slope").observe(told, F.count_if("moves").alias("moving")))
+        if not told.get.get("moving", 0):
+            break
+    return state.drop("low", "high", "moves")
+
+
+def mix(sized: DataFrame, weights=(5, 2, 1), cap: int = 3, steps: int = 40, repairs: int = 8, broadcast_sources: int = 50_000) -> DataFrame:
     """doc_id, source, size -> doc_id, size, source_size, target, taken, source, copies.
 
     ``taken`` is copies * size; copies are whole, from 0 to ``cap``.  A null
     source is a source of its own.  Documents without words are taken once and
     count nothing.  Equal documents, repeated rows included, may differ by one
     copy, which a hash of doc_id decides, so reruns agree.  An empty table gives
-    no rows.  One row per source reaches the driver; more than ``max_sources``
-    sources are refused.
+    no rows.  Sources stay in tables, however many there are; up to
+    ``broadcast_sources`` of them are broadcast to the rows, more are joined by
+    a shuffle.
     """
-    sized = checkpoint(sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))))
-    totals = sized.groupBy("key", "source").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("docs"), F.count_if(F.col("size") > 0).alias("filled"))
-    rows = totals.limit(max_sources + 1).collect()
-    if len(rows) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    total = {r.key: float(r.total) for r in rows}
-    goal = {_key(k): v for k, v in targets({r.source: r.total for r in rows}, weights, cap).items()}
-    mean = {r.key: r.total / max(r.filled, 1) for r in rows}
-    many = sum(r.docs for r in rows)
-    hist = checkpoint(sized.where("size > 0").groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")))
-    live = {k: v for k, v in goal.items() if total[k] > 0}
-    at = _multipliers(hist, live, total, mean, float(cap), steps) if live else {}
+    sized = stored(sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))))
+    totals = sized.groupBy("key", "source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("docs"), F.count_if(F.col("size") > 0).alias("filled"))
+    goals = targets(totals, weights, cap).withColumn("mean", F.col("total") / F.greatest("filled", F.lit(1)))
+    hist = stored(sized.where("size > 0").groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")))
+    state = _multipliers(hist, goals, float(cap), steps)
+    facts = state.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs")).first()
+    many = facts.docs
 
     # whole copies for all documents of one source and size
-    rate = F.exp(F.least(_lookup(at) * F.col("size") / _lookup(mean), F.lit(math.log(cap))))
+    rate = F.exp(F.least(F.col("at") * F.col("size") / F.col("mean"), F.lit(math.log(cap))))
     down = Window.partitionBy("key").orderBy(F.col("size").desc())
-    plan = hist.withColumn("share", F.least(F.col("n") * rate, F.col("n") * F.lit(float(cap))))
+    plan = hist.join(state.select("key", "at", "mean", "goal"), "key").withColumn("share", F.least(F.col("n") * rate, F.col("n") * F.lit(float(cap))))
     plan = plan.withColumn("upto", F.floor(F.sum("share").over(down.rowsBetween(Window.unboundedPreceding, 0)) + 0.5))
     plan = plan.withColumn("k", F.greatest(F.lit(0), F.least(F.col("upto") - F.coalesce(F.lag("upto").over(down), F.lit(0)), F.col("n") * cap)))
     whole = Window.partitionBy("key")
     for _ in range(repairs):  # each halves at least what is left over, or uses up a size
-        plan = plan.withColumn("gap", F.round(_lookup(goal)).cast("long") - F.sum(F.col("k") * F.col("size")).over(whole))
+        plan = plan.withColumn("gap", F.round("goal").cast("long") - F.sum(F.col("k") * F.col("size")).over(whole))
         room = F.when(F.col("gap") > 0, F.col("n") * cap - F.col("k")).otherwise(F.col("k"))
         fits = (room > 0) & (F.col("size") <= F.abs("gap"))
         plan = plan.withColumn("pick", F.max(F.when(fits, F.col("size"))).over(whole))
         step = F.signum("gap").cast("long") * F.least(F.floor(F.abs("gap") / F.col("size")), room)
-        plan = plan.withColumn("k", F.when(F.col("size") == F.col("pick"), F.col("k") + step).otherwise(F.col("k"))).select("key", "size", "n", "k")
+        plan = plan.withColumn("k", F.when(F.col("size") == F.col("pick"), F.col("k") + step).otherwise(F.col("k"))).select("key", "size", "n", "goal", "k")
 
     # which documents of one source and size get the odd copy: ranks over salted parts
     salts = min(max(64, many // 200_000), 1 << 16)
     salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(salts)))
     parts = salted.groupBy("key", "size", "salt").agg(F.count(F.lit(1)).alias("here"))
     before = Window.partitionBy("key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("before", F.coalesce(F.sum("here").over(before), F.lit(0))).join(plan, ["key", "size"])
+    parts = parts.withColumn("before", F.coalesce(F.sum("here").over(before), F.lit(0))).join(plan.drop("goal"), ["key", "size"])
     within = Window.partitionBy("key", "size", "salt").orderBy(F.xxhash64("doc_id"), "doc_id")
     ranked = salted.withColumn("rank", F.row_number().over(within)).join(parts, ["key", "size", "salt"], "left")
+    sources = state.select("key", "total", "goal")
+    ranked = ranked.join(F.broadcast(sources) if facts.sources <= broadcast_sources else sources, "key")
     copies = F.expr("k div n + int(rank + before <= k % n)")
     return ranked.select(
         "doc_id",
         "size",
-        _lookup(total).cast("long").alias("source_size"),
-        _lookup(goal).alias("target"),
+        F.col("total").cast("long").alias("source_size"),
+        F.col("goal").alias("target"),
         F.coalesce(copies * F.col("size"), F.lit(0)).cast("long").alias("taken"),
         "source",
         F.coalesce(copies, F.lit(1)).cast("int").alias("copies"),
@@ -154,8 +160,10 @@ def repeat_by_mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame
     """The rows, with all of their columns, each as many times as the mix takes it.
 
     Rows that repeat a doc_id, or have none, come as often as the one of them
-    that is taken most.
+    that is taken most.  Names of further columns do not matter.
     """
-    taken = mix_documents(docs, weights, cap).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("taken_copies")).where("taken_copies > 0")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return rows.withColumn("taken_copy", F.explode(F.sequence(F.lit(1), "taken_copies"))).select(*docs.columns)
+    names = docs.columns
+    key, times, nth = fresh("mix_id", names), fresh("mix_copies", names), fresh("mix_copy", names)
+    taken = mix_documents(docs, weights, cap).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times)).where(F.col(times) > 0)
+    rows = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+    return rows.withColumn(nth, F.explode(F.sequence(F.lit(1), times))).select(*(F.col(f"`{c}`") for c in names))

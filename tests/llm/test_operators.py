@@ -5,7 +5,7 @@ import time
 import zlib
 from collections import Counter
 from hashlib import sha256
-from math import log10
+from math import exp, log10
 
 import numpy as np
 import pytest
@@ -123,11 +123,61 @@ def test_plan_places_every_length():
 # ---- mixing
 
 
-def test_targets():
-    assert mixing.targets({"a": 100, "b": 100, "c": 100}) == pytest.approx({"a": 187.5, "b": 75.0, "c": 37.5})
-    got = mixing.targets({"a": 10, "b": 100, None: 190})
-    assert got == pytest.approx({"a": 30, "b": 180, None: 90})
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0}
+def plain_targets(totals, weights=(5, 2, 1), cap=3):
+    order = sorted(k for k in totals if k is not None) + [None] * (None in totals)
+    weight = {k: weights[i % len(weights)] for i, k in enumerate(order)}
+    out, open_, left = {}, list(order), sum(totals.values())
+    while open_:
+        share = {k: left * weight[k] / sum(weight[j] for j in open_) for k in open_}
+        over = [k for k in open_ if share[k] > cap * totals[k]]
+        if not over:
+            return out | share
+        for k in over:
+            out[k] = cap * totals[k]
+            left -= out[k]
+        open_ = [k for k in open_ if k not in out]
+    return out
+
+
+@pytest.mark.parametrize("totals", [{"a": 100, "b": 100, "c": 100}, {"a": 10, "b": 100, None: 190}, {}, {"a": 0}, {"a": 1, "b": 1, "c": 0, "\U0001f600": 5000, "\uffff": 7, "z": 900}])
+def test_targets(spark, totals):
+    got = mixing.targets(spark.createDataFrame(list(totals.items()), "source string, total long"))
+    assert {r.source: r.goal for r in got.collect()} == pytest.approx(plain_targets(totals))
+
+
+def test_many_sources(spark, monkeypatch):
+    """More sources than are broadcast; none of them is a row of the driver's."""
+    rng = random.Random(8)
+    rows = [(i, f"s{i % 700}", rng.randrange(0, 60)) for i in range(3000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    total = Counter()
+    for _, s, n in rows:
+        total[s] += n
+    want, taken = plain_targets(dict(total)), Counter()
+    for r in mixing.mix(sized, broadcast_sources=10).collect():
+        taken[r.source] += r.taken
+        assert r.target == pytest.approx(want[r.source]) and r.taken <= 3 * r.size
+    assert sum(abs(taken[s] - want[s]) for s in total) <= 0.05 * sum(total.values())  # four short documents to a source
+
+
+def test_rates_against_a_plain_solver(spark):
+    """The copies of a source's sizes are those of exponentially tilted rates that meet its target."""
+    rng = random.Random(3)
+    rows = [(i, "ab"[i % 5 > 0], rng.choice([5, 20, 80, 200])) for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        hist, goal = Counter(r.size for r in mine), mine[0].target
+        tokens = lambda t: sum(n * s * min(3.0, exp(t * s)) for s, n in hist.items())
+        low, high = -1.0, 1.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if tokens(mid) < goal else (low, mid)
+        taken = Counter()
+        for r in mine:
+            taken[r.size] += r.copies
+        for s, n in hist.items():
+            assert abs(taken[s] - n * min(3.0, exp(low * s))) <= 0.02 * n + 2
 
 
 def test_mixing(spark, rows):
@@ -141,7 +191,7 @@ def test_mixing(spark, rows):
         total[r.source] += r.size
         taken[r.source] += r.taken
         assert r.taken <= 3 * r.size and r.taken == (r.copies * r.size if r.size else 0)
-    want = mixing.targets(dict(total))
+    want = plain_targets(dict(total))
     for r in got:
         assert r.source_size == total[r.source] and r.target == pytest.approx(want[r.source])
     for s in total:
@@ -152,10 +202,10 @@ def test_mixing(spark, rows):
 
 
 def test_repeat_by_mix(spark, rows):
-    df = frame(spark, rows)
+    df = frame(spark, rows).selectExpr("*", "1 as mix_id", "2 as taken_copies", "'c' as mix_copy", "3 as total")
     copies = {r.doc_id: r.copies for r in mixing.mix_documents(df).collect()}
     out = mixing.repeat_by_mix(df)
-    assert out.columns == df.columns
+    assert out.dtypes == df.dtypes
     assert Counter(r.doc_id for r in out.collect()) == Counter({k: v for k, v in copies.items() if v})
 
 
