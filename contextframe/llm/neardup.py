@@ -25,6 +25,7 @@ from .graph import components
 
 SIG_BITS = 6
 SIG_PER_LONG = 10
+BROADCAST_PAIRS = 500_000  # of two longs each
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -199,14 +200,14 @@ class _Work:
         the larger its first 1 - t.
         """
         t = self.percent
-        sets = self.sets.join(apart, "cid")
-        each = sets.select("cid", "n", "label", F.explode("shingles").alias("shingle"))
+        each = self.sets.join(apart, "cid").select("cid", F.explode("shingles").alias("shingle"))
         common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
         early = F.expr(f"n - (n * {t} + 99) div 100 + 1")  # entries of a set of which a similar one holds at least one
         ordered = (
             each.join(common, "shingle")
-            .groupBy("cid", "n", "label")
+            .groupBy("cid")
             .agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("order"))
+            .join(apart.join(self.light.select("cid", F.col("n_shingles").alias("n")), "cid"), "cid")
             .withColumn("alone", F.col("n") - F.size("order"))  # shingles of no other class come first
             .select("cid", "n", "label", "alone", F.posexplode(F.slice("order", 1, F.greatest(F.lit(0), early - F.col("alone")).cast("int"))).alias("at", "entry"))
             .select("cid", "n", "label", F.col("entry.shingle").alias("shingle"), (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
@@ -223,10 +224,20 @@ class _Work:
         return pairs.select(F.col("cid_y").alias("src"), F.col("cid_x").alias("dst")).distinct()
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets are similar enough."""
+        """The pairs whose whole sets are similar enough.
+
+        Up to BROADCAST_PAIRS pairs are broadcast, so that only sets that occur in
+        them are shuffled; more are joined by shuffles of all sets.
+        """
+        pairs = stored(pairs)
         one, two = (self.sets.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"set_{c}")) for c in ("src", "dst"))
+        if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
+            two = two.join(F.broadcast(pairs.select("dst").distinct()), "dst", "left_semi")
+            rows = one.join(F.broadcast(pairs), "src")
+        else:
+            rows = pairs.join(one, "src")
         both = F.size(F.array_intersect("set_src", "set_dst")).cast("long")
-        rows = pairs.join(one, "src").join(two, "dst").select("src", "dst", both.alias("both"), (F.col("n_src") + F.col("n_dst")).alias("total"))
+        rows = rows.join(two, "dst").select("src", "dst", both.alias("both"), (F.col("n_src") + F.col("n_dst")).alias("total"))
         return rows.where(F.col("both") * (100 + self.percent) >= F.col("total") * self.percent).select("src", "dst")
 
 
