@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import checkpoint_dir, text_or_empty
+from .common import checkpoint_dir, text_or_empty, tidy
 
 START, END = np.uint64(0x5F3759DF5F3759DF), np.uint64(0xC0FFEE00C0FFEE01)
 FLUSH = 2 << 20
@@ -155,6 +155,7 @@ def _count_pairs(shards: int):
             blobs.append(_pack([head, sv[new], np.diff(np.append(new, b - a)).astype(np.uint32), w[a:b][by], count[a:b][by].astype(np.uint32)]))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
+    @tidy
     def run(batches):
         held, n = [], 0
         for batch in batches:
@@ -364,6 +365,7 @@ def _score_block(arrays: Arrays, h: np.ndarray, first: np.ndarray):
 def _score(model: Model):
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
+    @tidy
     def run(batches):
         arrays = Arrays.of(model)
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import stored, text_or_empty
+from .common import stored, text_or_empty, tidy
 from .graph import components
 
 SIG_BITS = 6
@@ -52,6 +52,7 @@ def _features(width: int, bands: int, rows: int):
     multiply, flip = _params(count)
     longs = -(-count // SIG_PER_LONG)
 
+    @tidy
     def run(batches):
         for batch in batches:
             data, bounds = tk.utf8(batch.column(1))
@@ -96,6 +97,7 @@ def _features(width: int, bands: int, rows: int):
 def _sets(width: int):
     """doc_id, text -> the set's two keys and its shingles."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             data, bounds = tk.utf8(batch.column(1))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import text_or_empty
+from .common import text_or_empty, tidy
 
 NEWLINE, TAB = 10, 9
 UPPER, LOWER, DIGIT, MARK, HIGH, SHOUT, PIPE, STOP = range(8)
@@ -257,6 +257,7 @@ def _marginals(model: Model, data, bounds, lo, hi):
 
 
 def _score(shared):
+    @tidy
     def run(batches):
         model = shared.value
         for batch in batches:
@@ -281,6 +282,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _lines(shared):
+    @tidy
     def run(batches):
         model = shared.value
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegralType
 
 from . import tokens as tk
-from .common import fresh, stored, text_or_empty
+from .common import fresh, stored, text_or_empty, tidy
 
 SHARD_WORDS = 1 << 20
 SEARCHED = 200_000
@@ -162,6 +162,7 @@ def _find_runs(h, first, width, anchor):
 def _anchors(width: int, anchor: int):
     """doc_id, text -> the distinct anchors of each row."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             data, bounds = tk.utf8(batch.column(1))
@@ -190,6 +191,7 @@ def _shared_runs(width: int, anchor: int, wanted, contents: bool):
     """
     schema = pa.schema([(n, pa.int64()) for n in ("anchor", "route", "whole", "doc_id", "row", "last_doc")] + [("start", pa.int32()), ("words", pa.binary())])
 
+    @tidy
     def run(batches):
         keep = wanted.value
         for batch in batches:
@@ -243,6 +245,7 @@ def _search(width: int):
     Runs that no other document can lose a word by are left out.
     """
 
+    @tidy
     def run(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:
@@ -329,6 +332,7 @@ def repeats(source: DataFrame, width: int, anchor: int) -> DataFrame:
 def _kept(width: int, with_text: bool):
     """doc_id, text[, hits or null] -> doc_id, n_words, n_removed, kept_sha256 or the kept text."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             data, bounds = tk.utf8(batch.column(1))
@@ -391,6 +395,7 @@ def _strip(width: int, text_at: int, chars_at: int | None, names: list[str]):
     """The columns of a table, then doc_id as a long and hits -> the columns, their texts and lengths rewritten where there are hits."""
     rewrite = _kept(width, True)
 
+    @tidy
     def run(batches):
         for batch in batches:
             n = len(names)

@@ -15,7 +15,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 BASE = 0xD1342543DE82EF95
 _powers: dict[str, np.ndarray] = {}
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import checkpoint, text_or_empty
+from .common import checkpoint, text_or_empty, tidy
 
 #: Bytes that part words: all ASCII but letters, digits and the apostrophe.
 APART = np.array([b < 128 and not (chr(b).isalnum() or b == 39) for b in range(256)])
@@ -85,6 +85,7 @@ def _distinct(batches):
 def _gather(words):
     """text, label -> label, sentences (their number), features of each word that has any, and the sentence of each."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             data, bounds = tk.utf8(batch.column(0))
@@ -184,6 +185,7 @@ def train(labelled: DataFrame, max_docs: int = 8000, max_words: int = 4096, min_
 
 
 def _score(model):
+    @tidy
     def run(batches):
         for batch in batches:
             data, bounds = tk.utf8(batch.column(1))
@@ -208,6 +210,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _offending(model, threshold):
+    @tidy
     def run(batches):
         for batch in batches:
             data, bounds = tk.utf8(batch.column(1))
@@ -252,6 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str, max_docs: int = 8000)
 
 
 def _below(shared, threshold, at):
+    @tidy
     def run(batches):
         for batch in batches:
             data, bounds = tk.utf8(batch.column(at))
