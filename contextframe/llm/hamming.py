@@ -126,7 +126,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             may = distance <= F.col("kth")
             for c in new:
                 may = may & c
-            parts.append(probes.join(index, (F.col("val") == F.col("segs")[s]) & may).withColumn("distance", distance))
+            # a merge join: the probes look few to Spark, as it does not count what explode() makes
+            parts.append(probes.hint("merge").join(index, (F.col("val") == F.col("segs")[s]) & may).withColumn("distance", distance))
         got = parts[0]
         for p in parts[1:]:
             got = got.union(p)
@@ -139,7 +140,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         blocks = max(1, many // SCAN_ROWS)
         whole = index.withColumn("block", F.pmod(F.xxhash64("segs"), F.lit(blocks)))
         each = pending.select("q", "kth", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-        take(each.join(whole, (each.block == whole.block) & (distance <= F.col("kth"))).withColumn("distance", distance), FAR)
+        take(each.hint("merge").join(whole, (each.block == whole.block) & (distance <= F.col("kth"))).withColumn("distance", distance), FAR)
 
     for radius in range(width + 1):
         if not state["left"]:
