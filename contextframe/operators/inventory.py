@@ -59,14 +59,63 @@ def resume_verdict(prior: DataFrame, current: DataFrame, columns=COMPARED) -> Da
 
 
 def order_violations(items: DataFrame, groups: list[str], position: str, key: str) -> DataFrame:
-    """Per group, how many adjacent rows do not rise strictly in ``key``."""
-    before = F.lag(key).over(Window.partitionBy(*groups).orderBy(position))
-    marked = items.withColumn("not_rising", before >= F.col(key))
-    return marked.groupBy(*groups).agg(F.count_if("not_rising").alias("violations"), F.count(F.lit(1)).alias("n_items"))
+    """Per group, how many adjacent rows do not rise strictly in ``key``.
+
+    Rows are dealt by ranges of (group, position), so a group may span many
+    tasks: each range is compared within itself, and the first key of each with
+    the last of the one before.
+    """
+    ranged = items.select(*groups, position, key).repartitionByRange(*groups, position).withColumn("order_range", F.spark_partition_id())
+    before = F.lag(key).over(Window.partitionBy(*groups, "order_range").orderBy(position))
+    ends = (
+        ranged.withColumn("not_rising", before >= F.col(key))
+        .groupBy(*groups, "order_range")
+        .agg(
+            F.count_if("not_rising").alias("inside"),
+            F.count(F.lit(1)).alias("here"),
+            F.min_by(F.struct(key), position).alias("first_row"),
+            F.max_by(F.struct(key), position).alias("last_row"),
+        )
+    )
+    earlier = F.lag(F.col(f"last_row.{key}")).over(Window.partitionBy(*groups).orderBy("order_range"))
+    marked = ends.withColumn("across", earlier >= F.col(f"first_row.{key}"))
+    return marked.groupBy(*groups).agg((F.sum("inside") + F.count_if("across")).alias("violations"), F.sum("here").alias("n_items"))
+
+
+# Rules on the header of a prior manifest, in the order of their precedence; 1 and 2 are about the file itself.
+HEADER_RULES = {
+    3: ("MalformedState", "the manifest has another version"),
+    4: ("MalformedState", "the manifest is of an incomplete fetch"),
+    5: ("MalformedState", "the manifest has a blank source, source path or artifact root"),
+    6: ("MalformedState", "the manifest's artifacts lie outside of this destination"),
+    7: ("InvalidCache", "the manifest's artifact root does not exist"),
+}
+
+
+def header_rule(version: int) -> Column:
+    """The first rule that a manifest's header breaks, or null; over the columns of one row per manifest."""
+    c = F.col
+    blank = lambda n: c(n).isNull() | is_blank(c(n))
+    return (
+        F.when(c("version") != version, 3)
+        .when(~c("complete"), 4)
+        .when(blank("source") | blank("source_path") | blank("artifact_root"), 5)
+        .when(c("copied") & (same_path(c("artifact_root")) != same_path(c("cache"))), 6)
+        .when(~c("root_exists"), 7)
+    )
 
 
 # Validation rules of a prior manifest's items, in the order of their precedence.
-RULES = {8: "MalformedState", 9: "MalformedState", 10: "MalformedState", 11: "MalformedState", 12: "InvalidCache", 13: "InvalidCache", 14: "InvalidCache", 15: "MalformedState"}
+RULES = {
+    8: ("MalformedState", "an item has blank fields"),
+    9: ("MalformedState", "an item's relative path is not normalized"),
+    10: ("MalformedState", "an item has no artifact"),
+    11: ("MalformedState", "an artifact is not where it belongs"),
+    12: ("InvalidCache", "an artifact is missing"),
+    13: ("InvalidCache", "an artifact cannot be read"),
+    14: ("InvalidCache", "an artifact has changed"),
+    15: ("MalformedState", "the manifest's items are not in strict order"),
+}
 
 
 def item_rule(copied: Column, root: Column) -> Column:
@@ -87,12 +136,12 @@ def item_rule(copied: Column, root: Column) -> Column:
 
 def validate_items(items: DataFrame, copied: Column, root: Column) -> DataFrame:
     """manifest_id, n_items, first_pos, first_rule: items are judged in order, the order of their keys after all of them."""
-    before = F.lag("relative_path").over(Window.partitionBy("manifest_id").orderBy("pos"))
-    judged = items.withColumn("rule", item_rule(copied, root)).withColumn("falls", before >= F.col("relative_path"))
+    judged = items.withColumn("rule", item_rule(copied, root))
     first = F.min(F.when(F.col("rule").isNotNull(), F.struct("pos", "rule")))
-    out = judged.groupBy("manifest_id").agg(F.count(F.lit(1)).alias("n_items"), first.alias("first_bad"), F.bool_or("falls").alias("unordered"))
+    judged = judged.groupBy("manifest_id").agg(F.count(F.lit(1)).alias("n_items"), first.alias("first_bad"))
+    falls = order_violations(items, ["manifest_id"], "pos", "relative_path").select("manifest_id", (F.col("violations") > 0).alias("unordered"))
     rule = F.coalesce(F.col("first_bad.rule"), F.when(F.coalesce("unordered", F.lit(False)), 15))
-    return out.select("manifest_id", "n_items", F.col("first_bad.pos").alias("first_pos"), rule.alias("first_rule"))
+    return judged.join(falls, "manifest_id", "left").select("manifest_id", "n_items", F.col("first_bad.pos").alias("first_pos"), rule.alias("first_rule"))
 
 
 def outcome_counts(outcomes: DataFrame, groups: list[str]) -> DataFrame:
@@ -112,20 +161,23 @@ def first_error(rules: list[tuple[Column, str, str]]) -> Column:
 
 
 def request_error() -> Column:
-    """Request validation over columns that describe a request; the first failure counts."""
+    """Request validation over columns that describe a request; the first failure counts.
+
+    process_content() judges its requests by the same rules.
+    """
     c = F.col
     fetch, downstream = c("fetch"), c("sanitize") | c("ai_augment") | c("content_map")
     local = ~c("is_website")
     return first_error(
         [
             (~fetch & ~downstream, "InvalidConfiguration", "no stage is enabled"),
-            (c("max_concurrency") == 0, "InvalidConfiguration", "max_concurrency is 0"),
-            (fetch & c("is_website") & ~c("same_host_only"), "InvalidConfiguration", "a website needs same_host_only"),
-            (fetch & local & ~c("source_exists"), "InvalidConfiguration", "the source does not exist"),
+            (c("max_concurrency") <= 0, "InvalidConfiguration", "max_concurrency must be over 0"),
+            (fetch & c("is_website") & ~c("same_host_only"), "InvalidConfiguration", "fetching a website needs same_host_only"),
+            (fetch & local & ~c("source_exists"), "InvalidConfiguration", "the source is neither a file nor a directory"),
             (c("ai_augment") & (is_blank(c("augment_provider")) | is_blank(c("augment_model"))), "InvalidConfiguration", "AI augment needs a provider and a model"),
             (c("content_map") & (is_blank(c("map_provider")) | is_blank(c("map_model"))), "InvalidConfiguration", "the content map needs a provider and a model"),
-            (~fetch & downstream & ~c("cache_exists") & ~c("manifest_exists"), "MalformedState", "there is no prior fetch"),
+            (~fetch & downstream & ~c("cache_exists") & ~c("manifest_exists"), "MalformedState", "there is no prior fetch at the destination"),
             (c("is_website") & ~fetch, "InvalidConfiguration", "a website needs the fetch stage"),
-            (c("is_website"), "Unsupported", "websites are not fetched"),
+            (c("is_website"), "Unsupported", "websites are not fetched; use the page operators on a table of pages"),
         ]
     )

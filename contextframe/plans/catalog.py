@@ -168,6 +168,7 @@ REQUESTS = [
     {},
     {"fetch": False},
     {"fetch": False, "max_concurrency": 0},
+    {"max_concurrency": -1},
     {"max_concurrency": 0, "is_website": True},
     {"is_website": True},
     {"is_website": True, "same_host_only": True},
@@ -330,14 +331,14 @@ ORACLE_SQL: dict[str, str] = {
  SELECT n.run_id, open.stage AS current_stage, n_completed, n_skipped, n_failed, n_events FROM n LEFT JOIN open ON n.run_id = open.run_id""",
     "q14_lossy_channel": f"SELECT run_id, seq, CAST(slot AS INTEGER) AS slot FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS slot FROM ({_EVENTS_SQL})) WHERE slot <= 64",
     "q15_request_validation": f"""SELECT request_id, CASE WHEN NOT "fetch" AND NOT (sanitize OR ai_augment OR content_map) THEN 'InvalidConfiguration: no stage is enabled'
- WHEN max_concurrency = 0 THEN 'InvalidConfiguration: max_concurrency is 0'
- WHEN "fetch" AND is_website AND NOT same_host_only THEN 'InvalidConfiguration: a website needs same_host_only'
- WHEN "fetch" AND NOT is_website AND NOT source_exists THEN 'InvalidConfiguration: the source does not exist'
+ WHEN max_concurrency <= 0 THEN 'InvalidConfiguration: max_concurrency must be over 0'
+ WHEN "fetch" AND is_website AND NOT same_host_only THEN 'InvalidConfiguration: fetching a website needs same_host_only'
+ WHEN "fetch" AND NOT is_website AND NOT source_exists THEN 'InvalidConfiguration: the source is neither a file nor a directory'
  WHEN ai_augment AND ({_BLANK.format('augment_provider')} OR {_BLANK.format('augment_model')}) THEN 'InvalidConfiguration: AI augment needs a provider and a model'
  WHEN content_map AND ({_BLANK.format('map_provider')} OR {_BLANK.format('map_model')}) THEN 'InvalidConfiguration: the content map needs a provider and a model'
- WHEN NOT "fetch" AND (sanitize OR ai_augment OR content_map) AND NOT cache_exists AND NOT manifest_exists THEN 'MalformedState: there is no prior fetch'
+ WHEN NOT "fetch" AND (sanitize OR ai_augment OR content_map) AND NOT cache_exists AND NOT manifest_exists THEN 'MalformedState: there is no prior fetch at the destination'
  WHEN is_website AND NOT "fetch" THEN 'InvalidConfiguration: a website needs the fetch stage'
- WHEN is_website THEN 'Unsupported: websites are not fetched' END AS error
+ WHEN is_website THEN 'Unsupported: websites are not fetched; use the page operators on a table of pages' END AS error
  FROM (VALUES {", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in REQUEST_ROWS)}) AS v(request_id, {", ".join(f'"{n}"' for n in REQUEST_NAMES)})""",
     "q16_stage_outcomes": """SELECT source, lang, count(*) FILTER (status = 'completed') AS n_completed, count(*) FILTER (status = 'skipped') AS n_skipped, count(*) FILTER (status = 'failed') AS n_failed,
  count(*) FILTER (status = 'failed') = 0 AS complete FROM (SELECT source, lang, CASE WHEN n_chars % 11 = 0 THEN 'failed' WHEN n_chars % 3 = 0 THEN 'skipped' ELSE 'completed' END AS status FROM documents) GROUP BY source, lang""",
