@@ -9,18 +9,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.paths import folder_of, url_path
+from ..options import FetchOptions
+from ..sources.shared import checkpointed
 
-# Patterns that Java and RE2 read alike.
-SLIM = (r"(?is)<!--.*?-->", r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?is)<(?:meta|link|base)[^>]*>", r"(?is)<nav[^>]*>.*?</nav>", r"(?is)<footer[^>]*>.*?</footer>")
+# Patterns that Java, RE2 and Python read alike.
+SLIM = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<(?:meta|link|base)[^>]*>|<nav[^>]*>.*?</nav>|<footer[^>]*>.*?</footer>"
 SPACES = r"[ \t\r\n]+"
 HREF = r'(?i)href="([^"]*)"'
 
 
 def slim_html(html: Column) -> Column:
-    """HTML without comments, scripts, styles, metadata, menus and footers; runs of white space are one space."""
-    for pattern in SLIM:
-        html = F.regexp_replace(html, pattern, "")
-    return F.regexp_replace(html, SPACES, " ")
+    """HTML without comments, scripts, styles, metadata, menus and footers; runs of white space are one space.
+
+    One pass from left to right: what begins first goes, up to its first end.
+    """
+    return F.regexp_replace(F.regexp_replace(html, SLIM, ""), SPACES, " ")
 
 
 def host(url: Column) -> Column:
@@ -46,24 +49,37 @@ def resolve(url: Column, href: Column) -> Column:
     )
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int, checkpoint=None) -> DataFrame:
+def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int, checkpoint=checkpointed) -> DataFrame:
     """(src, dst), (url) -> url, depth: the least number of links from a seed, up to ``max_depth``.
 
     Breadth first: each round joins the frontier with the edges and drops what
-    has been seen; ``checkpoint`` may cut the lineage between rounds.
+    has been seen.  ``checkpoint`` computes a round once and cuts its lineage.
     """
-    keep = checkpoint or (lambda df: df)
-    seen = keep(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+    edges = edges.select("src", "dst").distinct()
+    if max_depth > 1:
+        edges = checkpoint(edges)
+    seen = frontier = checkpoint(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
         reached = frontier.join(edges, frontier.url == edges.src).select(F.col("dst").alias("url")).distinct()
-        frontier = keep(reached.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = checkpoint(reached.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
     return seen
 
 
+def crawl_pages(pages: DataFrame, seeds: DataFrame, options: FetchOptions) -> DataFrame:
+    """pages (page_id, url, html), seeds (url) -> url, depth, as a website fetch with these options would reach them.
+
+    Without ``follow_links`` only the seeds are reached; with ``same_host_only``
+    a link counts only if it stays on its page's host.
+    """
+    hrefs = links(pages).select(F.col("url").alias("src"), resolve(F.col("url"), F.col("href")).alias("dst"))
+    if options.same_host_only:
+        hrefs = hrefs.where(host(F.col("src")) == host(F.col("dst")))
+    return crawl(hrefs, seeds, options.max_depth if options.follow_links else 0)
+
+
 def folder_rollup(pages: DataFrame) -> DataFrame:
     """folder, n_items, n_chars over every ancestor folder of each page's path."""
     rel = url_path(F.col("url"))

@@ -8,6 +8,7 @@ from ..functions import paths as p
 from ..operators import contentmap, html, inventory as inv
 from ..sources.pages import page_items, read_table
 from ..streaming import progress as pg
+from . import files
 
 INCLUDE = ("**/*.html", "**/*[0-4]")
 EXCLUDE = ("**/*th*/**", "!**/*7*")
@@ -17,7 +18,6 @@ EXCLUDE = ("**/*th*/**", "!**/*7*")
 REL_SQL = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
 EXT_SQL = f"lower(regexp_extract({REL_SQL}, '{p.EXTENSION}', 1))"
 TYPE_SQL = "CASE " + EXT_SQL + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in p.MEDIA_TYPES.items()) + " END"
-KEEP, DROP = p.pattern_regexes(INCLUDE, EXCLUDE)
 
 
 def q01_select_include_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,10 +257,11 @@ def q24_folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q25_file_map_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     items = docs.select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("relative_path"), "text")
-    return contentmap.file_map(items, contentmap.StubProvider())
+    out = contentmap.file_map(items, contentmap.StubProvider())
+    return out.withColumns({c: F.array_join(c, " ") for c in ("public_types", "public_functions", "topics")})
 
 
-QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("q") and name[1:3].isdigit()}
+QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("q") and name[1:3].isdigit()} | files.QUERIES
 
 _KINDS_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_KINDS.items()) + " END"
 _EVENTS_SQL = f"SELECT user_id AS run_id, event_id AS seq, {_KINDS_SQL} AS kind, 'stage' || (event_id % 3) AS stage FROM events"
@@ -276,13 +277,11 @@ _SLASHED = "replace(path, '\\', '/')"
 _NORMAL = f"regexp_replace({_SLASHED}, '^[.]/', '')"
 _BLANK = "({0} IS NULL OR trim({0}, ' ' || chr(9)) = '')"
 _TIDY = "regexp_replace(regexp_replace(regexp_replace({0}, '/+', '/', 'g'), '/[.]/', '/', 'g'), '(.)/$', '\\1')"
-_SLIM = "html"
-for _p in html.SLIM:
-    _SLIM = f"regexp_replace({_SLIM}, '{_p}', '', 'g')"
-_SLIM = f"regexp_replace({_SLIM}, '{html.SPACES}', ' ', 'g')"
+_SLIM = r"""regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<(?:meta|link|base)[^>]*>|<nav[^>]*>.*?</nav>|<footer[^>]*>.*?</footer>', '', 'g'),
+ '[ \t\r\n]+', ' ', 'g')"""
 _HOST = "lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 _LINKS = f"""SELECT page_id, url, CAST(i - 1 AS INTEGER) AS position, hrefs[i] AS href FROM
- (SELECT page_id, url, hrefs, unnest(range(1, len(hrefs) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '{html.HREF}', 1) AS hrefs FROM pages))"""
+ (SELECT page_id, url, hrefs, unnest(range(1, len(hrefs) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)href="([^"]*)"', 1) AS hrefs FROM pages))"""
 _TARGET = "regexp_replace(href, '#.*$', '')"
 _RESOLVED = f"""CASE WHEN regexp_matches({_TARGET}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {_TARGET}
  WHEN starts_with({_TARGET}, '//') THEN regexp_replace(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://)', 1), '//$', '') || {_TARGET}
@@ -290,11 +289,12 @@ _RESOLVED = f"""CASE WHEN regexp_matches({_TARGET}, '^[A-Za-z][A-Za-z0-9+.-]*:')
  WHEN {_TARGET} = '' THEN regexp_replace(url, '#.*$', '')
  ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '(://[^/]*)?/?[^/]*$', '\\1') || '/' || {_TARGET} END"""
 
-ORACLE_SQL: dict[str, str] = {
-    "q01_select_include_exclude": f"SELECT page_id AS list_seq, {REL_SQL} AS relative_path FROM pages WHERE regexp_matches({REL_SQL}, '{KEEP}') AND NOT regexp_matches({REL_SQL}, '{DROP}')",
+ORACLE_SQL: dict[str, str] = files.ORACLE_SQL | {
+    "q01_select_include_exclude": f"""SELECT page_id AS list_seq, {REL_SQL} AS relative_path FROM pages WHERE regexp_matches({REL_SQL}, '^([^/]*/)*[^/]*([.]html|[0-4])$')
+ AND NOT regexp_matches({REL_SQL}, '^([^/]*/)*[^/]*th[^/]*/.*$') AND NOT regexp_matches({REL_SQL}, '^([^/]*/)*[^/]*7[^/]*$')""",
     "q02_exclude_anti_join": f"""WITH items AS (SELECT page_id AS list_seq, {REL_SQL} AS relative_path FROM pages)
- SELECT * FROM items a WHERE regexp_matches(relative_path, '{p.glob_regex(INCLUDE[0])}') AND NOT EXISTS
- (SELECT 1 FROM items b WHERE b.relative_path = a.relative_path AND regexp_matches(b.relative_path, '{p.glob_regex("**/*th*/**")}'))""",
+ SELECT * FROM items a WHERE regexp_matches(relative_path, '^([^/]*/)*[^/]*[.]html$') AND NOT EXISTS
+ (SELECT 1 FROM items b WHERE b.relative_path = a.relative_path AND regexp_matches(b.relative_path, '^([^/]*/)*[^/]*th[^/]*/.*$'))""",
     "q03_media_type_classify": f"SELECT page_id, {EXT_SQL} AS extension, {TYPE_SQL} AS media_type FROM pages",
     "q04_content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "q05_inventory": f"""SELECT source, relative_path, media_type, content_hash FROM (SELECT url AS source, {REL_SQL} AS relative_path, {TYPE_SQL} AS media_type, sha256(html) AS content_hash,
@@ -354,6 +354,8 @@ ORACLE_SQL: dict[str, str] = {
  d1 AS (SELECT DISTINCT dst AS url FROM edges JOIN d0 ON src = url WHERE dst NOT IN (SELECT url FROM d0)),
  d2 AS (SELECT DISTINCT dst AS url FROM edges JOIN d1 ON src = url WHERE dst NOT IN (SELECT url FROM d0 UNION SELECT url FROM d1))
  SELECT * FROM (SELECT 0 AS depth, count(*) AS n_urls FROM d0 UNION ALL SELECT 1, count(*) FROM d1 UNION ALL SELECT 2, count(*) FROM d2) WHERE n_urls > 0""",
+    "q25_file_map_stub": f"""SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, {files.SUMMARY_SQL.format("coalesce(text, '')")} AS summary, 'when reading ' || source || '/' || lang || '/' || doc_id || '.txt' AS when_to_use,
+ '' AS public_types, '' AS public_functions, array_to_string({files.TOPICS_SQL.format("coalesce(text, '')")}, ' ') AS topics FROM documents""",
     "q24_folder_rollup": f"""WITH f AS (SELECT regexp_replace({REL_SQL}, '/?[^/]*$', '') AS folder, length(html) AS chars FROM pages), parts AS (SELECT string_split(folder, '/') AS p, chars FROM f WHERE folder <> '')
  SELECT array_to_string(p[1:i], '/') AS folder, count(*) AS n_items, CAST(sum(chars) AS BIGINT) AS n_chars FROM (SELECT p, chars, unnest(range(1, len(p) + 1)) AS i FROM parts) GROUP BY 1""",
 }
