@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import checkpoint, text_or_empty
+from .common import stored, text_or_empty, tidy
 from .graph import components
 
 BINS = 128
@@ -145,9 +145,27 @@ def with_edits(texts: list[str]):
     return prints, changed, edited
 
 
+PACKED = pa.Codec("zstd", compression_level=1)
+ROW = [("kind", pa.int8()), ("doc_id", pa.int64()), ("place", pa.int64()), ("text", pa.large_string())]
+
+
+def _pack(rows: pa.RecordBatch) -> bytes:
+    """Rows of one block as one compressed blob: texts travel once, and small."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions()) as out:
+        out.write_batch(rows)
+    raw = sink.getvalue()
+    return raw.size.to_bytes(8, "little") + PACKED.compress(raw, asbytes=True)
+
+
+def _unpack(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(PACKED.decompress(blob[8:], int.from_bytes(blob[:8], "little"))).read_all()
+
+
 def _deal(bounds: np.ndarray, least: int):
     """Send each row to its block, and the row that follows a block's last to that block as well."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             key = batch.column(1).to_numpy()
@@ -157,14 +175,24 @@ def _deal(bounds: np.ndarray, least: int):
             round_ = np.flatnonzero(key == least)
             rows = np.concatenate([np.arange(len(key)), fringe, round_])
             to = np.concatenate([block, block[fringe] - 1, np.full(len(round_), len(bounds))])
-            kind = np.concatenate([np.zeros(len(key), np.int32), np.ones(len(fringe), np.int32), np.full(len(round_), 2, np.int32)])
-            got = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int64)), pa.array(kind), *got.columns], names=["block", "kind", *batch.schema.names])
+            kind = np.concatenate([np.zeros(len(key), np.int8), np.ones(len(fringe), np.int8), np.full(len(round_), 2, np.int8)])
+            order = np.argsort(to, kind="stable")
+            ends = np.append(np.flatnonzero(np.diff(to[order])) + 1, len(order))
+            blocks, blobs, lo = [], [], 0
+            for hi in ends:
+                at = order[lo:hi]
+                got = batch.take(pa.array(rows[at]))
+                columns = [pa.array(kind[at]), *(got.column(i).cast(t) for i, (_, t) in enumerate(ROW[1:]))]
+                blocks.append(int(to[at[0]]))
+                blobs.append(_pack(pa.RecordBatch.from_arrays(columns, schema=pa.schema(ROW))))
+                lo = hi
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary())], names=["block", "blob"])
 
     return run
 
 
-def _block(table: pa.Table) -> pa.Table:
+def _block(packed: pa.Table) -> pa.Table:
+    table = pa.concat_tables([_unpack(b.as_py()) for b in packed.column("blob")])
     table = table.sort_by([("kind", "ascending"), ("place", "ascending"), ("text", "ascending")])
     kind = table.column("kind").to_numpy()
     own = int((kind == 0).sum())
@@ -221,7 +249,7 @@ def fingerprint_and_edit(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFra
         at = [k / blocks for k in range(1, blocks)]
         cuts = source.select("place").agg(F.percentile_approx("place", at, 20 * blocks).alias("cuts")).first().cuts
     bounds = np.unique(np.array([c for c in cuts if c > facts.least], np.int64))
-    dealt = source.mapInArrow(_deal(bounds, facts.least), "block long, kind int, doc_id long, place long, text string")
+    dealt = source.mapInArrow(_deal(bounds, facts.least), "block long, blob binary")
     return dealt.groupBy("block").applyInArrow(_block, schema)
 
 
@@ -245,7 +273,7 @@ def near_pairs(prints: DataFrame, least: float = 0.7, rounds: int = 2) -> DataFr
     fingerprints; the texts are not read.
     """
     fewest = int(np.ceil(least * BINS - 1e-9))
-    classes = checkpoint(
+    classes = stored(
         prints.where("fingerprint is not null and doc_id is not null")
         .groupBy("fingerprint")
         .agg(F.min("doc_id").alias("rep"))
@@ -255,7 +283,7 @@ def near_pairs(prints: DataFrame, least: float = 0.7, rounds: int = 2) -> DataFr
     keys = [F.xxhash64(F.lit(b), *(F.substring("fingerprint", int(2 * p + 1), 2) for p in band)) for b, band in enumerate(bands)]
     keyed = classes.select("rep", F.explode(F.array(*keys)).alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    member = checkpoint(keyed.join(shared, "key"))
+    member = stored(keyed.join(shared, "key"))
     words = classes.select("rep", "words")
 
     def alike(a: str, b: str):
@@ -268,7 +296,7 @@ def near_pairs(prints: DataFrame, least: float = 0.7, rounds: int = 2) -> DataFr
         else:
             now = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
             mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-            now = checkpoint(now.join(mixed, "key", "left_semi"))
+            now = stored(now.join(mixed, "key", "left_semi"))
         if now.isEmpty():
             break
         if turn < rounds:
@@ -280,9 +308,23 @@ def near_pairs(prints: DataFrame, least: float = 0.7, rounds: int = 2) -> DataFr
             wide = now.join(words, "rep")
             x, y = wide.toDF("src", "key", "la", "a"), wide.toDF("dst", "key", "lb", "b")
             pairs = x.join(y, "key").where((F.col("src") < F.col("dst")) & (F.col("la") != F.col("lb")) & (alike("a", "b") >= fewest)).select("src", "dst", alike("a", "b").alias("same"))
-        found = checkpoint(pairs.groupBy("src", "dst").agg((F.max("same") / BINS).alias("likeness")))
+        found = stored(pairs.groupBy("src", "dst").agg((F.max("same") / BINS).alias("likeness")))
         links = found if links is None else links.union(found)
         if turn < rounds and not links.isEmpty():
             labels = components(links)
     copies = prints.join(classes, "fingerprint").where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"), F.lit(1.0).alias("likeness"))
     return copies if links is None else links.union(copies)
+
+
+def near_groups(prints: DataFrame, least: float = 0.8, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """(doc_id, fingerprint, ...) -> the same with near_group: the smallest doc_id that chains of near_pairs() join it to.
+
+    A document that is near no other is a group of its own; a null doc_id has no
+    group.  ``prints`` is read more than once, so it should be a stored table.
+    Groups are joined by a broadcast of at most ``broadcast_ids`` rows, and by a
+    shuffle beyond.
+    """
+    labels = components(near_pairs(prints.select("doc_id", "fingerprint"), least).select("src", "dst")).toDF("near_id", "near_group")
+    few = labels.limit(broadcast_ids + 1).count() <= broadcast_ids
+    out = prints.join(F.broadcast(labels) if few else labels, prints.doc_id == F.col("near_id"), "left")
+    return out.select(*prints.columns, F.coalesce("near_group", "doc_id").alias("near_group"))

@@ -51,9 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .editsketch import fingerprint_and_edit
+    from .common import stored
+    from .editsketch import fingerprint_and_edit, near_groups
 
-    return fingerprint_and_edit(documents(spark, sf_dir))
+    return near_groups(stored(fingerprint_and_edit(documents(spark, sf_dir)), "zstd"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

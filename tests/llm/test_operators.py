@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contextframe.llm import editsketch, hamming, html_text, kneser_ney, mixing, neardup, packing, substring
-from contextframe.llm.queries import op8_kneser_ney, tokenizer_path
+from contextframe.llm.queries import op3_edit_fingerprint, op8_kneser_ney, tokenizer_path
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, label int, score double, n int, key string, size long, rank int, block int"
 
@@ -289,6 +289,34 @@ def test_near_pairs_of_a_template(spark):
     assert joined([(r.src, r.dst) for r in pairs]) == want and 1 < len(set(want)) < n
 
 
+def test_near_groups(spark, tmp_path):
+    """The query's groups are those of all pairs of fingerprints, compared one by one; they find most edited copies."""
+    rng = random.Random(12)
+    base = [text(rng, 120) for _ in range(25)]
+    rows, origin = [], {}
+    for k, t in enumerate(base):
+        for c in range(4):
+            part = t.split()
+            for _ in range(c):
+                part[rng.randrange(len(part))] = f"q{rng.randrange(99)}"
+            origin[len(rows)] = k
+            rows.append((len(rows), " ".join(part)))
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.fingerprint, r.near_group) for r in op3_edit_fingerprint(spark, str(tmp_path)).collect()}
+    prints = [np.frombuffer(bytes.fromhex(got[i][0]), np.uint8) for i in range(len(rows))]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if editsketch.likeness(prints[a], prints[b]) >= 0.8:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert [got[i][1] for i in range(len(rows))] == label
+    assert all(origin[i] == origin[label[i]] for i in origin)
+    assert sum(label[i] != i for i in origin) >= 0.6 * 75  # of 75 copies with up to three words changed
+    frame(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert op3_edit_fingerprint(spark, f"{tmp_path}/none").count() == 0
+
+
 # ---- near duplicates
 
 
