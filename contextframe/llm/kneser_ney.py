@@ -10,6 +10,7 @@ writes the same kind of array.  Scoring maps the arrays into memory.
 
 from __future__ import annotations
 
+import mmap
 import os
 import tempfile
 import uuid
@@ -27,6 +28,7 @@ START, END = np.uint64(0x5F3759DF5F3759DF), np.uint64(0xC0FFEE00C0FFEE01)
 FLUSH = 2 << 20
 SHARD_BYTES = 24 << 20
 SCORE_CHUNK = 8 << 20
+MOST_MAPPED = 16_384  # files that a worker keeps mapped
 
 
 # ---- files in the folder that all executors share
@@ -55,28 +57,37 @@ def _write(folder: str, name: str, raw: bytes) -> None:
     store.move(f"{path}/{own}", f"{path}/{name}")
 
 
+def _mapped(handle) -> np.ndarray:
+    """A file's bytes, mapped into memory without holding its descriptor, where Python can do without."""
+    size = os.fstat(handle.fileno()).st_size
+    if not size:
+        return np.zeros(0, np.uint8)
+    try:
+        whole = mmap.mmap(handle.fileno(), size, access=mmap.ACCESS_READ, trackfd=False)
+    except TypeError:  # before Python 3.13
+        whole = mmap.mmap(handle.fileno(), size, access=mmap.ACCESS_READ)
+    return np.frombuffer(whole, np.uint8)
+
+
 def _map(folder: str, name: str, fields: list[tuple[str, str]]) -> dict[str, np.ndarray]:
     """Columns of one file, mapped into memory; from a remote store through a copy without a name."""
     if (path := _local(folder)) is not None:
-        source = f"{path}/{name}"
-        if not os.path.exists(source):
+        if not os.path.exists(f"{path}/{name}"):
             return {f: np.zeros(0, t) for f, t in fields}
-        size = os.path.getsize(source)
-        whole = np.memmap(source, np.uint8, "r") if size else np.zeros(0, np.uint8)
+        with open(f"{path}/{name}", "rb") as have:
+            whole = _mapped(have)
     else:
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(folder)
         if store.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
             return {f: np.zeros(0, t) for f, t in fields}
-        copy = tempfile.TemporaryFile()
-        with store.open_input_stream(f"{path}/{name}") as have:
+        with tempfile.TemporaryFile() as copy, store.open_input_stream(f"{path}/{name}") as have:
             while chunk := have.read(8 << 20):
                 copy.write(chunk)
-        copy.flush()
-        size = copy.tell()
-        whole = np.memmap(copy, np.uint8, "r") if size else np.zeros(0, np.uint8)
-    n = size // sum(np.dtype(t).itemsize for _, t in fields)
+            copy.flush()
+            whole = _mapped(copy)
+    n = len(whole) // sum(np.dtype(t).itemsize for _, t in fields)
     out, at = {}, 0
     for f, t in fields:
         step = n * np.dtype(t).itemsize
@@ -86,7 +97,9 @@ def _map(folder: str, name: str, fields: list[tuple[str, str]]) -> dict[str, np.
 
 
 PAIR = [("key", "<u8"), ("count", "<u4")]
-WORD = [("key", "<u8"), ("count", "<u4"), ("once", "<u4"), ("twice", "<u4"), ("more", "<u4"), ("before", "<u4")]
+MANY = [("key", "<u8"), ("count", "<u8")]  # pairs whose count is FULL or more, which a PAIR cannot say
+FULL = (1 << 32) - 1
+WORD = [("key", "<u8"), ("count", "<u8"), ("once", "<u8"), ("twice", "<u8"), ("more", "<u8"), ("before", "<u8")]
 
 
 def _pack(columns) -> bytes:
@@ -201,7 +214,9 @@ def _add_pairs(folder: str, parts: int):
         count = np.add.reduceat(count[order], at)
         pick = order[at]
         key, v, w = key[at], v[pick], w[pick]
-        _write(folder, f"pairs-{shard}", _pack([key, count.astype(np.uint32)]))
+        _write(folder, f"pairs-{shard}", _pack([key, np.minimum(count, FULL).astype(np.uint32)]))
+        if (many := count >= FULL).any():
+            _write(folder, f"many-{shard}", _pack([key[many], count[many].astype(np.uint64)]))
         contexts = _group_sum(v, count, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64))
         after = _group_sum(w, np.ones(len(w), np.int64))
         cuts = _ranges(contexts[0], parts), _ranges(after[0], parts)
@@ -210,7 +225,7 @@ def _add_pairs(folder: str, parts: int):
             a, b = slice(*cuts[0][p : p + 2]), slice(*cuts[1][p : p + 2])
             ids.append(p)
             head = np.array([a.stop - a.start, b.stop - b.start], np.int64)
-            blobs.append(_pack([head, contexts[0][a], *(c[a].astype(np.uint32) for c in contexts[1:]), after[0][b], after[1][b].astype(np.uint32)]))
+            blobs.append(_pack([head, contexts[0][a], *(c[a].astype(np.uint64) for c in contexts[1:]), after[0][b], after[1][b].astype(np.uint64)]))
         return pa.table([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
     return run
@@ -236,13 +251,13 @@ def _add_words(folder: str):
                 at += 8 * n
                 known = np.zeros((5, n + m), np.int64)
                 for k in range(4):
-                    known[k, :n] = np.frombuffer(blob, np.uint32, n, at)
-                    at += 4 * n
+                    known[k, :n] = np.frombuffer(blob, np.uint64, n, at)
+                    at += 8 * n
                 keys.append(np.frombuffer(blob, np.uint64, m, at))
-                known[4, n:] = np.frombuffer(blob, np.uint32, m, at + 8 * m)
+                known[4, n:] = np.frombuffer(blob, np.uint64, m, at + 8 * m)
                 values.append(known)
             key, *known = _group_sum(np.concatenate(keys), *np.concatenate(values, 1))
-            _write(folder, f"words-{part}", _pack([key, *(k.astype(np.uint32) for k in known)]))
+            _write(folder, f"words-{part}", _pack([key, *(k.astype(np.uint64) for k in known)]))
             before = known[4]
             words = (key != START) & (key != END)
             start = int(known[0][key == START].sum())
@@ -303,11 +318,12 @@ _open: dict = {}
 
 
 class Arrays:
-    """The mapped arrays of a model, split by ranges of hashes."""
+    """The arrays of a model, split by ranges of hashes; files are mapped when they are first looked into."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.files = {kind: [_map(model.folder, f"{kind}-{k}", fields) for k in range(n)] for kind, n, fields in (("pairs", model.shards, PAIR), ("words", model.parts, WORD))}
+        self.parts = {"pairs": (model.shards, PAIR), "words": (model.parts, WORD), "many": (model.shards, MANY)}
+        self.files: dict = {}
 
     @staticmethod
     def of(model: Model) -> Arrays:
@@ -316,14 +332,24 @@ class Arrays:
             _open[model.folder] = Arrays(model)
         return _open[model.folder]
 
+    def file(self, kind: str, k: int) -> dict[str, np.ndarray]:
+        if (kind, k) not in self.files:
+            if len(self.files) >= MOST_MAPPED:
+                self.files.clear()
+            self.files[kind, k] = _map(self.model.folder, f"{kind}-{k}", self.parts[kind][1])
+        return self.files[kind, k]
+
     def find(self, kind: str, keys: np.ndarray, fields: list[str]) -> list[np.ndarray]:
         """Values of sorted keys, 0 where there is none."""
         out = [np.zeros(len(keys), np.int64) for _ in fields]
-        files = self.files[kind]
-        cut = _ranges(keys, len(files))
-        for k, have in enumerate(files):
+        parts = self.parts[kind][0]
+        cut = _ranges(keys, parts)
+        for k in range(parts):
             a, b = cut[k], cut[k + 1]
-            if a == b or not len(have["key"]):
+            if a == b:
+                continue
+            have = self.file(kind, k)
+            if not len(have["key"]):
                 continue
             at = np.minimum(np.searchsorted(have["key"], keys[a:b]), len(have["key"]) - 1)
             hit = have["key"][at] == keys[a:b]
@@ -331,6 +357,14 @@ class Arrays:
                 o[a:b] = np.where(hit, have[f][at], 0)
         return out
 
+    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of sorted keys of pairs."""
+        (count,) = self.find("pairs", keys, ["count"])
+        full = np.flatnonzero(count == FULL)
+        if len(full):
+            count[full] = self.find("many", keys[full], ["count"])[0]
+        return count
+
 
 def _score_block(arrays: Arrays, h: np.ndarray, first: np.ndarray):
     """(tokens, known tokens, base score, score) of each row."""
@@ -354,7 +388,7 @@ def _score_block(arrays: Arrays, h: np.ndarray, first: np.ndarray):
     key = _pair_hash(seq[at], seq[at + 1])
     order = np.argsort(key)
     pair = np.zeros(len(key), np.int64)
-    pair[order] = arrays.find("pairs", key[order], ["count"])[0]
+    pair[order] = arrays.pair_counts(key[order])
     d = np.array([0, *m.discounts])
     context = np.maximum(count, 1)
     rest = np.where(count > 0, (d[1] * once + d[2] * twice + d[3] * more) / context, 1.0)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import text_or_empty, tidy
+from .common import text_or_empty, tidy, trim
 
 NEWLINE, TAB = 10, 9
 UPPER, LOWER, DIGIT, MARK, HIGH, SHOUT, PIPE, STOP = range(8)
@@ -240,12 +240,13 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 200, l2: float = 1e
 
 
 def train(labelled: DataFrame) -> Model:
-    """(doc_id, text, label 0/1), bounded by its caller -> Model, trained on the driver."""
+    """(doc_id, text, label 0/1), bounded in rows and bytes by its caller, as learn() does -> Model, trained on the driver."""
     rows = labelled.select("doc_id", text_or_empty().alias("text"), F.col("label").cast("int").alias("label")).where("label is not null").collect()
-    rows = sorted(((r.doc_id, r.text.encode(), r.label) for r in rows), key=lambda r: (r[0], r[2]))
-    if not rows:
-        return fit([], np.zeros(1))
-    return fit([r[1] for r in rows], np.array([r[2] for r in rows]))
+    rows = sorted(((r.doc_id, r.text.encode(), r.label) for r in rows), key=lambda r: (r[0], r[2], r[1]))
+    model = fit([r[1] for r in rows], np.array([r[2] for r in rows])) if rows else fit([], np.zeros(1))
+    del rows
+    trim()
+    return model
 
 
 def _marginals(model: Model, data, bounds, lo, hi):

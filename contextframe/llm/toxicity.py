@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences and only the bag is labelled.  A sentence's
-score is logistic in its words; a document is toxic unless all of its sentences
-are clean (noisy-or), and the likelihood of the documents' labels trains the
-sentence scores, which then tell where a toxic document offends.
+score is logistic in the weight of its strongest word, so that weak words do not
+add up; a document is toxic unless all of its sentences are clean (noisy-or),
+and the likelihood of the documents' labels trains the weights, which then tell
+where a toxic document offends.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import tokens as tk
-from .common import checkpoint, text_or_empty, tidy
+from .common import checkpoint, text_or_empty, tidy, trim
 
 #: Bytes that part words: all ASCII but letters, digits and the apostrophe.
 APART = np.array([b < 128 and not (chr(b).isalnum() or b == 39) for b in range(256)])
@@ -64,7 +65,7 @@ def _word_scores(h, model):
 
 
 def _sentence_scores(h, sentence, model):
-    """A sentence scores as its strongest word, so that weak words do not add up."""
+    """The log-odds of each sentence: the bias and its strongest word's weight."""
     if not len(h):
         return np.zeros(0)
     return model.bias + np.maximum.reduceat(_word_scores(h, model), np.flatnonzero(np.diff(sentence, prepend=-1)))
@@ -181,7 +182,10 @@ def train(labelled: DataFrame, max_docs: int = 8000, max_words: int = 4096, min_
         rows = sorted((tuple(map(lambda v: bytes(v) if isinstance(v, bytearray) else v, r)) for r in some.mapInArrow(_gather(shared), "label int, sentences long, features binary, places binary").collect()))
     else:
         rows = [(r.label, 1, b"", b"") for r in some.select("label").collect()]
-    return fit(rows, words, own)
+    model = fit(rows, words, own)
+    del rows
+    trim()
+    return model
 
 
 def _score(model):
@@ -245,13 +249,21 @@ def held_out_part(parts: int, column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
-def learn(docs: DataFrame, labels: DataFrame, column: str, max_docs: int = 8000) -> DataFrame:
-    """Labelled training rows: those whose crc32(doc_id) mod 3 is not 1."""
-    some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("label")).where("label is not null and doc_id is not null").where(held_out_part(3) != 1)
-    some = some.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+def learn(docs: DataFrame, labels: DataFrame, column: str, max_docs: int = 8000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Labelled training rows, doc_id, text, label: those whose crc32(doc_id) mod 3 is not 1.
+
+    Bounded to ``max_docs`` documents and ``max_bytes`` of text in all, in the
+    order of a hash of doc_id; the first one comes whatever its size.  Of a
+    doc_id's labels the smallest counts, of its texts the smallest, so reruns
+    learn from the same rows.
+    """
+    some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where("label is not null and doc_id is not null").where(held_out_part(3) != 1)
+    some = some.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     some = checkpoint(some)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return ids.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])  # max_docs rows at most
+    rows = ids.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # max_docs rows at most
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("upto", upto).where((F.col("upto") <= max_bytes) | (F.col("upto") == F.octet_length("text"))).select("doc_id", "text", "label")
 
 
 def _below(shared, threshold, at):
