@@ -26,6 +26,7 @@ from .graph import components
 SIG_BITS = 6
 SIG_PER_LONG = 10
 BROADCAST_PAIRS = 500_000  # of two longs each
+BROADCAST_IDS = 3_000_000  # of a long each
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -169,10 +170,11 @@ class _Work:
         keyed = self.classes.select("cid", F.explode(pairs_of_keys).alias("key"))
         lead = keyed.groupBy("key").agg(F.min("cid").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1")
         self.member = stored(keyed.join(lead, "key"))
-        busy = self.member.select("cid").distinct()
-        self.light = stored(self.classes.join(busy, "cid", "left_semi").select("cid", "set_a", "set_b", "rep", "n_shingles", "sig"))
-        reps = self.light.select("rep", "set_a", "set_b")
-        texts = source.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        busy = stored(self.member.select("cid").distinct())
+        few = busy.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        side = F.broadcast if few else lambda ids: ids  # else texts and classes are shuffled by id
+        self.light = stored(self.classes.join(side(busy), "cid", "left_semi").select("cid", "set_a", "set_b", "rep", "n_shingles", "sig"))
+        texts = source.join(side(self.light.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
         sets = texts.mapInArrow(_sets(self.width), "rep long, set_a long, set_b long, shingles array<long>")
         key = ["set_a", "set_b", "rep"]
         found = sets.join(self.light.select(*key, "cid", "n_shingles"), key).groupBy(*key, "cid").agg(F.first("n_shingles").alias("n"), F.first("shingles").alias("shingles"))
