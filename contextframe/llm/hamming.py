@@ -1,7 +1,8 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code's bits are dealt to segments of about log2(number of codes) bits such
-that each holds as much information; every segment is an index.  Radii grow one
+A code's bits are dealt to segments of whole bytes, log2(number of codes) bits or
+a little more, such that each holds as much information; every segment is an
+index.  Radii grow one
 segment at a time: once all segments have been searched out to radius r - 1 and
 the first a of them out to r, no code within distance segments * r + a - 1 is
 missing.  A query ends when that covers its k-th best verified distance, and
@@ -84,7 +85,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     many, ones = entries.agg(F.count(F.lit(1)), F.array(*one)).first()
     if not many:
         return codes.sparkSession.createDataFrame([], "query_id long, rank int, id long, distance int")
-    width = min(WIDEST, bits, max(4, math.ceil(math.log2(many + 1))))
+    width = min(WIDEST, bits, 8 * max(1, math.ceil(math.log2(many + 1) / 8)))
     segments = max(1, round(bits / width))
     dealt = _deal([n / many for n in ones], segments)
     width = max(map(len, dealt))
