@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _forest(batches):
@@ -42,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     links = edges.where("src is not null and dst is not null and src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
     links = links.mapInArrow(_forest, "src long, dst long")
     both = stored(links.union(links.select("dst", "src")).distinct())
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label")).select("node", F.least("node", "label").alias("label"))
+    labels, old = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label")).select("node", F.least("node", "label").alias("label")), None
     moved = True
     while moved:
         near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("label").alias("near"))
@@ -53,4 +53,8 @@ def components(edges: DataFrame) -> DataFrame:
         step = step.join(jump, "low", "left").select("node", new.alias("label"), (new < F.col("label")).alias("moved"))
         labels = stored(step.observe(told, F.count_if("moved").alias("moved")).select("node", "label"))
         moved = told.get.get("moved", 0) > 0
+        if old is not None:
+            discard(old)
+        old = labels
+    discard(both)
     return labels

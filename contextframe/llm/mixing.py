@@ -15,7 +15,7 @@ import math
 
 from pyspark.sql import DataFrame, Observation, Window, functions as F
 
-from .common import fresh, stored, text_or_empty
+from .common import discard, fresh, stored, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -89,8 +89,9 @@ def _multipliers(hist: DataFrame, state: DataFrame, cap: float, steps: int) -> D
         step = state.join(sums, "key", "left").withColumns({"low": F.when(F.col("moves"), low).otherwise(F.col("low")), "high": F.when(F.col("moves"), high).otherwise(F.col("high"))})
         step = step.withColumn("moves", F.col("moves") & (F.abs(F.col("tokens") - F.col("goal")) > 1e-7 * F.col("goal")))
         step = step.withColumn("at", F.when(F.col("moves"), F.when((newton > F.col("low")) & (newton < F.col("high")), newton).otherwise(half)).otherwise(F.col("at")))
-        told = Observation()
+        told, old = Observation(), state
         state = stored(step.drop("tokens", "slope").observe(told, F.count_if("moves").alias("moving")))
+        discard(old)
         if not told.get.get("moving", 0):
             break
     return state.drop("low", "high", "moves")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import stored, text_or_empty, tidy
+from .common import discard, stored, text_or_empty, tidy
 from .graph import components
 
 SIG_BITS = 6
@@ -179,6 +179,7 @@ class _Work:
         key = ["set_a", "set_b", "rep"]
         found = sets.join(self.light.select(*key, "cid", "n_shingles"), key).groupBy(*key, "cid").agg(F.first("n_shingles").alias("n"), F.first("shingles").alias("shingles"))
         self.sets = stored(found.select("cid", "n", "shingles"))
+        discard(busy)
 
     def stars(self) -> DataFrame:
         """src, dst: each bucket's first class with its others, where sizes and signatures allow a link."""
@@ -242,7 +243,9 @@ class _Work:
             rows = pairs.join(one, "src")
         both = F.size(F.array_intersect("set_src", "set_dst")).cast("long")
         rows = rows.join(two, "dst").select("src", "dst", both.alias("both"), (F.col("n_src") + F.col("n_dst")).alias("total"))
-        return rows.where(F.col("both") * (100 + self.percent) >= F.col("total") * self.percent).select("src", "dst")
+        found = stored(rows.where(F.col("both") * (100 + self.percent) >= F.col("total") * self.percent).select("src", "dst"))
+        discard(pairs)
+        return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 10, rows: int = 2) -> DataFrame:
@@ -265,11 +268,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
     """
     work = _Work(width, threshold, bands, rows)
     work.load(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
-    links = stored(work.confirmed(work.stars()))
+    links = work.confirmed(work.stars())
     labels = components(links)
-    more = stored(work.confirmed(work.by_prefix(work.left_apart(labels))))
+    apart = work.left_apart(labels)
+    discard(work.member)
+    more = work.confirmed(work.by_prefix(apart))
     if not more.isEmpty():
         labels = components(links.union(more))
+    discard(work.sets, work.light, apart, links, more)
     of_class = work.classes.select("cid", "set_a", "set_b", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     of_class = of_class.withColumn("label", F.coalesce("label", "cid"))
     least = of_class.groupBy("label").agg(F.min("rep").alias("least"))
