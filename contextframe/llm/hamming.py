@@ -12,9 +12,8 @@ codes beyond that distance are dropped where they are found.
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from .common import stored
@@ -54,8 +53,13 @@ def _segments(code: str, dealt: list[list[int]]) -> Column:
     return F.expr("array(" + ", ".join(" | ".join(bit(b, at) for at, b in enumerate(bits)) for bits in dealt) + ")")
 
 
-def _flips(width: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
+def _flipped(rows: DataFrame, width: int, radius: int) -> DataFrame:
+    """q, kth, base -> q, kth, val: all values at this distance from base, one flipped bit after the other from the lowest."""
+    rows = rows.select("q", "kth", F.col("base").alias("val"), F.lit(-1).alias("top"))
+    for left in range(radius, 0, -1):
+        bits = F.explode(F.sequence(F.col("top") + 1, F.lit(width - left))).alias("bit")
+        rows = rows.select("q", "kth", "val", bits).select("q", "kth", F.expr("val ^ shiftleft(1, bit)").alias("val"), F.col("bit").alias("top"))
+    return rows.select("q", "kth", "val")
 
 
 def _apart(segments: int, a: str = "q", b: str = "segs") -> list[Column]:
@@ -92,7 +96,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     index = stored(entries.select(_segments("code", dealt).alias("segs"), F.element_at("ids", 1).alias("first"), F.size("ids").alias("n")))
     asked = queries.select("query_id", _segments("code", dealt).alias("q"))
     pending = stored(asked.select("q").distinct().withColumn("kth", F.lit(FAR)))
-    state = {"left": pending.count()}
+    state = {"left": pending.count(), "least": None}
     found, best, place = [], None, Window.partitionBy("q").orderBy("distance", "first")
     apart = _apart(segments)
     distance = sum(apart[1:], apart[0])
@@ -108,8 +112,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         state_of = pending.join(stats, "q", "left").select("q", F.coalesce("now", F.lit(FAR)).alias("kth"), F.coalesce("held", F.lit(0)).alias("held"))
         open_ = (F.col("kth") > covered) & (F.col("held") < many)
         told = Observation()
-        pending = stored(state_of.where(open_).select("q", "kth").observe(told, F.count(F.lit(1)).alias("left")))
-        state["left"] = told.get.get("left", 0)
+        pending = stored(state_of.where(open_).select("q", "kth").observe(told, F.count(F.lit(1)).alias("left"), F.min("kth").alias("least")))
+        state.update(left=told.get.get("left", 0), least=told.get.get("least"))
         top = top.select("q", "segs", "first", "n", "distance")
         if state["left"]:
             found.append(top.join(pending, "q", "left_anti").select("q", "segs", "distance"))
@@ -121,18 +125,17 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         """Search these segments at this radius; a code that an earlier step found is not found again."""
         parts = []
         for s in at:
-            flips = _flips(len(dealt[s]), radius)
-            probes = pending.select("q", "kth", F.col("q")[s].alias("base"), F.explode(F.lit(flips)).alias("flip")).select("q", "kth", F.col("base").bitwiseXOR(F.col("flip")).alias("val"))
+            if radius > len(dealt[s]):
+                continue
+            probes = _flipped(pending.select("q", "kth", F.col("q")[s].alias("base")), len(dealt[s]), radius)
             new = [apart[o] > radius for o in range(s)] + [apart[o] >= radius for o in range(s + 1, segments)]
             may = distance <= F.col("kth")
             for c in new:
                 may = may & c
             # a merge join: the probes look few to Spark, as it does not count what explode() makes
             parts.append(probes.hint("merge").join(index, (F.col("val") == F.col("segs")[s]) & may).withColumn("distance", distance))
-        got = parts[0]
-        for p in parts[1:]:
-            got = got.union(p)
-        take(got, segments * radius + at[-1])
+        if parts:
+            take(reduce(DataFrame.union, parts), segments * radius + at[-1])
 
     def scan() -> None:
         """The queries that are left against all codes, block by block."""
@@ -149,7 +152,9 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         if math.comb(width, radius) > many:
             scan()
             break
-        for at in [range(segments)] if radius < 2 else [range(s, s + 1) for s in range(segments)]:
+        # one segment at a time where a query may end on the way, by its k-th distance so far
+        may_end = radius > 1 and (state["least"] or FAR) < segments * (radius + 1)
+        for at in [range(s, s + 1) for s in range(segments)] if may_end else [range(segments)]:
             if state["left"]:
                 probe(radius, at)
     hits = found[0]
