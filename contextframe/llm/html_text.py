@@ -4,7 +4,8 @@ Markup is stripped such that every block element becomes a line.  Lines of
 menus, forms, notices and the like weigh nothing, others as much as they are
 long, and more within an article element.  Sums over sliding windows of lines
 show where the text surges and where it dives; what stands between such points
-is kept, on pages with an article element as on those without.
+is kept.  On pages with an article element, text outside of it counts where its
+sums rise about as high as those within.
 """
 
 from __future__ import annotations
@@ -262,19 +263,23 @@ def main_text(page: str | None) -> str:
     weight = _weights(rows)
     n = len(weight)
     sums = [sum(weight[i : i + WINDOW]) for i in range(n)]  # the line-block distribution
-    # stretches between a surge (the first line that weighs something) and a dive (a whole window that weighs nothing)
+    # stretches between a surge (the first line that weighs something) and a dive (a whole window that weighs nothing, or the edge of an article)
     stretches, begin = [], None
     for i in range(n):
-        if begin is None and weight[i]:
-            begin = i
-        if begin is not None and not sums[i]:
+        if begin is not None and (not sums[i] or rows[i][2] != rows[begin][2]):
             stretches.append((begin, i))
             begin = None
+        if begin is None and weight[i]:
+            begin = i
     if begin is not None:
         last = max(i for i in range(n) if weight[i])
         stretches.append((begin, last + 1))
+    # beside an article, a stretch outside counts if it surges as an article does: to half the middle one of its window sums
+    inner = sorted(s for s, row in zip(sums, rows, strict=True) if row[2] and s)
+    least = inner[len(inner) // 2] / ARTICLE / 2 if inner else 0
+    kept = [(a, b) for a, b in stretches if rows[a][2] or max(sum(weight[i : min(i + WINDOW, b)]) for i in range(a, b)) >= least]
     # within a stretch, lines that weigh nothing are kept too, unless they are apart
-    return "\n".join(rows[i][0] for a, b in stretches for i in range(a, b) if not rows[i][1])
+    return "\n".join(rows[i][0] for a, b in kept for i in range(a, b) if not rows[i][1])
 
 
 def surge_points(page: str) -> list[tuple[int, int]]:
