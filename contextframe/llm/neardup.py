@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import discard, stored, text_or_empty, tidy
+from .common import discard, fresh, stored, text_or_empty, tidy
 from .graph import components
 
 SIG_BITS = 6
@@ -294,9 +294,10 @@ def first_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8, broad
     """
     kept = stored(near_duplicates(docs, width, threshold).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")))
     facts = kept.agg(F.count(F.lit(1)).alias("ids"), F.max("times").alias("most")).first()
-    ids = kept.select(F.col("doc_id").alias("kept_id"))
-    out = docs.join(F.broadcast(ids) if facts.ids <= broadcast_ids else ids, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    key = fresh("kept_id", docs.columns)
+    ids = kept.select(F.col("doc_id").alias(key))
+    out = docs.join(F.broadcast(ids) if facts.ids <= broadcast_ids else ids, F.col("doc_id") == F.col(key), "left_semi")
     if (facts.most or 0) > 1:
         row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-        out = out.groupBy(F.col("doc_id").alias("kept_id")).agg(F.min_by(row, F.struct(text_or_empty(), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))).alias("row")).select("row.*")
+        out = out.groupBy(F.col("doc_id").alias(key)).agg(F.min_by(row, F.struct(text_or_empty(), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))).alias("kept_row")).select("kept_row.*")
     return out.union(docs.where("doc_id is null"))

@@ -1,6 +1,7 @@
 """Held-out accuracy of the trained operators, and the pipeline's stages against their operators."""
 
 import os
+import re
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from contextframe.llm import mixing, neardup, quality, substring, toxicity
+from contextframe.llm import tokens as tk
 from contextframe.llm.queries import op5_quality, op10_toxicity
 
 DATA = "/root/testdata/sf0.01"
@@ -75,6 +77,76 @@ def test_marginals_match_enumeration():
     assert np.allclose(got, want) and np.allclose(pairs, expected)
 
 
+def test_toxicity_scores_against_a_plain_version(spark):
+    """Noisy-or over sentences that score as their strongest word, word by word in Python."""
+    words = ["grub", "filthy", "rot"]
+    hashes = tk.words(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, 15]), True)[0]
+    order = np.argsort(hashes)
+    weights = dict(zip(words, (2.0, 3.0, -1.0), strict=True))
+    model = toxicity.Model(hashes[order], np.array([weights[words[k]] for k in order]), -4.0)
+    texts = ["You filthy grub! Go. Rot", "all is well", "", None, "grub\ngrub. FILTHY; rot rot?", "rot"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(docs, model).collect():
+        clean = 1.0
+        for sentence in re.split(r"[\n\r!.;?]", (texts[r.doc_id] or "").lower()):
+            if found := re.findall(r"[a-z0-9']+", sentence):
+                clean *= 1 - 1 / (1 + np.exp(4.0 - max(max(weights.get(w, 0.0), 0.0) for w in found)))
+        assert r.score == pytest.approx(1 - clean)
+
+
+def test_line_features_against_a_plain_version():
+    """The features of a line by themselves, from strings."""
+    texts = ["Buy NOW!! ok\n\nBuy NOW!! ok\n 12 a a |x| ...", "", "One line.", "é à\t~~ b"]
+    raw = [t.encode() for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    x, owner, size = quality.line_features(np.frombuffer(b"".join(raw), np.uint8), bounds, 0, len(raw))
+    k = 0
+    for doc, text in enumerate(texts):
+        lines = [w for w in (line.encode().split() for line in text.split("\n")) if w]
+        for n, words in enumerate(lines):
+            line = next(x for x in [l.encode().strip(b" \t") for l in text.split("\n")] if x.split() == words)
+            count = lambda f, part=line: sum(bool(f(bytes([b]))) for b in part)
+            mark = lambda b: 32 < b[0] < 127 and not b.isalnum() and b not in b",.;:'\"()-"
+            upper, lower, high = count(bytes.isupper), count(bytes.islower), count(lambda b: b[0] > 127)
+            some = len(words)
+            want = [
+                np.log1p(len(line)), np.log1p(some), len(line) / some / 10, upper / (upper + lower + high + 1), high / (upper + lower + high + 1), count(bytes.isdigit) / len(line),
+                (count(mark) / len(line)) ** 0.5, (line.count(b"!") / len(line)) ** 0.5, (count(lambda b: b in b"|<>{}=\\/_") / len(line)) ** 0.5, count(lambda b: b in b".?!;:,") / some,
+                sum(any(mark(bytes([b])) for b in w) for w in words) / some, sum(len(w) <= 2 for w in words) / some, (some - len(set(words))) / some, float(words in lines[:n]), float(line[-1:] in b".!?"), float(count(mark) > 0.2 * some),
+            ]
+            assert owner[k] == doc and size[k] == len(line) and x[k, : quality.OWN] == pytest.approx(want)
+            if n:
+                assert (x[k, quality.OWN : 2 * quality.OWN] == x[k - 1, : quality.OWN]).all()
+            k += 1
+    assert k == len(x)
+
+
+def test_learning_is_bounded_and_repeatable(spark):
+    rows = [(i, f"text {i} {'x' * 100}") for i in range(200)] + [(8, "another text"), (6, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(8, 0), (7, None)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = lambda d, **more: sorted(map(tuple, toxicity.learn(d, labels, "quality", **more).collect()))
+    got = learn(docs)
+    assert got == learn(docs.repartition(7)) and len(got) == len({r[0] for r in got}) and (8, "another text", 0) in got
+    few = learn(docs, max_bytes=1000)
+    assert 0 < len(few) < 20 and set(few) < set(got) and len(learn(docs, max_docs=9)) == 9 and len(learn(docs, max_bytes=1)) == 1
+
+
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """Nulls everywhere, repeated rows, columns whose names clash with those of the operators; and no rows at all."""
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    more = ["label", "score", "hits", "row", "cid", "key", "taken_id", "taken_copies", "mix_id", "strip_id", "size", "part", "kept_id"]
+    wide = base.select("*", *(F.lit(k).alias(c) for k, c in enumerate(more)))
+    null = wide.limit(1).select(*(F.lit(None).cast(t).alias(c) for c, t in wide.dtypes))
+    for name, docs in (("some", wide.union(wide.limit(3)).union(null).union(null)), ("none", wide.limit(0))):
+        for stage, run in corpus_pipeline.STAGES:
+            out = run(spark, docs, "/root/testdata/sf0.001")
+            assert stage == "packing" or out.dtypes == wide.dtypes
+            out.write.parquet(f"{tmp_path}/{name}/{stage}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}/{stage}")
+        assert docs.isEmpty() == (name == "none")
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     seen = [docs]

@@ -1,10 +1,12 @@
 """The operators against brute force on small tables with awkward rows."""
 
+import os
 import random
 import time
 import zlib
 from collections import Counter
 from hashlib import sha256
+from html.parser import HTMLParser
 from math import exp, log10
 
 import numpy as np
@@ -475,6 +477,52 @@ def test_markup_without_ends_takes_linear_time(page):
     assert time.process_time() - began < 2
 
 
+class PlainArticle(HTMLParser):
+    """The blocks of the article element, by the standard library's parser and no weights."""
+
+    BLOCK = frozenset("p div article section h1 h2 h3 h4 h5 h6 ul ol li table tr td th blockquote pre dl dt dd figure hr header footer nav aside form".split())
+    APART = frozenset("nav footer aside form script style noscript template button select".split())
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.depth = self.apart = 0
+        self.blocks = [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCK:
+            self.blocks.append("")
+        self.depth += tag == "article"
+        self.apart += self.depth > 0 and tag in self.APART
+        if tag == "br":
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCK:
+            self.blocks.append("")
+        self.apart -= self.depth > 0 and tag in self.APART
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth and not self.apart:
+            self.blocks[-1] += data
+
+    def text(self):
+        return "\n".join(b for b in (" ".join(x.split()) for x in self.blocks) if b)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_pages_against_a_plain_reading(spark):
+    """With the article element and class names, without either, the text is the article's."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    want = {r.page_id: PlainArticle(r.html).text() for r in pages.collect()}
+    views = {1.0: F.col("html"), 0.999: F.regexp_replace("html", "</?article[^>]*>", ""), 0.95: F.regexp_replace("html", r'\s(class|id|role)="[^"]*"', "")}
+    for share, html in views.items():
+        got = html_text.extract(pages.withColumn("html", html)).collect()
+        assert sum(r.text == want[r.page_id] for r in got) >= share * len(want)
+
+
 def test_class_names_say_little():
     law = '<article><h1>Law</h1><section class="legal-analysis"><p>body text of it</p></section><p class="comment-free">more</p><div class="ad-box left">buy</div><p>end</p></article>'
     assert html_text.main_text(law) == "Law\nbody text of it\nmore\nend"
