@@ -1,5 +1,7 @@
 import json
 import os
+import random
+from dataclasses import replace
 from hashlib import sha256
 from pathlib import Path
 
@@ -19,12 +21,12 @@ from contextframe import (
     Unsupported,
     process_content,
 )
-from contextframe.sources.local_files import list_files
+from contextframe import workflow
+from contextframe.operators.contentmap import StubProvider
+from contextframe.operators.inventory import order_violations
+from contextframe.sources.local_files import _Reader, list_files
 from contextframe.workflow import discover
 
-
-
-
 def put(root: Path, name: str, text: str) -> Path:
     path = root / name
     path.parent.mkdir(parents=True, exist_ok=True)
@@ -219,3 +221,86 @@ def test_prior_manifest_absent_or_artifact_missing(spark, tmp_path):
     Path(result.manifest_path).unlink()
     with pytest.raises(InvalidCache):
         process_content(spark, ContentSource.local_path(root), options).wait_output(60)
+
+
+def test_many_waves(spark, tmp_path, monkeypatch):
+    """Items in several waves give the manifest, order and events of one."""
+    root = tmp_path / "source"
+    names = [f"{'abc'[k % 3]}/{'xy' if k % 2 else 'z'}/f{k:03}.txt" for k in range(60)] + ["ä.txt", "z"]
+    for name in names:
+        put(root, name, name)
+    whole = fetched(spark, root, tmp_path / "one", copy=True).wait_output(120)
+    monkeypatch.setattr(workflow, "WAVE_ITEMS", 7)
+    handle = fetched(spark, root, tmp_path / "two", copy=True)
+    parts = handle.wait_output(120)
+    want = sorted(names, key=str.encode)
+    assert [i.source for i in parts.completed_items] == want == [i.source for i in whole.completed_items]
+    assert [e.source for e in handle.query().snapshot().completed] == want
+    one, two = (Path(o.manifest_path).read_text() for o in (whole, parts))
+    assert two == one.replace(str(tmp_path / "one"), str(tmp_path / "two"))
+    assert one == json.dumps(json.loads(one), indent=2, ensure_ascii=False) + "\n"
+    again = fetched(spark, root, tmp_path / "two", copy=True, resume=True).wait_output(120)
+    assert len(again.skipped_items) == len(names) and sorted(p.name for p in (tmp_path / "two/.ctx").iterdir()) == ["fetch", "manifest.json"]
+
+
+def test_empty_folder(spark, tmp_path):
+    (tmp_path / "source").mkdir()
+    out = fetched(spark, tmp_path / "source", tmp_path / "out", copy=True).wait_output(120)
+    assert not out.completed_items and json.loads(Path(out.manifest_path).read_text())["items"] == []
+    assert not fetched(spark, tmp_path / "source", tmp_path / "out", copy=True, resume=True).wait_output(120).failures
+
+
+def test_deep_folders_are_dealt_out(spark, tmp_path):
+    for k in range(40):
+        put(tmp_path, f"one/only/way/d{k}/e/f{k}.txt", "x")
+    reader = _Reader(str(tmp_path), [], [])
+    parts = reader.partitions()
+    assert len(parts) > 40 and sum(1 for p in parts for _ in reader.read(p)) == 40
+    assert len(_Reader(str(tmp_path), ["one/only/way/d7/**"], []).partitions()) < 10
+
+
+def test_later_stages_with_a_provider(spark, tmp_path):
+    root, out = tmp_path / "source", tmp_path / "out"
+    put(root, "a/page.html", "<html><head><title>t</title><script>x</script></head><body><nav>menu</nav><h1>Title</h1><p>Some  <b>text</b></p></body></html>")
+    put(root, "a/note.txt", "a note\n")
+    put(root, "lib.rs", "pub struct Thing;\npub fn run() {}\n")
+    put(root, "image.png", "png")
+    (root / "bad.txt").write_bytes(b"\xff")
+    options = ProcessContentOptions(out, fetch=FetchOptions(), sanitize=SanitizeOptions(True, True), ai_augment=AiAugmentOptions("p", "m"), content_map=ContentMapOptions("p", "m"))
+    handle = process_content(spark, ContentSource.local_path(root), options, StubProvider())
+    result = handle.wait_output(120)
+    of = lambda items, stage: {i.source: i.output_path for i in items if i.stage == stage}
+    clean = of(result.completed_items, ProcessStage.SANITIZE)
+    assert Path(clean["a/page.html"]).read_text() == "# Title\n\nSome **text**" and Path(clean["a/note.txt"]).read_text() == "a note\n"
+    assert set(of(result.skipped_items, ProcessStage.SANITIZE)) == {"bad.txt", "image.png"}
+    augmented = of(result.completed_items, ProcessStage.AI_AUGMENT)
+    assert Path(augmented["a/note.txt"]).read_text() == "file: a/note.txt\n\na note\n" and set(augmented) == set(clean)
+    assert result.content_root == str(out / ".ctx/augment") and (root / "a/note.txt").read_text() == "a note\n"
+    record = json.loads(Path(result.content_map_path).read_text())
+    assert set(record["file_map"]) == {"a/note.txt", "a/page.html", "lib.rs"} and set(record["folder_map"]) == {"", "a"}
+    assert record["file_map"]["lib.rs"]["public_types"] == ["Thing"] and record["file_map"]["lib.rs"]["public_functions"] == ["run"]
+    assert record["folder_map"]["a"]["summary"] == "2 files"
+    stages = [e.stage for e in handle.query().snapshot().progress_history if e.kind == "StageStarted"]
+    assert stages == ["fetch", "sanitize", "ai_augment", "ai_content_map"]
+    journal = out / ".ctx/content-map.jsonl"
+    assert len(journal.read_text().splitlines()) == 3
+    put(root, "a/note.txt", "another note\n")
+    result = process_content(spark, ContentSource.local_path(root), options, StubProvider()).wait_output(120)
+    assert set(of(result.skipped_items, ProcessStage.AI_CONTENT_MAP)) == {"a/page.html", "lib.rs"}
+    fresh = replace(options, content_map=ContentMapOptions("p", "m", reuse_unchanged_records=False, retain_journal=False))
+    result = process_content(spark, ContentSource.local_path(root), fresh, StubProvider()).wait_output(120)
+    assert len(of(result.completed_items, ProcessStage.AI_CONTENT_MAP)) == 3 and not journal.exists()
+
+
+def test_order_over_ranges(spark):
+    """A group over many ranges is compared across their edges too."""
+    rng = random.Random(1)
+    rows = [("a" if k < 900 else "b", k, rng.randrange(4) + k * (k % 5 > 0)) for k in range(1000)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = order_violations(spark.createDataFrame(rows, "g string, pos long, v long").repartition(9), ["g"], "pos", "v").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = {g: sum(x[0] == y[0] == g and x[2] >= y[2] for x, y in zip(rows, rows[1:])) for g in "ab"}
+    assert {r.g: (r.violations, r.n_items) for r in got} == {"a": (want["a"], 900), "b": (want["b"], 100)}
