@@ -1,15 +1,21 @@
-"""Language-model scores of an interpolated modified Kneser-Ney model of word pairs.
-
-Counting: each task counts its own pairs and deals them, by ranges of the pair's
-hash, to shards that add the counts up, write a sorted array of hashes with
-their counts into the shared folder, and pass on what they know of each word:
-how often it is a context, of how many pairs seen once, twice and more often,
-and how many words precede it.  A second exchange adds that up by word and
-writes the same kind of array.  Scoring maps the arrays into memory.
+"""Language-model scores of an interpolated modified Kneser-Ney model of three words.
+
+Counting goes in passes, each over the triples whose middle word's hash lies in
+one range, so that no more than a share of them is on its way at a time.  Tasks
+count their own triples and deal them, by ranges of the triple's hash, to shards
+that add the counts up, write them, and pass on what they know of the pairs
+(first, middle) as contexts and (middle, last) as words after one; a second
+exchange adds that up and writes it, and a last one does the same by word.  No
+exchange is keyed by a word or a pair, so common ones burden no task.
+
+Files are sorted arrays of hashes in the shared folder: 32 bits and 16 bits of a
+hash's place in the file's range, a byte for each count, and a list of the
+larger counts.  Workers map them into memory.
 """
 
 from __future__ import annotations
 
+import gc
 import mmap
 import os
 import tempfile
@@ -22,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import checkpoint_dir, text_or_empty, tidy
+from .common import checkpoint_dir, discard, stored, text_or_empty, tidy
 
 START, END = np.uint64(0x5F3759DF5F3759DF), np.uint64(0xC0FFEE00C0FFEE01)
-FLUSH = 2 << 20
+FLUSH = 1 << 20
 SHARD_BYTES = 24 << 20
-SCORE_CHUNK = 8 << 20
+SCORE_CHUNK = 4 << 20
 MOST_MAPPED = 16_384  # files that a worker keeps mapped
+LARGE = 255
+PACKED = pa.Codec("zstd", compression_level=1)
 
 
 # ---- files in the folder that all executors share
@@ -69,104 +77,185 @@ def _mapped(handle) -> np.ndarray:
     return np.frombuffer(whole, np.uint8)
 
 
-def _map(folder: str, name: str, fields: list[tuple[str, str]]) -> dict[str, np.ndarray]:
-    """Columns of one file, mapped into memory; from a remote store through a copy without a name."""
+def _read(folder: str, name: str) -> np.ndarray | None:
+    """One file's bytes, mapped into memory; from a remote store through a copy without a name."""
     if (path := _local(folder)) is not None:
         if not os.path.exists(f"{path}/{name}"):
-            return {f: np.zeros(0, t) for f, t in fields}
+            return None
         with open(f"{path}/{name}", "rb") as have:
-            whole = _mapped(have)
-    else:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(folder)
-        if store.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
-            return {f: np.zeros(0, t) for f, t in fields}
-        with tempfile.TemporaryFile() as copy, store.open_input_stream(f"{path}/{name}") as have:
-            while chunk := have.read(8 << 20):
-                copy.write(chunk)
-            copy.flush()
-            whole = _mapped(copy)
-    n = len(whole) // sum(np.dtype(t).itemsize for _, t in fields)
-    out, at = {}, 0
-    for f, t in fields:
-        step = n * np.dtype(t).itemsize
-        out[f] = whole[at : at + step].view(t)
-        at += step
-    return out
-
+            return _mapped(have)
+    from pyarrow import fs
 
-PAIR = [("key", "<u8"), ("count", "<u4")]
-MANY = [("key", "<u8"), ("count", "<u8")]  # pairs whose count is FULL or more, which a PAIR cannot say
-FULL = (1 << 32) - 1
-WORD = [("key", "<u8"), ("count", "<u8"), ("once", "<u8"), ("twice", "<u8"), ("more", "<u8"), ("before", "<u8")]
+    store, path = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+        return None
+    with tempfile.TemporaryFile() as copy, store.open_input_stream(f"{path}/{name}") as have:
+        while chunk := have.read(8 << 20):
+            copy.write(chunk)
+        copy.flush()
+        return _mapped(copy)
 
 
-def _pack(columns) -> bytes:
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+def _cut(k: int, parts: int) -> int:
+    return (k << 64) // parts
 
 
 def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
     """Bounds of ``parts`` equal ranges of hashes within sorted keys."""
-    cuts = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    cuts = np.array([_cut(k, parts) for k in range(1, parts)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]])
 
 
+def _place(keys: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading 48 bits of where hashes stand in range ``part`` of ``parts``, as 32 and 16 bits; in the hashes' order."""
+    low, wide = _cut(part, parts), _cut(part + 1, parts) - _cut(part, parts)
+    place = (keys - np.uint64(low)) >> np.uint64(max((wide - 1).bit_length() - 48, 0))
+    return (place >> np.uint64(16)).astype(np.uint32), (place & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def _file(keys: np.ndarray, values: list[np.ndarray], part: int, parts: int) -> bytes:
+    """Sorted hashes of one range with their counts."""
+    high, low = _place(keys, part, parts)
+    values = np.stack(values, 1)
+    over = np.flatnonzero((values >= LARGE).any(1))
+    small = np.minimum(values, LARGE).astype(np.uint8)
+    small[over, 0] = LARGE
+    head = np.array([len(keys), len(over)], np.int64)
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in (head, values[over].astype(np.int64), over.astype(np.int64), high, low, small))
+
+
+class _Sorted:
+    """One file, mapped: values of hashes."""
+
+    def __init__(self, raw: np.ndarray | None, width: int, part: int, parts: int):
+        self.n, self.width, self.part, self.parts = 0, width, part, parts
+        if raw is None or not len(raw):
+            return
+        self.n, m = (int(x) for x in raw[:16].view(np.int64))
+        at = 16
+
+        def take(count, kind):
+            nonlocal at
+            size = count * np.dtype(kind).itemsize
+            out = raw[at : at + size].view(kind)
+            at += size
+            return out
+
+        self.large, self.over = take(m * width, np.int64).reshape(m, width), take(m, np.int64)
+        self.high, self.low, self.small = take(self.n, np.uint32), take(self.n, np.uint16), take(self.n * width, np.uint8).reshape(self.n, width)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """A row of values for each key, zeros where there is none."""
+        out = np.zeros((len(keys), self.width), np.int64)
+        if not self.n:
+            return out
+        high, low = _place(keys, self.part, self.parts)
+        at, open_ = np.searchsorted(self.high, high), np.arange(len(keys))
+        while len(open_):
+            open_ = open_[at[open_] < self.n]
+            open_ = open_[self.high[at[open_]] == high[open_]]
+            hit = self.low[at[open_]] == low[open_]
+            found = open_[hit]
+            rows = self.small[at[found]].astype(np.int64)
+            large = rows[:, 0] == LARGE
+            if large.any():
+                rows[large] = self.large[np.searchsorted(self.over, at[found[large]])]
+            out[found] = rows
+            open_ = open_[~hit]
+            at[open_] += 1
+        return out
+
+
 def _pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return tk.mix(tk.mix(v) * np.uint64(3) + w)
 
 
-def _sequence(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of all rows with START before and END after each row's; where each row begins."""
+def _triple_hash(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return tk.mix(_pair_hash(u, v) * np.uint64(5) + w)
+
+
+def _pass_of(v: np.ndarray, passes: int) -> np.ndarray:
+    """Which pass counts the triples around a word."""
+    return ((tk.mix(v ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)) * np.uint64(passes)) >> np.uint64(32)
+
+
+def _sequence(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, middle, last) word of every triple: rows have two STARTs before their words and END after them."""
     rows = len(first) - 1
-    out = np.full(len(h) + 2 * rows, START, np.uint64)
+    out = np.full(len(h) + 3 * rows, START, np.uint64)
     row = np.repeat(np.arange(rows), np.diff(first))
-    out[np.arange(len(h)) + 2 * row + 1] = h
-    begin = first[:-1] + 2 * np.arange(rows)
-    out[first[1:] + 2 * np.arange(rows) + 1] = END
-    return out, begin
+    out[np.arange(len(h)) + 3 * row + 2] = h
+    out[first[1:] + 3 * np.arange(rows) + 2] = END
+    last = np.ones(len(out), bool)
+    begin = first[:-1] + 3 * np.arange(rows)
+    last[begin] = last[begin + 1] = False
+    at = np.flatnonzero(last)
+    return out[at - 2], out[at - 1], out[at]
 
 
 # ---- counting
 
-COUNTS = "shard int, blob binary"
+BLOB = "part int, blob binary"
+
+
+def _squeeze(*columns: np.ndarray) -> bytes:
+    raw = b"".join([np.array([len(c) for c in columns], np.int64).tobytes(), *(np.ascontiguousarray(c).tobytes() for c in columns)])
+    return len(raw).to_bytes(8, "little") + PACKED.compress(raw, asbytes=True)
+
+
+def _expand(blobs, *kinds) -> list[np.ndarray]:
+    """The columns of all blobs, end to end."""
+    out = [[] for _ in kinds]
+    for blob in blobs:
+        blob = blob.as_py()
+        raw = PACKED.decompress(blob[8:], int.from_bytes(blob[:8], "little"))
+        at = 8 * len(kinds)
+        for o, n, kind in zip(out, np.frombuffer(raw, np.int64, len(kinds)), kinds, strict=True):
+            o.append(np.frombuffer(raw, kind, n, at))
+            at += int(n) * np.dtype(kind).itemsize
+    return [np.concatenate(o) if o else np.zeros(0, k) for o, k in zip(out, kinds, strict=True)]
+
 
+def _blobs(parts, blobs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
-def _group_sum(keys, *values):
-    """Sorted distinct keys with the sums of each value."""
-    if not len(keys):
-        return (keys, *values)
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys, and where in it each distinct key begins."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return (keys[at], *(np.add.reduceat(v[order], at) for v in values))
+    return order, np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
-def _count_pairs(shards: int):
-    """doc_id, text -> blobs of pairs: contexts with their number of words, then words with their counts."""
+def _sums(order, at, *values) -> list[np.ndarray]:
+    return [np.add.reduceat(v[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64) for v in values]
 
-    def flush(parts):
-        v, w = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        key = _pair_hash(v, w)
-        order = np.argsort(key)
-        key = key[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+
+def _spectrum(count: np.ndarray) -> list[np.ndarray]:
+    """Whether counts are 1, 2, and more."""
+    return [count == 1, count == 2, count > 2]
+
+
+def _count_triples(turn: int, passes: int, shards: int):
+    """doc_id, text -> blobs of this pass's triples with their counts, by shard."""
+
+    def flush(held):
+        u, v, w = (np.concatenate(c) for c in zip(*held, strict=True))
+        key = _triple_hash(u, v, w)
+        order, at = _groups(key)
         count = np.diff(np.append(at, len(key)))
-        key, pick = key[at], order[at]
-        v, w = v[pick], w[pick]
+        pick = order[at]
+        key, u, v, w = key[pick], u[pick], v[pick], w[pick]
         cut = _ranges(key, shards)
-        ids, blobs = [], []
+        parts, blobs = [], []
         for s in range(shards):
-            a, b = cut[s], cut[s + 1]
-            if a == b:
+            if cut[s] == cut[s + 1]:
                 continue
-            by = np.argsort(v[a:b], kind="stable")
-            sv = v[a:b][by]
-            new = np.flatnonzero(np.concatenate([[True], sv[1:] != sv[:-1]]))
-            head = np.array([len(new), b - a], np.int64)
-            ids.append(s)
-            blobs.append(_pack([head, sv[new], np.diff(np.append(new, b - a)).astype(np.uint32), w[a:b][by], count[a:b][by].astype(np.uint32)]))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+            r = slice(cut[s], cut[s + 1])
+            by = np.lexsort((u[r], v[r]))  # equal words side by side are smaller
+            parts.append(s)
+            blobs.append(_squeeze(u[r][by], v[r][by], w[r][by], count[r][by].astype(np.uint32)))
+        return _blobs(parts, blobs)
 
     @tidy
     def run(batches):
@@ -175,58 +264,74 @@ def _count_pairs(shards: int):
             data, bounds = tk.utf8(batch.column(1))
             for lo, hi in tk.blocks(bounds):
                 h, first, _, _ = tk.words_block(data, bounds, lo, hi, lower=True)
-                seq, begin = _sequence(h, first)
-                keep = np.ones(len(seq), bool)
-                keep[first[1:] + 2 * np.arange(hi - lo) + 1] = False  # END is no context
-                at = np.flatnonzero(keep)
-                held.append((seq[at], seq[at + 1]))
-                n += len(at)
+                triples = _sequence(h, first)
+                mine = np.flatnonzero(_pass_of(triples[1], passes) == turn)
+                held.append(tuple(c[mine] for c in triples))
+                n += len(mine)
                 if n >= FLUSH:
                     yield flush(held)
                     held, n = [], 0
-        if held:
+        if n:
             yield flush(held)
 
     return run
 
 
-def _unpack_pairs(blob: bytes):
-    contexts, n = np.frombuffer(blob, np.int64, 2)
-    at = 16
-    v = np.frombuffer(blob, np.uint64, contexts, at)
-    at += 8 * contexts
-    each = np.frombuffer(blob, np.uint32, contexts, at)
-    at += 4 * contexts
-    w = np.frombuffer(blob, np.uint64, n, at)
-    return np.repeat(v, each), w, np.frombuffer(blob, np.uint32, n, at + 8 * n).astype(np.int64)
+def _add_triples(folder: str, turn: int, shards: int, parts: int):
+    """The blobs of one shard -> its file; blobs of its contexts and of its pairs, by part; the counts of its counts."""
 
+    def run(table: pa.Table) -> pa.Table:
+        shard = table.column("part")[0].as_py()
+        u, v, w, count = _expand(table.column("blob"), np.uint64, np.uint64, np.uint64, np.uint32)
+        key = _triple_hash(u, v, w)
+        order, at = _groups(key)
+        (count,) = _sums(order, at, count)
+        pick = order[at]
+        u, v, w = u[pick], v[pick], w[pick]
+        _write(folder, f"triples-{turn}-{shard}", _file(key[pick], [count], shard, shards))
+        pieces = []
+        key = _pair_hash(u, v)
+        order, at = _groups(key)
+        pieces.append((key[order[at]], [key[order[at]], *_sums(order, at, count, *_spectrum(count))]))
+        key = _pair_hash(v, w)
+        order, at = _groups(key)
+        pick = order[at]
+        # behind the start of a text, a pair counts as often as it occurs; else, how many words precede it
+        kinds, raw = _sums(order, at, np.ones(len(key), np.int64), count)
+        pieces.append((key[pick], [v[pick], w[pick], np.where(v[pick] == START, raw, kinds), raw]))
+        cuts = [_ranges(k, parts) for k, _ in pieces]
+        out = [(-1, _squeeze(np.array([(count == k).sum() for k in (1, 2, 3, 4)], np.int64)))]
+        out += [(p, _squeeze(*(c[cut[p] : cut[p + 1]] for cut, (_, cols) in zip(cuts, pieces, strict=True) for c in cols))) for p in range(parts)]
+        return pa.Table.from_batches([_blobs(*zip(*out, strict=True))])
+
+    return run
 
-def _add_pairs(folder: str, parts: int):
-    """The blobs of one shard -> its file, and blobs of what it knows of each word."""
+
+def _add_pairs(folder: str, turn: int, parts: int, words: int):
+    """The blobs of one part -> files of its contexts and its pairs; blobs of what it knows of each word; the counts of its counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        v, w, count = (np.concatenate(c) for c in zip(*(_unpack_pairs(b.as_py()) for b in table.column("blob")), strict=True))
+        part = table.column("part")[0].as_py()
+        if part == -1:
+            (counts,) = _expand(table.column("blob"), np.int64)
+            return pa.Table.from_batches([_blobs([-1], [_squeeze(counts.reshape(-1, 4).sum(0))])])
+        ctx, total, once, twice, more, v, w, adjusted, raw = _expand(table.column("blob"), np.uint64, *[np.int64] * 4, np.uint64, np.uint64, np.int64, np.int64)
+        order, at = _groups(ctx)
+        _write(folder, f"contexts-{turn}-{part}", _file(ctx[order[at]], _sums(order, at, total, once, twice, more), part, parts))
         key = _pair_hash(v, w)
-        order = np.argsort(key)
-        key = key[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        count = np.add.reduceat(count[order], at)
+        order, at = _groups(key)
         pick = order[at]
-        key, v, w = key[at], v[pick], w[pick]
-        _write(folder, f"pairs-{shard}", _pack([key, np.minimum(count, FULL).astype(np.uint32)]))
-        if (many := count >= FULL).any():
-            _write(folder, f"many-{shard}", _pack([key[many], count[many].astype(np.uint64)]))
-        contexts = _group_sum(v, count, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64))
-        after = _group_sum(w, np.ones(len(w), np.int64))
-        cuts = _ranges(contexts[0], parts), _ranges(after[0], parts)
-        ids, blobs = [-1], [np.array([(count == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes()]
-        for p in range(parts):
-            a, b = slice(*cuts[0][p : p + 2]), slice(*cuts[1][p : p + 2])
-            ids.append(p)
-            head = np.array([a.stop - a.start, b.stop - b.start], np.int64)
-            blobs.append(_pack([head, contexts[0][a], *(c[a].astype(np.uint64) for c in contexts[1:]), after[0][b], after[1][b].astype(np.uint64)]))
-        return pa.table([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+        adjusted, raw = _sums(order, at, adjusted, raw)
+        v, w = v[pick], w[pick]
+        _write(folder, f"pairs-{turn}-{part}", _file(key[pick], [adjusted], part, parts))
+        order, at = _groups(v)
+        of_v = [v[order[at]], *_sums(order, at, adjusted, *_spectrum(adjusted))]
+        order, at = _groups(w)
+        of_w = [w[order[at]], *_sums(order, at, raw, np.ones(len(w), np.int64))]
+        cuts = _ranges(of_v[0], words), _ranges(of_w[0], words)
+        out = [(-2, _squeeze(np.array([(adjusted == k).sum() for k in (1, 2, 3, 4)], np.int64)))]
+        out += [(p, _squeeze(*(c[cut[p] : cut[p + 1]] for cut, cols in zip(cuts, (of_v, of_w), strict=True) for c in cols))) for p in range(words)]
+        return pa.Table.from_batches([_blobs(*zip(*out, strict=True))])
 
     return run
 
@@ -234,34 +339,25 @@ def _add_pairs(folder: str, parts: int):
 FACTS = "part int, facts array<long>"
 
 
-def _add_words(folder: str):
+def _add_words(folder: str, parts: int):
     """The blobs of one part of the words -> its file, and numbers for the model's discounts."""
 
     def run(table: pa.Table) -> pa.Table:
-        part = table.column("shard")[0].as_py()
-        blobs = [b.as_py() for b in table.column("blob")]
-        if part == -1:
-            facts = np.sum([np.frombuffer(b, np.int64) for b in blobs], 0)
+        part = table.column("part")[0].as_py()
+        if part < 0:
+            (counts,) = _expand(table.column("blob"), np.int64)
+            facts = counts.reshape(-1, 4).sum(0)
         else:
-            keys, values = [], []
-            for blob in blobs:
-                n, m = np.frombuffer(blob, np.int64, 2)
-                at = 16
-                keys.append(np.frombuffer(blob, np.uint64, n, at))
-                at += 8 * n
-                known = np.zeros((5, n + m), np.int64)
-                for k in range(4):
-                    known[k, :n] = np.frombuffer(blob, np.uint64, n, at)
-                    at += 8 * n
-                keys.append(np.frombuffer(blob, np.uint64, m, at))
-                known[4, n:] = np.frombuffer(blob, np.uint64, m, at + 8 * m)
-                values.append(known)
-            key, *known = _group_sum(np.concatenate(keys), *np.concatenate(values, 1))
-            _write(folder, f"words-{part}", _pack([key, *(k.astype(np.uint64) for k in known)]))
-            before = known[4]
-            words = (key != START) & (key != END)
-            start = int(known[0][key == START].sum())
-            facts = np.array([known[0].sum(), words.sum(), before.sum(), *((before == k).sum() for k in (1, 2, 3, 4)), (before > 2).sum(), start], np.int64)
+            v, total, once, twice, more, w, raw, before = _expand(table.column("blob"), np.uint64, *[np.int64] * 4, np.uint64, np.int64, np.int64)
+            none_v, none_w = np.zeros(len(w), np.int64), np.zeros(len(v), np.int64)
+            key = np.concatenate([v, w])
+            order, at = _groups(key)
+            known = _sums(order, at, *(np.concatenate([c, none_v]) for c in (total, once, twice, more)), *(np.concatenate([none_w, c]) for c in (raw, before)))
+            key = key[order[at]]
+            _write(folder, f"words-{part}", _file(key, known, part, parts))
+            raw, before = known[4], known[5]
+            # tokens, kinds, rows, kinds of pairs, and the counts of how many words precede one
+            facts = np.array([raw.sum(), (before > 0).sum(), raw[key == END].sum(), before.sum(), *((before == k).sum() for k in (1, 2, 3, 4)), (before > 2).sum()], np.int64)
         return pa.table([pa.array([part], pa.int32()), pa.array([facts.tolist()], pa.list_(pa.int64()))], names=["part", "facts"])
 
     return run
@@ -270,13 +366,15 @@ def _add_words(folder: str):
 @dataclass(frozen=True)
 class Model:
     folder: str
-    shards: int
-    parts: int
+    passes: int
+    shards: int  # of triples, in each pass
+    parts: int  # of contexts and pairs, in each pass
+    words: int
     tokens: int  # training tokens, ends included
     kinds: int  # distinct ones
-    rows: int  # training documents
     pairs: int  # distinct pairs
-    discounts: tuple  # of pair counts 1, 2, 3 and more
+    discounts: tuple  # of triples' counts 1, 2, 3 and more
+    pair_discounts: tuple
     word_discounts: tuple  # of the numbers of preceding words
     word_rest: float  # probability that the words' own distribution leaves to unseen words
 
@@ -290,27 +388,43 @@ def _discounts(n1, n2, n3, n4) -> tuple[float, float, float]:
     return tuple(float(min(max(x, 0.05), k + 0.95)) for k, x in enumerate(d))
 
 
-def train(docs: DataFrame) -> Model | None:
-    """(doc_id, text) -> a model in the shared folder; None for no rows.  A null text is an empty one: an end alone."""
+def train(docs: DataFrame, passes: int = 8) -> Model | None:
+    """(doc_id, text) -> a model in the shared folder; None for no rows.
+
+    A null text is an empty one: an end alone.  Nothing is pruned and every text
+    is read once in each pass; only counts of counts reach the driver.  After a
+    pass, the driver asks for a garbage collection, which lets Spark delete that
+    pass's shuffle files.
+    """
     spark = docs.sparkSession
     source = docs.select("doc_id", text_or_empty().alias("text"))
     size = source.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     if not size.rows:
         return None
     folder = f"{checkpoint_dir(spark).rstrip('/')}/kneser-ney-{uuid.uuid4().hex}"
-    shards = max(4, -(-int(size.bytes or 0) // SHARD_BYTES))
-    parts = max(2, shards // 4)
-    pairs = source.mapInArrow(_count_pairs(shards), COUNTS).groupBy("shard").applyInArrow(_add_pairs(folder, parts), COUNTS)
-    facts = pairs.groupBy("shard").applyInArrow(_add_words(folder), FACTS).collect()
-    of_pairs = next((r.facts for r in facts if r.part == -1), [0] * 4)
-    tokens, words, total, m1, m2, m3, m4, more, start = np.sum([r.facts for r in facts if r.part != -1], 0).tolist()
+    shards = max(2, -(-int(size.bytes or 0) // (SHARD_BYTES * passes)))
+    parts, words = max(1, shards // 2), max(2, shards // 2)
+    known = []
+    for turn in range(passes):
+        triples = source.mapInArrow(_count_triples(turn, passes, shards), BLOB).groupBy("part").applyInArrow(_add_triples(folder, turn, shards, parts), BLOB)
+        known.append(stored(triples.groupBy("part").applyInArrow(_add_pairs(folder, turn, parts, words), BLOB)))
+        del triples
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    every = known[0]
+    for more in known[1:]:
+        every = every.union(more)
+    facts = {r.part: r.facts for r in every.groupBy("part").applyInArrow(_add_words(folder, words), FACTS).collect()}
+    discard(*known)
+    of_triples, of_pairs = facts.pop(-1, [0] * 4), facts.pop(-2, [0] * 4)
+    tokens, kinds, _, pairs, m1, m2, m3, m4, more = np.sum(list(facts.values()), 0).tolist()
     d = _discounts(m1, m2, m3, m4)
-    rest = (d[0] * m1 + d[1] * m2 + d[2] * more) / max(total, 1)
-    return Model(folder, shards, parts, tokens, words + 1, start, total, _discounts(*of_pairs), d, rest)
+    rest = (d[0] * m1 + d[1] * m2 + d[2] * more) / max(pairs, 1)
+    return Model(folder, passes, shards, parts, words, tokens, kinds, pairs, _discounts(*of_triples), _discounts(*of_pairs), d, rest)
 
 
 # The model of no rows: the one kind of unseen words has probability 1.
-EMPTY = Model("", 0, 0, 0, 0, 0, 0, _discounts(0, 0, 0, 0), _discounts(0, 0, 0, 0), 1.0)
+EMPTY = Model("", 1, 0, 0, 0, 0, 0, 0, *[_discounts(0, 0, 0, 0)] * 3, 1.0)
 
 # ---- scoring
 
@@ -318,11 +432,12 @@ _open: dict = {}
 
 
 class Arrays:
-    """The arrays of a model, split by ranges of hashes; files are mapped when they are first looked into."""
+    """The arrays of a model, split by passes and ranges of hashes; files are mapped when they are first looked into."""
+
+    WIDTH = {"triples": 1, "contexts": 4, "pairs": 1, "words": 6}
 
     def __init__(self, model: Model):
         self.model = model
-        self.parts = {"pairs": (model.shards, PAIR), "words": (model.parts, WORD), "many": (model.shards, MANY)}
         self.files: dict = {}
 
     @staticmethod
@@ -332,68 +447,59 @@ class Arrays:
             _open[model.folder] = Arrays(model)
         return _open[model.folder]
 
-    def file(self, kind: str, k: int) -> dict[str, np.ndarray]:
-        if (kind, k) not in self.files:
+    def file(self, name: str, kind: str, part: int, parts: int) -> _Sorted:
+        if name not in self.files:
             if len(self.files) >= MOST_MAPPED:
                 self.files.clear()
-            self.files[kind, k] = _map(self.model.folder, f"{kind}-{k}", self.parts[kind][1])
-        return self.files[kind, k]
-
-    def find(self, kind: str, keys: np.ndarray, fields: list[str]) -> list[np.ndarray]:
-        """Values of sorted keys, 0 where there is none."""
-        out = [np.zeros(len(keys), np.int64) for _ in fields]
-        parts = self.parts[kind][0]
-        cut = _ranges(keys, parts)
+            self.files[name] = _Sorted(_read(self.model.folder, name), self.WIDTH[kind], part, parts)
+        return self.files[name]
+
+    def find(self, kind: str, keys: np.ndarray, parts: int, turn: int | None = None) -> np.ndarray:
+        """A row of values for each key, zeros where there is none."""
+        out = np.zeros((len(keys), self.WIDTH[kind]), np.int64)
+        order = np.argsort(keys)
+        ordered = keys[order]
+        cut = _ranges(ordered, parts) if parts else [0]
         for k in range(parts):
-            a, b = cut[k], cut[k + 1]
-            if a == b:
-                continue
-            have = self.file(kind, k)
-            if not len(have["key"]):
-                continue
-            at = np.minimum(np.searchsorted(have["key"], keys[a:b]), len(have["key"]) - 1)
-            hit = have["key"][at] == keys[a:b]
-            for o, f in zip(out, fields, strict=True):
-                o[a:b] = np.where(hit, have[f][at], 0)
+            if cut[k] < cut[k + 1]:
+                name = f"{kind}-{k}" if turn is None else f"{kind}-{turn}-{k}"
+                out[order[cut[k] : cut[k + 1]]] = self.file(name, kind, k, parts).find(ordered[cut[k] : cut[k + 1]])
         return out
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted keys of pairs."""
-        (count,) = self.find("pairs", keys, ["count"])
-        full = np.flatnonzero(count == FULL)
-        if len(full):
-            count[full] = self.find("many", keys[full], ["count"])[0]
-        return count
+
+def _less(count: np.ndarray, discounts: tuple) -> np.ndarray:
+    return np.maximum(count - np.array([0, *discounts])[np.minimum(count, 3)], 0)
+
+
+def _rest(stats: np.ndarray, discounts: tuple) -> np.ndarray:
+    """What contexts, by their total and their counts of ones, twos and more, leave to the shorter context; all if they are unknown."""
+    return np.where(stats[:, 0] > 0, stats[:, 1:4] @ np.array(discounts) / np.maximum(stats[:, 0], 1), 1.0)
 
 
 def _score_block(arrays: Arrays, h: np.ndarray, first: np.ndarray):
     """(tokens, known tokens, base score, score) of each row."""
     m = arrays.model
     rows = len(first) - 1
-    seq, begin = _sequence(h, first)
+    u, v, w = _sequence(h, first)
     size = np.diff(first) + 1
     row = np.repeat(np.arange(rows), size)
-    is_context = np.ones(len(seq), bool)
-    is_context[begin + size] = False
-    at = np.flatnonzero(is_context)
-    kinds, code = np.unique(seq, return_inverse=True)
-    count, once, twice, more, before = arrays.find("words", kinds, ["count", "once", "twice", "more", "before"])
-    v, w = code[at], code[at + 1]
-    times = count.copy()
-    times[kinds == END] = m.rows
-    seen = times[w]
+    kinds, code = np.unique(np.concatenate([v, w]), return_inverse=True)
+    of_v, of_w = code[: len(v)], code[len(v) :]
+    known = arrays.find("words", kinds, m.words)
+    seen = known[of_w, 4]
     base = np.log10((seen + 0.5) / (m.tokens + 0.5 * (m.kinds + 1)))
-    d = np.array([0, *m.word_discounts])
-    own = np.maximum(before - d[np.minimum(before, 3)], 0) / max(m.pairs, 1) + m.word_rest / (m.kinds + 1)
-    key = _pair_hash(seq[at], seq[at + 1])
-    order = np.argsort(key)
-    pair = np.zeros(len(key), np.int64)
-    pair[order] = arrays.pair_counts(key[order])
-    d = np.array([0, *m.discounts])
-    context = np.maximum(count, 1)
-    rest = np.where(count > 0, (d[1] * once + d[2] * twice + d[3] * more) / context, 1.0)
-    p = np.maximum(pair - d[np.minimum(pair, 3)], 0) / context[v] + rest[v] * own[w]
-    return size, np.bincount(row, seen > 0, rows).astype(np.int64), np.bincount(row, base, rows), np.bincount(row, np.log10(p), rows)
+    one = _less(known[:, 5], m.word_discounts) / max(m.pairs, 1) + m.word_rest / (m.kinds + 1)
+    keys = {"triples": _triple_hash(u, v, w), "contexts": _pair_hash(u, v), "pairs": _pair_hash(v, w)}
+    got = {kind: np.zeros((len(v), arrays.WIDTH[kind]), np.int64) for kind in keys}
+    turns = _pass_of(v, m.passes)
+    for turn in range(m.passes if m.shards else 0):
+        at = np.flatnonzero(turns == turn)
+        for kind, parts in (("triples", m.shards), ("contexts", m.parts), ("pairs", m.parts)):
+            got[kind][at] = arrays.find(kind, keys[kind][at], parts, turn)
+    middle, context = known[of_v], got["contexts"]
+    two = _less(got["pairs"][:, 0], m.pair_discounts) / np.maximum(middle[:, 0], 1) + _rest(middle, m.pair_discounts) * one[of_w]
+    three = _less(got["triples"][:, 0], m.discounts) / np.maximum(context[:, 0], 1) + _rest(context, m.discounts) * two
+    return size, np.bincount(row, seen > 0, rows).astype(np.int64), np.bincount(row, base, rows), np.bincount(row, np.log10(three), rows)
 
 
 def _score(model: Model):

@@ -2,6 +2,8 @@
 
 import os
 import random
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
@@ -579,50 +581,97 @@ def test_search_of_skewed_codes(spark, words):
 
 
 def brute_model(texts):
-    pairs, contexts = Counter(), Counter()
+    triples = Counter()
     for t in texts:
-        s = ["<s>", *words(t, lower=True), "</s>"]
-        pairs.update(zip(s, s[1:]))
-        contexts.update(s[:-1])
-    unigrams = Counter(contexts)
-    unigrams["</s>"] = unigrams.pop("<s>", 0)
-    before = Counter(w for _, w in pairs)
-    d2 = kneser_ney._discounts(*(sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)))
-    d1 = kneser_ney._discounts(*(sum(c == k for c in before.values()) for k in (1, 2, 3, 4)))
+        s = ["<s>", "<s>", *words(t, lower=True), "</s>"]
+        triples.update(zip(s, s[1:], s[2:]))
+    unigrams, contexts, adjusted = Counter(), Counter(), Counter()
+    for (u, v, w), c in triples.items():
+        unigrams[w] += c
+        contexts[u, v] += c
+        adjusted[v, w] += c if v == "<s>" else 1
+    before = Counter(w for _, w in adjusted)
+    total = Counter()
+    for (v, _), c in adjusted.items():
+        total[v] += c
+    d3, d2, d1 = (kneser_ney._discounts(*(sum(c == k for c in x.values()) for k in (1, 2, 3, 4))) for x in (triples, adjusted, before))
     n, v = sum(unigrams.values()), len(unigrams)
-    rest = sum(d1[min(c, 3) - 1] for c in before.values()) / len(pairs)
-
-    def p(u, w):
-        own = (max(before[w] - d1[min(before[w], 3) - 1], 0) if before[w] else 0) / len(pairs) + rest / (v + 1)
-        if not contexts[u]:
-            return own
-        c = pairs[u, w]
-        gamma = sum(d2[min(x, 3) - 1] for (a, _), x in pairs.items() if a == u) / contexts[u]
-        return (max(c - d2[min(c, 3) - 1], 0) if c else 0) / contexts[u] + gamma * own
+    left = lambda counts, d: sum(d[min(c, 3) - 1] for c in counts)
+    less = lambda c, d: max(c - d[min(c, 3) - 1], 0) if c else 0
+    rest = left(before.values(), d1) / len(adjusted)
+
+    def p(a, b, w):
+        one = less(before[w], d1) / len(adjusted) + rest / (v + 1)
+        two = one
+        if total[b]:
+            two = (less(adjusted[b, w], d2) + left((c for (x, _), c in adjusted.items() if x == b), d2) * one) / total[b]
+        if not contexts[a, b]:
+            return two
+        return (less(triples[a, b, w], d3) + left((c for (x, y, _), c in triples.items() if (x, y) == (a, b)), d3) * two) / contexts[a, b]
 
     def score(t):
-        s = ["<s>", *words(t, lower=True), "</s>"]
-        base = sum(log10((unigrams[w] + 0.5) / (n + 0.5 * (v + 1))) for w in s[1:])
-        return len(s) - 1, sum(unigrams[w] > 0 for w in s[1:]), base, sum(log10(p(a, b)) for a, b in zip(s, s[1:]))
+        s = ["<s>", "<s>", *words(t, lower=True), "</s>"]
+        base = sum(log10((unigrams[w] + 0.5) / (n + 0.5 * (v + 1))) for w in s[2:])
+        return len(s) - 2, sum(unigrams[w] > 0 for w in s[2:]), base, sum(log10(p(*x)) for x in zip(s, s[1:], s[2:]))
 
     return n, score, p, unigrams
 
 
-def test_kneser_ney(spark):
+@pytest.mark.parametrize("passes, copies", [(8, 1), (1, 1), (3, 300)])
+def test_kneser_ney(spark, passes, copies):
+    """Every score against the model computed pair by pair; with many copies, counts of more than a byte."""
     rng = random.Random(6)
     rows = [(i, text(rng, rng.randrange(0, 50), 40)) for i in range(60)] + [(100, None), (101, "Unseen W1 words"), (102, "w1 W2")]
+    rows += [(1000 + 3 * k + 1, rows[7][1]) for k in range(copies - 1)]
     df = frame(spark, rows)
     train = [t for i, t in rows if i % 3]
-    model = kneser_ney.train(df.where("doc_id % 3 <> 0"))
+    model = kneser_ney.train(df.where("doc_id % 3 <> 0"), passes)
     n, score, p, unigrams = brute_model(train)
     assert model.tokens == n and model.kinds == len(unigrams)
-    for r in kneser_ney.perplexity(kneser_ney.score(df, model)).collect():
+    for r in kneser_ney.perplexity(kneser_ney.score(df, model)).where("doc_id < 1002").collect():
         want = score(dict(rows)[r.doc_id])
         assert (r.n_tokens, r.n_known) == want[:2] and (r.base_score, r.score) == pytest.approx(want[2:]) and r.perplexity >= 1
-    assert sum(p("w1", w) for w in [*unigrams, "never seen"]) == pytest.approx(1)
+    for a, b in (("w1", "w2"), ("<s>", "<s>"), ("w3", "never"), ("never", "w3")):
+        assert sum(p(a, b, w) for w in [*unigrams, "never seen"]) == pytest.approx(1)
     assert kneser_ney.train(df.limit(0)) is None
 
 
+def test_sorted_files():
+    """Hashes of one range with small, large and very large counts, some of them with equal leading bits."""
+    rng = np.random.default_rng(1)
+    for part, parts in ((0, 1), (2, 3), (999, 2000)):
+        low, high = kneser_ney._cut(part, parts), kneser_ney._cut(part + 1, parts)
+        keys = np.unique(rng.integers(low, high - 1, 5000, np.uint64, endpoint=True))
+        keys = np.unique(np.concatenate([keys, [np.uint64(min(int(k) + (1 << 18), high - 1)) for k in keys[:50]]]))
+        keys = keys[np.append(True, np.diff(keys) > 1 << 17)]
+        values = [rng.integers(1, 300, len(keys)), np.where(rng.random(len(keys)) < 0.01, 1 << 40, 7)]
+        raw = np.frombuffer(kneser_ney._file(keys, values, part, parts), np.uint8)
+        got = kneser_ney._Sorted(raw, 2, part, parts).find(keys[::-1])
+        assert (got[::-1] == np.stack(values, 1)).all()
+        absent = np.setdiff1d(rng.integers(low, high - 1, 1000, np.uint64, endpoint=True), keys)
+        assert not kneser_ney._Sorted(raw, 2, part, parts).find(absent).any()
+    assert not kneser_ney._Sorted(None, 2, 0, 1).find(keys).any()
+
+
+def test_scoring_with_few_file_handles(tmp_path):
+    """Two thousand shards are scored by a process that may open 256 files."""
+    rng = np.random.default_rng(2)
+    shards = 2000
+    for k in range(shards):
+        keys = np.unique(rng.integers(kneser_ney._cut(k, shards), kneser_ney._cut(k + 1, shards), 3, np.uint64))
+        kneser_ney._write(str(tmp_path), f"triples-0-{k}", kneser_ney._file(keys, [np.ones(len(keys), np.int64)], k, shards))
+    code = f"""
+import resource; resource.setrlimit(resource.RLIMIT_NOFILE, (256, 256))
+import numpy as np
+from contextframe.llm import kneser_ney as kn
+model = kn.Model({str(tmp_path)!r}, 1, {shards}, 1, 1, 1, 1, 1, (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 1.0)
+arrays = kn.Arrays(model)
+arrays.find("triples", np.random.default_rng(3).integers(0, 1 << 63, 20000, np.uint64) * np.uint64(2), {shards}, 0)
+assert len(arrays.files) > 1900
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+
+
 def test_kneser_ney_without_training_rows(spark, tmp_path):
     ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1]
     frame(spark, [(i, "some words" if k else None) for k, i in enumerate(ids)]).write.parquet(f"{tmp_path}/documents.parquet")
