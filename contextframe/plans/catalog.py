@@ -272,6 +272,7 @@ _STATUS = """SELECT coalesce(a.relative_path, b.relative_path) AS relative_path,
  WHEN a.source IS NOT DISTINCT FROM b.source AND a.local_path IS NOT DISTINCT FROM b.local_path AND a.artifact_path IS NOT DISTINCT FROM b.artifact_path
  AND a.media_type IS NOT DISTINCT FROM b.media_type AND a.content_hash IS NOT DISTINCT FROM b.content_hash THEN 'unchanged' ELSE 'changed' END AS status
  FROM prior a FULL JOIN cur b ON a.relative_path = b.relative_path"""
+_SAME = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ("relative_path", "source", "local_path", "artifact_path", "media_type", "content_hash"))
 _ERROR = "CASE WHEN starts_with({0}, '/') OR regexp_matches({0}, '(^|/)[.][.](/|$)') THEN 'not_relative' WHEN {1} IN ('', '.') THEN 'empty' END"
 _SLASHED = "replace(path, '\\', '/')"
 _NORMAL = f"regexp_replace({_SLASHED}, '^[.]/', '')"
@@ -305,10 +306,8 @@ ORACLE_SQL: dict[str, str] = files.ORACLE_SQL | {
     "q07_dedup_on_hash": "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1",
     "q08_resume_verdict": f"""WITH items AS ({_DOC_ITEMS}), numbered AS (SELECT *, row_number() OVER (ORDER BY relative_path) AS pos FROM items),
  old AS (SELECT *, row_number() OVER (ORDER BY relative_path) AS pos FROM ({_PRIOR})), new AS (SELECT *, row_number() OVER (ORDER BY relative_path) AS pos FROM items WHERE doc_id % 60 <> 7)
- SELECT coalesce(bool_and(a.relative_path IS NOT DISTINCT FROM b.relative_path AND a.content_hash IS NOT DISTINCT FROM b.content_hash), true) AS reusable, 'changed' AS "case"
- FROM old a FULL JOIN new b ON a.pos = b.pos
- UNION ALL SELECT coalesce(bool_and(a.relative_path IS NOT DISTINCT FROM b.relative_path AND a.content_hash IS NOT DISTINCT FROM b.content_hash), true), 'same'
- FROM numbered a FULL JOIN numbered b ON a.pos = b.pos""",
+ SELECT coalesce(bool_and({_SAME}), true) AS reusable, 'changed' AS "case" FROM old a FULL JOIN new b ON a.pos = b.pos
+ UNION ALL SELECT coalesce(bool_and({_SAME}), true), 'same' FROM numbered a FULL JOIN numbered b ON a.pos = b.pos""",
     "q09_resume_item_status": f"WITH items AS ({_DOC_ITEMS}), prior AS ({_PRIOR}), cur AS (SELECT * FROM items WHERE doc_id % 60 <> 7) {_STATUS}",
     "q10_manifest_items": """SELECT source, printf('%012d.txt', doc_id) AS relative_path, '/in/' || printf('%012d.txt', doc_id) AS local_path,
  CASE WHEN doc_id % 10 <> 3 THEN '/cache/' || printf('%012d.txt', doc_id) END AS artifact_path, 'text/plain' AS media_type, sha256(text) AS content_hash FROM documents""",
