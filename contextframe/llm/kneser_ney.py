@@ -10,7 +10,8 @@ exchange is keyed by a word or a pair, so common ones burden no task.
 
 Files are sorted arrays of hashes in the shared folder: 32 bits and 16 bits of a
 hash's place in the file's range, a byte for each count, and a list of the
-larger counts.  Workers map them into memory.
+larger counts.  Contexts that occur once are not written, as their pairs are.
+Workers map the files into memory.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import checkpoint_dir, discard, stored, text_or_empty, tidy
+from .common import checkpoint_dir, discard, stored, text_or_empty, tidy, trim
 
 START, END = np.uint64(0x5F3759DF5F3759DF), np.uint64(0xC0FFEE00C0FFEE01)
 FLUSH = 1 << 20
-SHARD_BYTES = 24 << 20
-SCORE_CHUNK = 4 << 20
+SHARD_BYTES = 6 << 20  # of text whose triples one task adds up in a pass
+SCORE_CHUNK = 1 << 20
 MOST_MAPPED = 16_384  # files that a worker keeps mapped
 LARGE = 255
 PACKED = pa.Codec("zstd", compression_level=1)
@@ -174,6 +175,9 @@ def _triple_hash(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return tk.mix(_pair_hash(u, v) * np.uint64(5) + w)
 
 
+NO_WORDS = _pair_hash(np.array([START]), np.array([START]))[0]
+
+
 def _pass_of(v: np.ndarray, passes: int) -> np.ndarray:
     """Which pass counts the triples around a word."""
     return ((tk.mix(v ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)) * np.uint64(passes)) >> np.uint64(32)
@@ -277,9 +281,21 @@ def _count_triples(turn: int, passes: int, shards: int):
     return run
 
 
+def _trimmed(run):
+    """A function over a group that gives its memory back."""
+
+    def inner(table: pa.Table) -> pa.Table:
+        out = run(table)
+        trim()
+        return out
+
+    return inner
+
+
 def _add_triples(folder: str, turn: int, shards: int, parts: int):
     """The blobs of one shard -> its file; blobs of its contexts and of its pairs, by part; the counts of its counts."""
 
+    @_trimmed
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("part")[0].as_py()
         u, v, w, count = _expand(table.column("blob"), np.uint64, np.uint64, np.uint64, np.uint32)
@@ -310,6 +326,7 @@ def _add_triples(folder: str, turn: int, shards: int, parts: int):
 def _add_pairs(folder: str, turn: int, parts: int, words: int):
     """The blobs of one part -> files of its contexts and its pairs; blobs of what it knows of each word; the counts of its counts."""
 
+    @_trimmed
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         if part == -1:
@@ -317,7 +334,10 @@ def _add_pairs(folder: str, turn: int, parts: int, words: int):
             return pa.Table.from_batches([_blobs([-1], [_squeeze(counts.reshape(-1, 4).sum(0))])])
         ctx, total, once, twice, more, v, w, adjusted, raw = _expand(table.column("blob"), np.uint64, *[np.int64] * 4, np.uint64, np.uint64, np.int64, np.int64)
         order, at = _groups(ctx)
-        _write(folder, f"contexts-{turn}-{part}", _file(ctx[order[at]], _sums(order, at, total, once, twice, more), part, parts))
+        ctx, known = ctx[order[at]], _sums(order, at, total, once, twice, more)
+        several = np.flatnonzero((known[0] > 1) | (ctx == NO_WORDS))  # pairs say of the others that they occur once
+        _write(folder, f"contexts-{turn}-{part}", _file(ctx[several], [k[several] for k in known], part, parts))
+        del total, once, twice, more, ctx, known
         key = _pair_hash(v, w)
         order, at = _groups(key)
         pick = order[at]
@@ -342,6 +362,7 @@ FACTS = "part int, facts array<long>"
 def _add_words(folder: str, parts: int):
     """The blobs of one part of the words -> its file, and numbers for the model's discounts."""
 
+    @_trimmed
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         if part < 0:
@@ -497,6 +518,10 @@ def _score_block(arrays: Arrays, h: np.ndarray, first: np.ndarray):
         for kind, parts in (("triples", m.shards), ("contexts", m.parts), ("pairs", m.parts)):
             got[kind][at] = arrays.find(kind, keys[kind][at], parts, turn)
     middle, context = known[of_v], got["contexts"]
+    # a context without a row of its own occurs once if it was a pair: the one before, in the same text
+    once = np.zeros(len(v), bool)
+    once[1:] = (got["pairs"][:-1, 0] > 0) & (row[1:] == row[:-1])
+    context[once & (context[:, 0] == 0)] = (1, 1, 0, 0)
     two = _less(got["pairs"][:, 0], m.pair_discounts) / np.maximum(middle[:, 0], 1) + _rest(middle, m.pair_discounts) * one[of_w]
     three = _less(got["triples"][:, 0], m.discounts) / np.maximum(context[:, 0], 1) + _rest(context, m.discounts) * two
     return size, np.bincount(row, seen > 0, rows).astype(np.int64), np.bincount(row, base, rows), np.bincount(row, np.log10(three), rows)
