@@ -7,12 +7,10 @@ the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from contextframe.llm import mixing, neardup, packing, substring, toxicity
-from contextframe.llm.common import checkpoint_dir, documents, table
+from contextframe.llm.common import discard, documents, stored, table
 from contextframe.llm.queries import tokenizer_path
 
 TOXIC = 0.7
@@ -57,9 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written and read again; a stage's table goes when the next one is written."""
     docs = documents(spark, sf_dir)
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
