@@ -26,6 +26,7 @@ STOP[[10, 13, 33, 46, 59, 63]] = True
 HEADS = (4, 5, 6)
 #: Chance reaches this likelihood ratio once in 10,000 words.
 LEAST_GAIN = 15.1
+NEVER = -40.0  # the log-odds of what does not happen
 
 
 @dataclass(frozen=True)
@@ -117,10 +118,9 @@ def fit(rows, words: np.ndarray, own: np.ndarray, steps: int = 200) -> Model:
     """
     rows = [r for r in rows if r[1]]
     y = np.array([r[0] for r in rows], float)
-    rate = (y.sum() + 0.5) / (len(y) + 1)
     mean = max(np.mean([r[1] for r in rows] or [1]), 1)
     if not len(words) or not len(rows) or y.min() == y.max():
-        return Model(np.zeros(1, np.uint64), np.zeros(1), float(np.log(np.expm1(-np.log1p(-rate) / mean))))
+        return Model(np.zeros(1, np.uint64), np.zeros(1), NEVER if not len(rows) or y.min() < 1 else -NEVER)
     count = np.array([r[1] for r in rows])
     first = np.cumsum(count) - count
     k = np.concatenate([np.frombuffer(r[2], np.int32).reshape(-1, 1 + len(HEADS)) for r in rows])
@@ -160,7 +160,8 @@ def train(labelled: DataFrame, max_docs: int = 8000, max_words: int = 4096, min_
     doc_id, are used, copies once; rows with a null label are left out.  Words and heads of
     words that are likelier in toxic documents than chance would have it are
     picked on the executors, and only their places reach the driver.  Without
-    both labels, or without such words, the model is a constant rate.
+    such words no sentence is toxic, however many there are; every one is if all
+    labels are toxic.
     """
     some = labelled.where("label is not null").select("doc_id", text_or_empty().alias("text"), F.col("label").cast("int").alias("label"))
     some = checkpoint(some.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "label").limit(max_docs).select("text", "label").dropDuplicates(["text", "label"]))

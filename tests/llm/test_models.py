@@ -49,6 +49,14 @@ def test_models_without_both_labels(spark):
         assert module.score(df.limit(0), module.train(df)).count() == 0
 
 
+def test_toxicity_without_evidence(spark):
+    """Few labels tell no words apart: then long documents are not toxic for their length."""
+    rows = [(i, f"Sentence one of n{i}. " * 200, int(i < 2)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    assert max(r.score for r in toxicity.score(df, toxicity.train(df)).collect()) < 0.1
+    assert min(r.score for r in toxicity.score(df, toxicity.train(df.withColumn("label", F.lit(1)))).collect()) > 0.9
+
+
 def test_line_labels(spark):
     model = quality.fit([b"fine words here.\nand more of them.", b"BUY!! NOW!!\nBUY!! NOW!!"] * 20, np.array([1, 0] * 20))
     df = spark.createDataFrame([(1, "fine words here.\nand more.\n\nBUY!! NOW!!\nBUY!! NOW!!")], "doc_id long, text string")
