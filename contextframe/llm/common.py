@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from functools import wraps
@@ -45,6 +46,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that Spark deletes the shuffle files and broadcasts of jobs that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def trim() -> None:
     """Give memory that is free but held back to the system."""
     pa.default_memory_pool().release_unused()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import stored, text_or_empty, tidy
+from .common import let_go, stored, text_or_empty, tidy
 from .graph import components
 
 BINS = 128
@@ -291,6 +291,7 @@ def near_pairs(prints: DataFrame, least: float = 0.7, rounds: int = 2) -> DataFr
 
     links = labels = None
     for turn in range(rounds + 1):
+        let_go(prints.sparkSession)
         if labels is None:
             now = member.withColumn("label", F.col("rep"))
         else:

@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-from .common import stored
+from .common import let_go, stored
 
 WORD = 64
 WIDEST = 24
@@ -149,6 +149,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     for radius in range(width + 1):
         if not state["left"]:
             break
+        let_go(codes.sparkSession)
         if math.comb(width, radius) > many:
             scan()
             break

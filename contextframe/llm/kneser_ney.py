@@ -16,7 +16,6 @@ Workers map the files into memory.
 
 from __future__ import annotations
 
-import gc
 import mmap
 import os
 import tempfile
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import checkpoint_dir, discard, stored, text_or_empty, tidy, trim
+from .common import checkpoint_dir, discard, let_go, stored, text_or_empty, tidy, trim
 
 START, END = np.uint64(0x5F3759DF5F3759DF), np.uint64(0xC0FFEE00C0FFEE01)
 FLUSH = 1 << 20
@@ -430,8 +429,7 @@ def train(docs: DataFrame, passes: int = 8) -> Model | None:
         triples = source.mapInArrow(_count_triples(turn, passes, shards), BLOB).groupBy("part").applyInArrow(_add_triples(folder, turn, shards, parts), BLOB)
         known.append(stored(triples.groupBy("part").applyInArrow(_add_pairs(folder, turn, parts, words), BLOB)))
         del triples
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        let_go(spark)
     every = known[0]
     for more in known[1:]:
         every = every.union(more)

@@ -15,7 +15,7 @@ import math
 
 from pyspark.sql import DataFrame, Observation, Window, functions as F
 
-from .common import discard, fresh, stored, text_or_empty
+from .common import discard, fresh, let_go, stored, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -113,6 +113,7 @@ def mix(sized: DataFrame, weights=(5, 2, 1), cap: int = 3, steps: int = 40, repa
     goals = targets(totals, weights, cap).withColumn("mean", F.col("total") / F.greatest("filled", F.lit(1)))
     hist = stored(sized.where("size > 0").groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")))
     state = _multipliers(hist, goals, float(cap), steps)
+    let_go(sized.sparkSession)
     facts = state.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs")).first()
     many = facts.docs
 

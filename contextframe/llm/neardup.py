@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens as tk
-from .common import discard, fresh, stored, text_or_empty, tidy
+from .common import discard, fresh, let_go, stored, text_or_empty, tidy
 from .graph import components
 
 SIG_BITS = 6
@@ -268,14 +268,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ban
     """
     work = _Work(width, threshold, bands, rows)
     work.load(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
+    let_go(docs.sparkSession)
     links = work.confirmed(work.stars())
     labels = components(links)
     apart = work.left_apart(labels)
     discard(work.member)
+    let_go(docs.sparkSession)
     more = work.confirmed(work.by_prefix(apart))
     if not more.isEmpty():
         labels = components(links.union(more))
     discard(work.sets, work.light, apart, links, more)
+    let_go(docs.sparkSession)
     of_class = work.classes.select("cid", "set_a", "set_b", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     of_class = of_class.withColumn("label", F.coalesce("label", "cid"))
     least = of_class.groupBy("label").agg(F.min("rep").alias("least"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegralType
 
 from . import tokens as tk
-from .common import fresh, stored, text_or_empty, tidy
+from .common import fresh, let_go, stored, text_or_empty, tidy
 
 SHARD_WORDS = 1 << 20
 SEARCHED = 200_000
@@ -324,6 +324,7 @@ def repeats(source: DataFrame, width: int, anchor: int) -> DataFrame:
     shards = max(1, -(-int(facts.rows) * (2 * width - anchor) // SHARD_WORDS))
     found = runs(True).select("route", "whole", "doc_id", "last_doc", "words").repartition(shards, "route").mapInArrow(_search(width), "whole long, smallest array<long>")
     found = stored(found)
+    let_go(spark)
     starts = F.transform("smallest", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i))
     hits = runs(False).select("whole", "doc_id", "row", "start").join(found, "whole").select("doc_id", "row", F.filter(starts, lambda x: x.isNotNull()).alias("hits")).where(F.size("hits") > 0)
     return hits.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("hits")).alias("hits"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import tokens as tk
-from .common import checkpoint, text_or_empty, tidy, trim
+from .common import checkpoint, let_go, text_or_empty, tidy, trim
 
 #: Bytes that part words: all ASCII but letters, digits and the apostrophe.
 APART = np.array([b < 128 and not (chr(b).isalnum() or b == 39) for b in range(256)])
@@ -186,6 +186,7 @@ def train(labelled: DataFrame, max_docs: int = 8000, max_words: int = 4096, min_
     model = fit(rows, words, own)
     del rows
     trim()
+    let_go(labelled.sparkSession)
     return model
 
 
