@@ -33,7 +33,7 @@ from .common import checkpoint_dir, discard, let_go, stored, text_or_empty, tidy
 START, END = np.uint64(0x5F3759DF5F3759DF), np.uint64(0xC0FFEE00C0FFEE01)
 FLUSH = 1 << 20
 SHARD_BYTES = 6 << 20  # of text whose triples one task adds up in a pass
-SCORE_CHUNK = 1 << 20
+SCORE_CHUNK = 2 << 20
 MOST_MAPPED = 16_384  # files that a worker keeps mapped
 LARGE = 255
 PACKED = pa.Codec("zstd", compression_level=1)
@@ -408,7 +408,7 @@ def _discounts(n1, n2, n3, n4) -> tuple[float, float, float]:
     return tuple(float(min(max(x, 0.05), k + 0.95)) for k, x in enumerate(d))
 
 
-def train(docs: DataFrame, passes: int = 8) -> Model | None:
+def train(docs: DataFrame, passes: int = 6) -> Model | None:
     """(doc_id, text) -> a model in the shared folder; None for no rows.
 
     A null text is an empty one: an end alone.  Nothing is pruned and every text
@@ -492,7 +492,8 @@ def _less(count: np.ndarray, discounts: tuple) -> np.ndarray:
 
 def _rest(stats: np.ndarray, discounts: tuple) -> np.ndarray:
     """What contexts, by their total and their counts of ones, twos and more, leave to the shorter context; all if they are unknown."""
-    return np.where(stats[:, 0] > 0, stats[:, 1:4] @ np.array(discounts) / np.maximum(stats[:, 0], 1), 1.0)
+    left = sum(d * stats[:, k] for k, d in enumerate(discounts, 1))
+    return np.where(stats[:, 0] > 0, left / np.maximum(stats[:, 0], 1), 1.0)
 
 
 def _score_block(arrays: Arrays, h: np.ndarray, first: np.ndarray):
@@ -515,12 +516,12 @@ def _score_block(arrays: Arrays, h: np.ndarray, first: np.ndarray):
         at = np.flatnonzero(turns == turn)
         for kind, parts in (("triples", m.shards), ("contexts", m.parts), ("pairs", m.parts)):
             got[kind][at] = arrays.find(kind, keys[kind][at], parts, turn)
-    middle, context = known[of_v], got["contexts"]
+    context = got["contexts"]
     # a context without a row of its own occurs once if it was a pair: the one before, in the same text
     once = np.zeros(len(v), bool)
     once[1:] = (got["pairs"][:-1, 0] > 0) & (row[1:] == row[:-1])
     context[once & (context[:, 0] == 0)] = (1, 1, 0, 0)
-    two = _less(got["pairs"][:, 0], m.pair_discounts) / np.maximum(middle[:, 0], 1) + _rest(middle, m.pair_discounts) * one[of_w]
+    two = _less(got["pairs"][:, 0], m.pair_discounts) / np.maximum(known[:, 0], 1)[of_v] + _rest(known, m.pair_discounts)[of_v] * one[of_w]
     three = _less(got["triples"][:, 0], m.discounts) / np.maximum(context[:, 0], 1) + _rest(context, m.discounts) * two
     return size, np.bincount(row, seen > 0, rows).astype(np.int64), np.bincount(row, base, rows), np.bincount(row, np.log10(three), rows)
 
