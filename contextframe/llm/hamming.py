@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-from .common import let_go, stored
+from .common import discard, let_go, stored
 
 WORD = 64
 WIDEST = 24
@@ -53,13 +53,13 @@ def _segments(code: str, dealt: list[list[int]]) -> Column:
     return F.expr("array(" + ", ".join(" | ".join(bit(b, at) for at, b in enumerate(bits)) for bits in dealt) + ")")
 
 
-def _flipped(rows: DataFrame, width: int, radius: int) -> DataFrame:
-    """q, kth, base -> q, kth, val: all values at this distance from base, one flipped bit after the other from the lowest."""
-    rows = rows.select("q", "kth", F.col("base").alias("val"), F.lit(-1).alias("top"))
+def _flipped(rows: DataFrame, radius: int) -> DataFrame:
+    """q, kth, seg, base, width -> q, kth, seg, val: all values at this distance from base, one flipped bit after the other from the lowest."""
+    rows = rows.where(F.col("width") >= radius).select("q", "kth", "seg", "width", F.col("base").alias("val"), F.lit(-1).alias("top"))
     for left in range(radius, 0, -1):
-        bits = F.explode(F.sequence(F.col("top") + 1, F.lit(width - left))).alias("bit")
-        rows = rows.select("q", "kth", "val", bits).select("q", "kth", F.expr("val ^ shiftleft(1, bit)").alias("val"), F.col("bit").alias("top"))
-    return rows.select("q", "kth", "val")
+        bits = F.explode(F.sequence(F.col("top") + 1, F.col("width") - left)).alias("bit")
+        rows = rows.select("q", "kth", "seg", "width", "val", bits).select("q", "kth", "seg", "width", F.expr("val ^ shiftleft(1, bit)").alias("val"), F.col("bit").alias("top"))
+    return rows.select("q", "kth", "seg", "val")
 
 
 def _apart(segments: int, a: str = "q", b: str = "segs") -> list[Column]:
@@ -93,7 +93,9 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     segments = max(1, round(bits / width))
     dealt = _deal([n / many for n in ones], segments)
     width = max(map(len, dealt))
-    index = stored(entries.select(_segments("code", dealt).alias("segs"), F.element_at("ids", 1).alias("first"), F.size("ids").alias("n")))
+    index = stored(entries.select(_segments("code", dealt).alias("segs"), F.element_at("ids", 1).alias("first"), F.size("ids").alias("n"), "ids"))
+    discard(entries)
+    ids, index = index.select("segs", "ids"), index.drop("ids")
     asked = queries.select("query_id", _segments("code", dealt).alias("q"))
     pending = stored(asked.select("q").distinct().withColumn("kth", F.lit(FAR)))
     state = {"left": pending.count(), "least": None}
@@ -121,21 +123,26 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         else:
             found.append(top.select("q", "segs", "distance"))
 
-    def probe(radius: int, at: range) -> None:
-        """Search these segments at this radius; a code that an earlier step found is not found again."""
-        parts = []
+    def probe(radii: range, at: range) -> None:
+        """Search these segments at these radii; a code is found by the segment in which it is nearest, the first of such, and once only."""
+        widths = F.array(*(F.lit(len(bits)) for bits in dealt))
+        if len(at) == 1:
+            rows = pending.select("q", "kth", F.lit(at[0]).alias("seg"), F.col("q")[at[0]].alias("base"))
+            places = index.select("*", F.lit(at[0]).alias("seg"), F.col("segs")[at[0]].alias("val"))
+        else:
+            rows = pending.select("q", "kth", F.posexplode("q").alias("seg", "base"))
+            places = index.select("*", F.posexplode("segs").alias("seg", "val"))
+        rows = rows.withColumn("width", widths[F.col("seg")])
+        probes = reduce(DataFrame.union, [_flipped(rows, r) for r in radii])
+        may = F.lit(False)
         for s in at:
-            if radius > len(dealt[s]):
-                continue
-            probes = _flipped(pending.select("q", "kth", F.col("q")[s].alias("base")), len(dealt[s]), radius)
-            new = [apart[o] > radius for o in range(s)] + [apart[o] >= radius for o in range(s + 1, segments)]
-            may = distance <= F.col("kth")
-            for c in new:
-                may = may & c
-            # a merge join: the probes look few to Spark, as it does not count what explode() makes
-            parts.append(probes.hint("merge").join(index, (F.col("val") == F.col("segs")[s]) & may).withColumn("distance", distance))
-        if parts:
-            take(reduce(DataFrame.union, parts), segments * radius + at[-1])
+            nearest = F.col("seg") == s
+            for o in range(segments):
+                nearest = nearest & (apart[o] > apart[s] if o < s else apart[o] >= apart[s])
+            may = may | nearest
+        # a merge join: the probes look few to Spark, as it does not count what explode() makes
+        got = probes.hint("merge").join(places, ["seg", "val"]).where((distance <= F.col("kth")) & may)
+        take(got.withColumn("distance", distance), segments * radii[-1] + at[-1])
 
     def scan() -> None:
         """The queries that are left against all codes, block by block."""
@@ -146,22 +153,22 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         each = pending.select("q", "kth", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
         take(each.hint("merge").join(whole, (each.block == whole.block) & (distance <= F.col("kth"))).withColumn("distance", distance), FAR)
 
-    for radius in range(width + 1):
-        if not state["left"]:
-            break
+    radius = 0
+    while state["left"] and radius <= width:
         let_go(codes.sparkSession)
         if math.comb(width, radius) > many:
             scan()
             break
-        # one segment at a time where a query may end on the way, by its k-th distance so far
-        may_end = radius > 1 and (state["least"] or FAR) < segments * (radius + 1)
+        # the first radii cost little and go together; later, one segment at a time where a query may end on the way, by its k-th distance so far
+        last = min(2, width) if radius == 0 and math.comb(width, min(2, width)) <= many else radius
+        may_end = radius > 0 and (state["least"] or FAR) < segments * (radius + 1)
         for at in [range(s, s + 1) for s in range(segments)] if may_end else [range(segments)]:
             if state["left"]:
-                probe(radius, at)
+                probe(range(radius, last + 1), at)
+        radius = last + 1
     hits = found[0]
     for more in found[1:]:
         hits = hits.union(more)
-    ids = entries.select(_segments("code", dealt).alias("segs"), "ids")
     hits = hits.join(ids, "segs").select("q", "distance", F.explode("ids").alias("id"))
     by = Window.partitionBy("q").orderBy("distance", "id")
     hits = hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
