@@ -159,8 +159,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         if math.comb(width, radius) > many:
             scan()
             break
-        # the first radii cost little and go together; later, one segment at a time where a query may end on the way, by its k-th distance so far
-        last = min(2, width) if radius == 0 and math.comb(width, min(2, width)) <= many else radius
+        # the first two radii find little and go together; later, one segment at a time where a query may end on the way, by its k-th distance so far
+        last = 1 if radius == 0 and width <= many else radius
         may_end = radius > 0 and (state["least"] or FAR) < segments * (radius + 1)
         for at in [range(s, s + 1) for s in range(segments)] if may_end else [range(segments)]:
             if state["left"]:
